@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["evaluation"]
+AREAS = ["evaluation", "cleaning"]
 
 
 def all_queries() -> dict:

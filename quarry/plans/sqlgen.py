@@ -57,3 +57,38 @@ def macro_present() -> str:
         f"(case when {support(L)} + {predicted(L)} > 0 then 1 else 0 end)" for L in LETTERS) + ")"
     total = "(" + " + ".join(f1(L) for L in LETTERS) + ")"
     return f"(case when {present} = 0 then 0.0 else {total} / {present} end)"
+
+
+# ---- text (same character set and patterns as quarry.functions.text) ----
+
+def _ws_chars() -> str:
+    from quarry.functions.text import WHITESPACE
+    return "(" + " || ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
+
+
+WS_CHARS = _ws_chars()
+
+
+def strip(expr: str) -> str:
+    return f"trim({expr}, {WS_CHARS})"
+
+
+def fill_strip(expr: str) -> str:
+    return strip(f"coalesce(cast({expr} as varchar), '')")
+
+
+def normalize_answer(expr: str) -> str:
+    from quarry.functions.text import MULTI_LABEL, SINGLE_LETTER
+    s = fill_strip(expr)
+    letter = f"upper(regexp_extract({s}, '{SINGLE_LETTER}', 1))"
+    return (f"(case when {s} = '' or lower({s}) = 'nan' then null "
+            f"when regexp_matches({s}, '{MULTI_LABEL}') then null "
+            f"when {letter} = '' then null else {letter} end)")
+
+
+def reject_reason(expr: str) -> str:
+    from quarry.functions.text import MULTI_LABEL, SINGLE_LETTER
+    s = fill_strip(expr)
+    return (f"(case when {s} = '' or lower({s}) = 'nan' then 'empty' "
+            f"when regexp_matches({s}, '{MULTI_LABEL}') then 'multi_label' "
+            f"when not regexp_matches({s}, '{SINGLE_LETTER}') then 'other' end)")
