@@ -42,14 +42,29 @@ def _safe_div(num: Column, den: Column) -> Column:
 # --------------------------------------------------------------------------
 
 def confusion_wide(df: DataFrame, keys: Sequence[str] = ("run_name",),
-                   gold: str = "gold_label", pred: str = "pred_label") -> DataFrame:
-    """keys + n + n_correct + 25 cell counts ``n_<gold><pred>``, one row per key."""
+                   gold: str = "gold_label", pred: str = "pred_label",
+                   weight: str | None = None) -> DataFrame:
+    """keys + n + n_correct + 25 cell counts ``n_<gold><pred>``, one row per key.
+    With ``weight`` the counts are weighted sums (bootstrap replicates)."""
     g, p = F.col(gold), F.col(pred)
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(g == p).alias("n_correct")]
-    aggs += [F.count_if((g == a) & (p == b)).alias(cell(a, b)) for a in LETTERS for b in LETTERS]
+    if weight is None:
+        def cnt(cond):
+            return F.count_if(cond)
+        total = F.count(F.lit(1))
+    else:
+        def cnt(cond):
+            return F.sum(F.when(cond, F.col(weight)).otherwise(0))
+        total = F.sum(weight)
+    aggs = [total.alias("n"), cnt(g == p).alias("n_correct")]
+    aggs += [cnt((g == a) & (p == b)).alias(cell(a, b)) for a in LETTERS for b in LETTERS]
     return df.groupBy(*keys).agg(*aggs)
 
 
+def cell_array() -> Column:
+    """The 25 counts as one array, index = gold * 5 + pred."""
+    return F.array(*[F.col(cell(a, b)) for a in LETTERS for b in LETTERS])
+
+
 def support(L: str) -> Column:
     """Gold count of letter L (row sum)."""
     return _sum([F.col(cell(L, b)) for b in LETTERS])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["evaluation", "cleaning"]
+AREAS = ["evaluation", "cleaning", "statistics"]
 
 
 def all_queries() -> dict:

@@ -32,6 +32,14 @@ PREDICTION_RUNS = [
     (11, "beta-8b_s1-lora_s2-none", 27),
 ]
 
+# Model dimension of the fixture (model id, short name used in
+# run names, existing model, model added later).
+MODELS = [
+    ("org/alpha-8B", "alpha-8b", True, False),
+    ("org/beta-8B", "beta-8b", True, False),
+    ("org/gamma-7B", "gamma-7b", False, True),
+]
+
 # Raw answer cells of the MCQ fixture, by doc_id % 16.
 RAW_ANSWERS = [
     "A", "b", " C ", "D.", "E", "A+B", "C or D", "AorB", "F", "?", None,
@@ -39,6 +47,11 @@ RAW_ANSWERS = [
 ]
 
 
+def models(spark: SparkSession) -> DataFrame:
+    """Model registry as a dimension table (a handful of rows)."""
+    return spark.createDataFrame(MODELS, "model_id string, short_name string, existing boolean, new boolean")
+
+
 def _letter(code: Column) -> Column:
     """0..4 -> 'A'..'E' (same text as substr('ABCDE', code + 1, 1))."""
     return F.substring(F.lit("ABCDE"), code.cast("int") + 1, 1)
@@ -153,7 +166,10 @@ _ANSWER_CASE = " ".join(
     f"when {k} then {'null' if v is None else repr(v)}" for k, v in enumerate(RAW_ANSWERS)
 )
 
+_MODEL_VALUES = ", ".join(f"('{a}', '{b}', {str(c).lower()}, {str(d).lower()})" for a, b, c, d in MODELS)
+
 FIXTURE_SQL = {
+    "models": f"select * from (values {_MODEL_VALUES}) as t(model_id, short_name, existing, new)",
     "mcq_raw": f"""
 select doc_id as question_number,
   case when doc_id % 50 = 7 then '   ' when doc_id % 50 = 8 then null else text end as question,
