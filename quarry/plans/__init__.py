@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["evaluation", "cleaning", "statistics"]
+AREAS = ["evaluation", "cleaning", "statistics", "examples"]
 
 
 def all_queries() -> dict:
