@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["evaluation", "cleaning", "statistics", "examples"]
+AREAS = ["evaluation", "cleaning", "statistics", "examples", "catalog"]
 
 
 def all_queries() -> dict:
