@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["evaluation", "cleaning", "statistics", "examples", "catalog"]
+AREAS = ["evaluation", "cleaning", "statistics", "examples", "catalog", "io"]
 
 
 def all_queries() -> dict:
