@@ -159,7 +159,8 @@ def bootstrap_hash_replicates(preds: DataFrame, n_boot: int) -> DataFrame:
          .withColumn("h", hash_value(F.col("question_id"), F.col("rep")))
          .where(F.col("h") >= POISSON_THRESHOLDS[0])
          .select("question_id", "rep", poisson_weight(F.col("h")).alias("w")))
-    j = preds.select("run_name", "question_id", "gold_label", "pred_label").join(w, "question_id")
+    p = preds.select("run_name", "question_id", "gold_label", "pred_label")
+    j = p.join(w, "question_id")
     # Collapse to (run, replicate, cell) first: a 4-key hash aggregation whose
     # output is runs x replicates x 25 rows, then widen that small table.
     cells = j.groupBy("run_name", "rep", "gold_label", "pred_label").agg(F.sum("w").alias("w"))
@@ -183,16 +184,21 @@ def bootstrap_hash(preds: DataFrame, n_boot: int) -> DataFrame:
 
 def find_contrasts(runs: DataFrame, models: DataFrame) -> DataFrame:
     """(model, stage1, run_full, run_lora) for every (model, stage 1 method)
-    having both a suffix-free ``_s2-full`` and ``_s2-lora`` run."""
+    having both a suffix-free ``_s2-full`` and ``_s2-lora`` run. One pass
+    over the distinct run names, paired by a conditional aggregation."""
     pat = r"^(.+)_s1-(none|lora|full|full3ep)_s2-(full|lora)$"
     n = F.col("run_name")
     r = runs.select("run_name").distinct().where(n.rlike(pat)).select(
         "run_name", F.regexp_extract(n, pat, 1).alias("model"), F.regexp_extract(n, pat, 2).alias("stage1"),
         F.regexp_extract(n, pat, 3).alias("s2"))
     r = r.join(F.broadcast(models.select(F.col("short_name").alias("model"))), "model", "left_semi")
-    full = r.where(F.col("s2") == "full").select("model", "stage1", F.col("run_name").alias("run_full"))
-    lora = r.where(F.col("s2") == "lora").select("model", "stage1", F.col("run_name").alias("run_lora"))
-    return full.join(lora, ["model", "stage1"]).select(
+    # count_if keeps this aggregation duplicate-sensitive, so the distinct
+    # above stays in the plan and the regexes run on distinct names only.
+    pairs = r.groupBy("model", "stage1").agg(
+        F.max(F.when(F.col("s2") == "full", n)).alias("run_full"),
+        F.max(F.when(F.col("s2") == "lora", n)).alias("run_lora"),
+        F.count_if(F.col("s2") == "full").alias("_nf"), F.count_if(F.col("s2") == "lora").alias("_nl"))
+    return pairs.where((F.col("_nf") > 0) & (F.col("_nl") > 0)).select(
         "model", "stage1", F.concat_ws(" vs ", "run_full", "run_lora").alias("contrast"), "run_full", "run_lora")
 
 
@@ -268,39 +274,51 @@ def mcnemar_columns(b: Column, c: Column, with_chi2_p: bool = True) -> list[Colu
     return cols
 
 
+def joint_counts(paired: DataFrame) -> DataFrame:
+    """(contrast, gold, pred_a, pred_b, n): the paired rows aggregated once;
+    every paired statistic below is computed from these <= 125 rows per
+    contrast."""
+    return paired.groupBy("contrast", F.col("gold_a").alias("gold"), "pred_a", "pred_b").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def mcnemar_from_joint(joint: DataFrame, with_chi2_p: bool = True) -> DataFrame:
+    ca = F.col("pred_a") == F.col("gold")
+    cb = F.col("pred_b") == F.col("gold")
+    counts = joint.groupBy("contrast").agg(
+        F.sum("n").alias("n"), F.sum(F.when(ca & ~cb, F.col("n")).otherwise(0)).alias("b"),
+        F.sum(F.when(~ca & cb, F.col("n")).otherwise(0)).alias("c"))
+    return counts.select("contrast", "n", *mcnemar_columns(F.col("b"), F.col("c"), with_chi2_p))
+
+
 def mcnemar(paired: DataFrame, with_chi2_p: bool = True) -> DataFrame:
     """Per contrast: n, discordant counts and the McNemar test."""
-    ca = F.col("pred_a") == F.col("gold_a")
-    cb = F.col("pred_b") == F.col("gold_a")
-    counts = paired.groupBy("contrast").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(ca & ~cb).alias("b"), F.count_if(~ca & cb).alias("c"))
-    return counts.select("contrast", "n", *mcnemar_columns(F.col("b"), F.col("c"), with_chi2_p))
+    return mcnemar_from_joint(joint_counts(paired), with_chi2_p)
 
 
 # --------------------------------------------------------------------------
 # Paired bootstrap and the contrast report
 # --------------------------------------------------------------------------
 
-def joint_cells(paired: DataFrame) -> DataFrame:
+def joint_cells(joint: DataFrame) -> DataFrame:
     """Per contrast: dense 125-cell counts, index = gold*25 + pred_a*5 + pred_b."""
     letters = F.array(*[F.lit(L) for L in LETTERS])
 
     def idx(c):
         return F.array_position(letters, F.col(c)) - 1
 
-    code = idx("gold_a") * 25 + idx("pred_a") * 5 + idx("pred_b")
-    counts = paired.groupBy("contrast", code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    m = counts.groupBy("contrast").agg(F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("m"))
+    code = idx("gold") * 25 + idx("pred_a") * 5 + idx("pred_b")
+    m = joint.groupBy("contrast").agg(F.map_from_entries(F.collect_list(F.struct(code, F.col("n")))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(K ** 3 - 1).cast("bigint")),
                         lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("bigint")))
     return m.select("contrast", dense.alias("cells"))
 
 
 def paired_bootstrap_delta(paired: DataFrame, n_boot: int = N_BOOT, seed: int = SEED,
-                           block: int = BLOCK) -> DataFrame:
+                           block: int = BLOCK, joint: DataFrame | None = None) -> DataFrame:
     """Deltas (A minus B) of macro F1 and accuracy with 95% CIs and the
     two-sided bootstrap sign p of the F1 delta (add-one smoothing)."""
-    cells = joint_cells(paired)
+    cells = joint_cells(joint if joint is not None else joint_counts(paired))
     reps = _blocks(cells, n_boot, block).mapInPandas(
         lambda it: _replicates_paired(it, seed), "contrast string, d_acc double, d_f1 double")
     nb = F.count(F.lit(1))
@@ -314,16 +332,18 @@ def paired_bootstrap_delta(paired: DataFrame, n_boot: int = N_BOOT, seed: int =
 
 def contrast_report(preds: DataFrame, models: DataFrame, n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:
     """One row per Full-vs-LoRA contrast: McNemar + paired bootstrap deltas.
-    The paired rows are computed once and reused by both tests."""
-    contrasts = find_contrasts(preds, models).cache()
-    paired = paired_predictions(preds, contrasts).cache()
-    mc = mcnemar(paired)
-    wa = M.confusion_wide(paired, ["contrast"], gold="gold_a", pred="pred_a")
-    wb = M.confusion_wide(paired, ["contrast"], gold="gold_a", pred="pred_b")
+    The paired rows are aggregated once into joint cells; McNemar, the point
+    deltas and the bootstrap all read that small table."""
+    contrasts = find_contrasts(preds, models)
+    joint = joint_counts(paired_predictions(preds, contrasts)).cache()
+    mc = mcnemar_from_joint(joint)
+    wa = M.confusion_wide(joint, ["contrast"], gold="gold", pred="pred_a", weight="n")
+    wb = M.confusion_wide(joint, ["contrast"], gold="gold", pred="pred_b", weight="n")
     pa = wa.select("contrast", M.accuracy_col().alias("acc_a"), M.macro_f1_fixed_col().alias("f1_a"))
     pb = wb.select("contrast", M.accuracy_col().alias("acc_b"), M.macro_f1_fixed_col().alias("f1_b"))
-    boot = paired_bootstrap_delta(paired, n_boot, seed)
-    j = contrasts.join(mc, "contrast").join(pa, "contrast").join(pb, "contrast").join(boot, "contrast")
+    boot = paired_bootstrap_delta(None, n_boot, seed, joint=joint)
+    names = joint.select("contrast").distinct().join(contrasts, "contrast")
+    j = names.join(mc, "contrast").join(pa, "contrast").join(pb, "contrast").join(boot, "contrast")
     return j.select(
         F.lit("contrast").alias("kind"), "model", "stage1", F.col("contrast").alias("run_name"),
         "run_full", "run_lora", "n", "mcnemar_b", "mcnemar_c", "mcnemar_stat", "mcnemar_p", "mcnemar_kind",

@@ -217,21 +217,22 @@ def seed_aggregates(config: DataFrame) -> DataFrame:
     ``<base>_seed<N>`` gives (base, N). A suffix-less run counts as seed 42
     only when a seeded sibling with that base exists (and no explicit
     ``_seed42`` run does). Bases with fewer than two seeds are dropped.
-    Input: one row per run (run_name, accuracy, macro_f1).
+    Input: one row per run (run_name, accuracy, macro_f1). One pass: the
+    sibling test is a window over the base, then one aggregation on the same
+    partitioning.
     """
-    seeded = (config.where(F.col("run_name").rlike(SEED_PATTERN))
-              .select(F.regexp_extract("run_name", SEED_PATTERN, 1).alias("base"),
-                      F.regexp_extract("run_name", SEED_PATTERN, 2).cast("long").alias("seed"),
-                      "accuracy", "macro_f1"))
-    bases = seeded.select("base").distinct()
-    explicit42 = seeded.where(F.col("seed") == DEFAULT_SEED).select("base")
-    plain = (config.where(~F.col("run_name").rlike(SEED_PATTERN))
-             .join(bases, F.col("run_name") == F.col("base"), "left_semi")
-             .join(explicit42, F.col("run_name") == F.col("base"), "left_anti")
-             .select(F.col("run_name").alias("base"), F.lit(DEFAULT_SEED).cast("long").alias("seed"),
-                     "accuracy", "macro_f1"))
-    allr = seeded.unionByName(plain)
-    return (allr.groupBy("base")
+    n = F.col("run_name")
+    seeded = n.rlike(SEED_PATTERN)
+    rows = config.select(
+        F.when(seeded, F.regexp_extract(n, SEED_PATTERN, 1)).otherwise(n).alias("base"),
+        F.when(seeded, F.regexp_extract(n, SEED_PATTERN, 2).cast("long")).otherwise(F.lit(DEFAULT_SEED))
+        .alias("seed"),
+        seeded.alias("seeded"), "accuracy", "macro_f1")
+    w = Window.partitionBy("base")
+    rows = rows.withColumn("_has_seeded", F.max(F.col("seeded").cast("int")).over(w) == 1).withColumn(
+        "_explicit42", F.max((F.col("seeded") & (F.col("seed") == DEFAULT_SEED)).cast("int")).over(w) == 1)
+    keep = F.col("seeded") | (F.col("_has_seeded") & ~F.col("_explicit42"))
+    return (rows.where(keep).groupBy("base")
             .agg(F.array_join(F.sort_array(F.collect_list("seed")), ",").alias("seeds"),
                  F.count(F.lit(1)).alias("n_seeds"),
                  F.avg("accuracy").alias("accuracy"), F.stddev_samp("accuracy").alias("acc_std"),

@@ -49,6 +49,8 @@ QUERIES = {
     "bootstrap_ci": lambda spark, sf: I.bootstrap_ci(_preds(spark, sf)),
     "paired_bootstrap_delta": lambda spark, sf: I.paired_bootstrap_delta(
         I.paired_predictions(_preds(spark, sf), _contrasts(spark, sf))),
+    "joint_counts": lambda spark, sf: I.joint_counts(
+        I.paired_predictions(_preds(spark, sf), _contrasts(spark, sf))),
     "contrast_report": lambda spark, sf: I.contrast_report(_preds(spark, sf), X.models(spark)),
     "statistics_table": _statistics,
 }
@@ -121,6 +123,8 @@ select cnt.contrast, n, b as mcnemar_b, c as mcnemar_c,
   case when b + c = 0 then 1.0 when b + c < 25 then {_binom_sql('b', 'c')} end as mcnemar_p_exact,
   contrasts.model, contrasts.stage1
 from cnt join contrasts using (contrast)""", "predictions", "models"),
+    "joint_counts": X.with_fixtures(f"""with {_PAIRS}
+select contrast, gold_a as gold, pred_a, pred_b, count(*) as n from paired group by all""", "predictions", "models"),
     "bootstrap_hash": X.with_fixtures(f"""with {_hash_cte(HASH_REPLICATES)}, {_weighted_wide('j')},
 reps as (select run_name, rep, {S.accuracy()} as acc, {S.macro_fixed()} as f1 from cm)
 select run_name, count(*) as n_boot,
