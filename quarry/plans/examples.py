@@ -197,6 +197,7 @@ select letter, variant, token_id,
   case when token_id is null then 'missing'
        when count(*) over (partition by token_id) > 1 then 'collision' else 'ok' end as status
 from allc""",
+    "active_letters": None,
     "argmax_letter": X.with_fixtures("""
 select vec_id, gold_label,
   substr('ABCDE', list_position([logit_A, logit_B, logit_C, logit_D, logit_E],
@@ -205,3 +206,10 @@ from choice_logits""", "choice_logits"),
     "score_choices": "select vec_id, " + ", ".join(
         f"round({_W.format(d=EMBED_DIM, j=j)}, 6) as logit_{L}" for j, L in enumerate(M.LETTERS)) + " from embeddings",
 }
+
+_RESOLVED = ORACLE["resolve_label_tokens"].strip()
+ORACLE["active_letters"] = X.with_fixtures(f"""with {_mcq_sql()}, {_CLEAN},
+resolved as ({_RESOLVED})
+select array_to_string(list_sort(list(distinct letter)), ',') as letters from (
+  select answer as letter from clean where answer in ('A', 'B', 'C', 'D', 'E')
+  union all select letter from resolved where status = 'ok')""", "mcq_raw")

@@ -47,6 +47,7 @@ QUERIES = {
     "bootstrap_hash_rep0": lambda spark, sf: I.bootstrap_hash_replicates(_preds(spark, sf), 1).select(
         "run_name", "rep", F.col("n").alias("weighted_n"), F.col("n_correct").alias("weighted_correct")),
     "bootstrap_ci": lambda spark, sf: I.bootstrap_ci(_preds(spark, sf)),
+    "config_report": lambda spark, sf: I.bootstrap_ci(_preds(spark, sf)).orderBy("run_name"),
     "paired_bootstrap_delta": lambda spark, sf: I.paired_bootstrap_delta(
         I.paired_predictions(_preds(spark, sf), _contrasts(spark, sf))),
     "joint_counts": lambda spark, sf: I.joint_counts(

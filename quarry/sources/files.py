@@ -256,3 +256,18 @@ def per_group_metric_rows(per_group: DataFrame, run_name: str, stage: str, group
                             F.inline(m)).select(
         "run_name", "stage", F.concat(F.lit("eval/"), F.col(group), F.lit("/"), F.col("k")).alias("metric"),
         F.lit(0).cast("long").alias("step"), F.col("v").alias("value"))
+
+
+# --------------------------------------------------------------------------
+# Training corpus export
+# --------------------------------------------------------------------------
+
+def write_sft_corpus(examples: DataFrame, path: str, split: str = "split") -> DataFrame:
+    """Write rendered examples as JSON-lines shards per split
+    (``<path>/split=train|val``) plus one metadata row with the split sizes
+    (``<path>/_meta``). Returns the metadata row."""
+    examples.write.mode("overwrite").partitionBy(split).json(os.path.join(path, "data"))
+    meta = examples.agg(F.count_if(F.col(split) == "train").alias("train_samples"),
+                        F.count_if(F.col(split) == "val").alias("val_samples"))
+    meta.coalesce(1).write.mode("overwrite").json(os.path.join(path, "_meta"))
+    return meta

@@ -115,3 +115,21 @@ def test_metric_log_append_and_perplexity_table(spark):
     assert FS.read_perplexity_table(spark, os.path.join(d, "ppl")).first().ppl_after == 9.6
     assert FS.scan_run_log(spark, os.path.join(d, "missing")).count() == 0
     _ = F
+
+
+def test_breakdowns_and_sft_export(spark):
+    from quarry.operators import cleaning as C
+    from quarry.operators import examples as E
+    from quarry.plans.cleaning import loaded_mcq
+    d = tempfile.mkdtemp(prefix="quarry-bd-")
+    FS.write_breakdowns(X.predictions(spark, SF001), os.path.join(d, "bd"))
+    cw = spark.read.option("header", True).csv(os.path.join(d, "bd", "classwise"))
+    assert cw.count() == 60 and "run_name" in cw.columns
+    lvl = spark.read.option("header", True).csv(os.path.join(d, "bd", "acc_by_level"))
+    assert lvl.columns == ["run_name", "Y1", "Y2", "Y3", "Y4", "Y5"]
+    ex = E.split_exact(E.build_examples(C.clean_mcq(loaded_mcq(spark, SF001)), "mcq", keep=("question_id",)),
+                       "question_id", 0.05)
+    meta = FS.write_sft_corpus(ex, os.path.join(d, "sft")).first()
+    assert (meta.train_samples, meta.val_samples) == (361, 19)
+    back = spark.read.json(os.path.join(d, "sft", "data"))
+    assert back.where("split = 'val'").count() == 19
