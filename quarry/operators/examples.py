@@ -45,17 +45,22 @@ def split_exact(df: DataFrame, id_col: str, fraction: float, seed: int = 42,
     """Label every row 'val' or 'train'; exactly ceil(fraction * n) rows are
     'val': those with the smallest md5('<seed>:<id>') (ties by id)."""
     keyed = df.withColumn("_h", split_key(F.col(id_col), seed)).withColumn("_b", F.substring("_h", 1, PREFIX_HEX))
+    # One pass builds the histogram (<= 65,536 rows); the windows below run on
+    # that small table only, and the one-row cut is cached so the scalar
+    # subqueries that read it do not rescan the data.
     hist = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    # <= 65,536 rows: this window runs on the histogram, never on the data.
-    cum = hist.select("_b", F.sum("_c").over(Window.orderBy("_b")).alias("_cum"), "_c")
-    n = hist.select(F.sum("_c")).scalar()
-    k = F.ceil(F.lit(fraction) * n)
-    boundary = cum.where(F.col("_cum") >= k).select(F.min("_b")).scalar()
-    before = cum.where(F.col("_b") < boundary).select(F.coalesce(F.sum("_c"), F.lit(0))).scalar()
+    cum = hist.select("_b", "_c", F.sum("_c").over(Window.orderBy("_b")).alias("_cum"),
+                      F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    k = F.ceil(F.lit(fraction) * F.col("_n"))
+    cut = (cum.where(F.col("_cum") >= k)
+           .agg(F.min(F.struct("_b", (F.col("_cum") - F.col("_c")).alias("_before"), k.alias("_k"))).alias("c"))
+           .select("c.*").cache())
+    boundary = cut.select("_b").scalar()
+    remaining = cut.select(F.col("_k") - F.col("_before")).scalar()
     inside = keyed.where(F.col("_b") == boundary)
     # Rows of the boundary bucket only (about n / 65,536 of them).
     ranked = inside.withColumn("_rk", F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col)))
-    inside_lbl = ranked.withColumn(name, F.when(F.col("_rk") <= k - before, "val").otherwise("train")).drop("_rk")
+    inside_lbl = ranked.withColumn(name, F.when(F.col("_rk") <= remaining, "val").otherwise("train")).drop("_rk")
     outside = keyed.where(F.col("_b") != boundary).withColumn(
         name, F.when(F.col("_b") < boundary, "val").otherwise("train"))
     return outside.unionByName(inside_lbl).drop("_h", "_b")
