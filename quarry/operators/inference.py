@@ -95,6 +95,17 @@ def _replicates_paired(batches: Iterator[pd.DataFrame], seed: int) -> Iterator[p
             yield pd.concat(out, ignore_index=True)
 
 
+def _ci(grouped, metrics: dict[str, str], *extra: Column) -> DataFrame:
+    """95% percentile interval per metric: one exact ``percentile`` call per
+    metric returning both bounds (the replicate values are buffered once)."""
+    aggs = [F.percentile(F.col(src), [0.025, 0.975]).alias(f"_{name}") for name, src in metrics.items()]
+    out = grouped.agg(*extra, *aggs)
+    cols = [c for c in out.columns if not c.startswith("_")]
+    for name in metrics:
+        cols += [F.col(f"_{name}")[0].alias(f"{name}_ci_lo"), F.col(f"_{name}")[1].alias(f"{name}_ci_hi")]
+    return out.select(*cols)
+
+
 def _blocks(df: DataFrame, n_boot: int, block: int) -> DataFrame:
     """Fan each row out to ceil(n_boot / block) (block, size) rows."""
     nb = (n_boot + block - 1) // block
@@ -120,9 +131,7 @@ def bootstrap_ci(preds: DataFrame, n_boot: int = N_BOOT, seed: int = SEED, block
     cells = wide.select("run_name", M.cell_array().alias("cells"))
     reps = _blocks(cells, n_boot, block).mapInPandas(
         lambda it: _replicates_single(it, seed), "run_name string, acc double, f1 double")
-    ci = reps.groupBy("run_name").agg(
-        F.percentile("acc", 0.025).alias("acc_ci_lo"), F.percentile("acc", 0.975).alias("acc_ci_hi"),
-        F.percentile("f1", 0.025).alias("f1_ci_lo"), F.percentile("f1", 0.975).alias("f1_ci_hi"))
+    ci = _ci(reps.groupBy("run_name"), {"acc": "acc", "f1": "f1"})
     return point.join(ci, "run_name").select(
         F.lit("config").alias("kind"), "run_name", "accuracy", "acc_ci_lo", "acc_ci_hi",
         "macro_f1", "f1_ci_lo", "f1_ci_hi", "n")
@@ -172,10 +181,7 @@ def bootstrap_hash(preds: DataFrame, n_boot: int) -> DataFrame:
     replicates (exactly reproducible in SQL)."""
     reps = bootstrap_hash_replicates(preds, n_boot).select(
         "run_name", "rep", M.accuracy_col().alias("acc"), M.macro_f1_fixed_col().alias("f1"))
-    return reps.groupBy("run_name").agg(
-        F.count(F.lit(1)).alias("n_boot"),
-        F.percentile("acc", 0.025).alias("acc_ci_lo"), F.percentile("acc", 0.975).alias("acc_ci_hi"),
-        F.percentile("f1", 0.025).alias("f1_ci_lo"), F.percentile("f1", 0.975).alias("f1_ci_hi"))
+    return _ci(reps.groupBy("run_name"), {"acc": "acc", "f1": "f1"}, F.count(F.lit(1)).alias("n_boot"))
 
 
 # --------------------------------------------------------------------------
@@ -324,10 +330,8 @@ def paired_bootstrap_delta(paired: DataFrame, n_boot: int = N_BOOT, seed: int =
     nb = F.count(F.lit(1))
     lo = (F.count_if(F.col("d_f1") <= 0) + 1) / (nb + 1)
     hi = (F.count_if(F.col("d_f1") >= 0) + 1) / (nb + 1)
-    return reps.groupBy("contrast").agg(
-        F.percentile("d_f1", 0.025).alias("f1_delta_ci_lo"), F.percentile("d_f1", 0.975).alias("f1_delta_ci_hi"),
-        F.least(F.lit(1.0), 2 * F.least(lo, hi)).alias("f1_delta_p"),
-        F.percentile("d_acc", 0.025).alias("acc_delta_ci_lo"), F.percentile("d_acc", 0.975).alias("acc_delta_ci_hi"))
+    return _ci(reps.groupBy("contrast"), {"f1_delta": "d_f1", "acc_delta": "d_acc"},
+               F.least(F.lit(1.0), 2 * F.least(lo, hi)).alias("f1_delta_p"))
 
 
 def contrast_report(preds: DataFrame, models: DataFrame, n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:
