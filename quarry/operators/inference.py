@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quarry.operators import metrics as M
+from quarry.session import cut_lineage
 
 LETTERS = M.LETTERS
 K = len(LETTERS)
@@ -125,6 +126,8 @@ def _blocks(df: DataFrame, n_boot: int, block: int) -> DataFrame:
 
 def bootstrap_ci(preds: DataFrame, n_boot: int = N_BOOT, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """Per run: accuracy and macro F1 (fixed rule) with 95% percentile CIs."""
+    # 27 counters per run, read by two branches; cached (recomputed from the
+    # lineage if an executor holding it is lost).
     wide = M.confusion_wide(preds, ["run_name"]).cache()
     point = wide.select("run_name", "n", M.accuracy_col().alias("accuracy"),
                         M.macro_f1_fixed_col().alias("macro_f1"))
@@ -336,23 +339,32 @@ def paired_bootstrap_delta(paired: DataFrame, n_boot: int = N_BOOT, seed: int =
 
 def contrast_report(preds: DataFrame, models: DataFrame, n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:
     """One row per Full-vs-LoRA contrast: McNemar + paired bootstrap deltas.
-    The paired rows are aggregated once into joint cells; McNemar, the point
-    deltas and the bootstrap all read that small table."""
+    The paired rows are aggregated once into joint cells; one aggregation of
+    that small table gives the discordant counts and both sides' confusion
+    cells, and the bootstrap reads the same table."""
     contrasts = find_contrasts(preds, models)
-    joint = joint_counts(paired_predictions(preds, contrasts)).cache()
-    mc = mcnemar_from_joint(joint)
-    wa = M.confusion_wide(joint, ["contrast"], gold="gold", pred="pred_a", weight="n")
-    wb = M.confusion_wide(joint, ["contrast"], gold="gold", pred="pred_b", weight="n")
-    pa = wa.select("contrast", M.accuracy_col().alias("acc_a"), M.macro_f1_fixed_col().alias("f1_a"))
-    pb = wb.select("contrast", M.accuracy_col().alias("acc_b"), M.macro_f1_fixed_col().alias("f1_b"))
+    # The joint table (<= 125 rows per contrast) feeds several branches: it is
+    # computed once and checkpointed into the shared checkpoint folder, so the
+    # branches neither rescan the predictions nor depend on executor memory.
+    joint = cut_lineage(joint_counts(paired_predictions(preds, contrasts)))
+    ca = F.col("pred_a") == F.col("gold")
+    cb = F.col("pred_b") == F.col("gold")
+    stats = joint.groupBy("contrast").agg(
+        F.sum("n").alias("n"), F.sum(F.when(ca & ~cb, F.col("n")).otherwise(0)).alias("b"),
+        F.sum(F.when(~ca & cb, F.col("n")).otherwise(0)).alias("c"),
+        *M.cell_aggs("gold", "pred_a", "n", prefix="a_", totals=False),
+        *M.cell_aggs("gold", "pred_b", "n", prefix="b_", totals=False))
+    point = stats.select(
+        "contrast", "n", *mcnemar_columns(F.col("b"), F.col("c")),
+        (M.macro_f1_fixed_col("a_") - M.macro_f1_fixed_col("b_")).alias("f1_delta"),
+        M._safe_div(M.trace("a_") - M.trace("b_"), F.col("n")).alias("acc_delta"))
     boot = paired_bootstrap_delta(None, n_boot, seed, joint=joint)
-    names = joint.select("contrast").distinct().join(contrasts, "contrast")
-    j = names.join(mc, "contrast").join(pa, "contrast").join(pb, "contrast").join(boot, "contrast")
+    j = contrasts.join(point, "contrast").join(boot, "contrast")
     return j.select(
         F.lit("contrast").alias("kind"), "model", "stage1", F.col("contrast").alias("run_name"),
         "run_full", "run_lora", "n", "mcnemar_b", "mcnemar_c", "mcnemar_stat", "mcnemar_p", "mcnemar_kind",
-        (F.col("f1_a") - F.col("f1_b")).alias("f1_delta"), "f1_delta_ci_lo", "f1_delta_ci_hi", "f1_delta_p",
-        (F.col("acc_a") - F.col("acc_b")).alias("acc_delta"), "acc_delta_ci_lo", "acc_delta_ci_hi")
+        "f1_delta", "f1_delta_ci_lo", "f1_delta_ci_hi", "f1_delta_p",
+        "acc_delta", "acc_delta_ci_lo", "acc_delta_ci_hi")
 
 
 def statistics_table(config: DataFrame, contrasts: DataFrame, seeds: DataFrame) -> DataFrame:

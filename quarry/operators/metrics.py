@@ -25,8 +25,8 @@ LETTERS = ("A", "B", "C", "D", "E")
 LEVELS = ("Y1", "Y2", "Y3", "Y4", "Y5")
 
 
-def cell(g: str, p: str) -> str:
-    return f"n_{g}{p}"
+def cell(g: str, p: str, prefix: str = "n_") -> str:
+    return f"{prefix}{g}{p}"
 
 
 def _sum(cols: Sequence[Column]) -> Column:
@@ -46,6 +46,12 @@ def confusion_wide(df: DataFrame, keys: Sequence[str] = ("run_name",),
                    weight: str | None = None) -> DataFrame:
     """keys + n + n_correct + 25 cell counts ``n_<gold><pred>``, one row per key.
     With ``weight`` the counts are weighted sums (bootstrap replicates)."""
+    return df.groupBy(*keys).agg(*cell_aggs(gold, pred, weight))
+
+
+def cell_aggs(gold: str = "gold_label", pred: str = "pred_label", weight: str | None = None,
+              prefix: str = "n_", totals: bool = True) -> list[Column]:
+    """The kernel's aggregate expressions (usable inside a larger ``agg``)."""
     g, p = F.col(gold), F.col(pred)
     if weight is None:
         def cnt(cond):
@@ -55,54 +61,58 @@ def confusion_wide(df: DataFrame, keys: Sequence[str] = ("run_name",),
         def cnt(cond):
             return F.sum(F.when(cond, F.col(weight)).otherwise(0))
         total = F.sum(weight)
-    aggs = [total.alias("n"), cnt(g == p).alias("n_correct")]
-    aggs += [cnt((g == a) & (p == b)).alias(cell(a, b)) for a in LETTERS for b in LETTERS]
-    return df.groupBy(*keys).agg(*aggs)
+    aggs = [total.alias("n"), cnt(g == p).alias("n_correct")] if totals else []
+    aggs += [cnt((g == a) & (p == b)).alias(cell(a, b, prefix)) for a in LETTERS for b in LETTERS]
+    return aggs
 
 
-def cell_array() -> Column:
+def cell_array(prefix: str = "n_") -> Column:
     """The 25 counts as one array, index = gold * 5 + pred."""
-    return F.array(*[F.col(cell(a, b)) for a in LETTERS for b in LETTERS])
+    return F.array(*[F.col(cell(a, b, prefix)) for a in LETTERS for b in LETTERS])
 
 
-def support(L: str) -> Column:
+def support(L: str, prefix: str = "n_") -> Column:
     """Gold count of letter L (row sum)."""
-    return _sum([F.col(cell(L, b)) for b in LETTERS])
+    return _sum([F.col(cell(L, b, prefix)) for b in LETTERS])
 
 
-def predicted(L: str) -> Column:
+def predicted(L: str, prefix: str = "n_") -> Column:
     """Predicted count of letter L (column sum)."""
-    return _sum([F.col(cell(a, L)) for a in LETTERS])
+    return _sum([F.col(cell(a, L, prefix)) for a in LETTERS])
 
 
-def precision(L: str) -> Column:
-    return _safe_div(F.col(cell(L, L)), predicted(L))
+def precision(L: str, prefix: str = "n_") -> Column:
+    return _safe_div(F.col(cell(L, L, prefix)), predicted(L, prefix))
 
 
-def recall(L: str) -> Column:
-    return _safe_div(F.col(cell(L, L)), support(L))
+def recall(L: str, prefix: str = "n_") -> Column:
+    return _safe_div(F.col(cell(L, L, prefix)), support(L, prefix))
 
 
-def f1(L: str) -> Column:
+def f1(L: str, prefix: str = "n_") -> Column:
     """2tp / (2tp + fp + fn) = 2tp / (support + predicted); 0 when both are 0."""
-    return _safe_div(2 * F.col(cell(L, L)), support(L) + predicted(L))
+    return _safe_div(2 * F.col(cell(L, L, prefix)), support(L, prefix) + predicted(L, prefix))
 
 
-def accuracy_col() -> Column:
+def accuracy_col(correct: str = "n_correct", total: str = "n") -> Column:
     """Share of exact matches; 0 for an empty group."""
-    return _safe_div(F.col("n_correct"), F.col("n"))
+    return _safe_div(F.col(correct), F.col(total))
+
+
+def trace(prefix: str = "n_") -> Column:
+    return _sum([F.col(cell(L, L, prefix)) for L in LETTERS])
 
 
-def macro_f1_fixed_col() -> Column:
+def macro_f1_fixed_col(prefix: str = "n_") -> Column:
     """Mean F1 over all five letters, always divided by 5."""
-    return _sum([f1(L) for L in LETTERS]) / F.lit(5.0)
+    return _sum([f1(L, prefix) for L in LETTERS]) / F.lit(5.0)
 
 
-def macro_f1_present_col() -> Column:
+def macro_f1_present_col(prefix: str = "n_") -> Column:
     """Mean F1 over the letters occurring in gold or prediction (labels absent
     from both have F1 0, so only the divisor differs from the fixed rule)."""
-    present = _sum([F.when(support(L) + predicted(L) > 0, 1).otherwise(0) for L in LETTERS])
-    return F.when(present == 0, F.lit(0.0)).otherwise(_sum([f1(L) for L in LETTERS]) / present)
+    present = _sum([F.when(support(L, prefix) + predicted(L, prefix) > 0, 1).otherwise(0) for L in LETTERS])
+    return F.when(present == 0, F.lit(0.0)).otherwise(_sum([f1(L, prefix) for L in LETTERS]) / present)
 
 
 # --------------------------------------------------------------------------

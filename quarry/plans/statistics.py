@@ -33,7 +33,8 @@ def _mcnemar(spark, sf):
 def _statistics(spark, sf):
     preds = _preds(spark, sf)
     config = I.bootstrap_ci(preds)
-    seeds = M.seed_aggregates(config.select("run_name", "accuracy", "macro_f1"))
+    # Seed aggregates need point estimates only: no second bootstrap.
+    seeds = M.seed_aggregates(M.run_metrics(preds).select("run_name", "accuracy", "macro_f1"))
     return I.statistics_table(config, I.contrast_report(preds, X.models(spark)), seeds)
 
 
