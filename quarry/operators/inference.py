@@ -167,7 +167,7 @@ def bootstrap_hash_replicates(preds: DataFrame, n_boot: int) -> DataFrame:
     # h is a column of its own so the md5 is computed once per (question,
     # replicate) for the weight; zero-weight pairs (h below the first
     # threshold, about 37%) are dropped before the join.
-    w = (q.select("question_id", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+    w = (q.select("question_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_boot - 1).cast("bigint"))).alias("rep"))
          .withColumn("h", hash_value(F.col("question_id"), F.col("rep")))
          .where(F.col("h") >= POISSON_THRESHOLDS[0])
          .select("question_id", "rep", poisson_weight(F.col("h")).alias("w")))

@@ -141,6 +141,6 @@ select s.dataset, s.split, s.samples,
   round(case when s.split = 'train_clean' then (r.samples - s.samples) * 100.0 / r.samples end, 2) as removal_pct
 from sizes s left join sizes r on r.dataset = s.dataset and r.split = 'train_raw'""", "open_qa_raw", "mcq_raw"),
     "profile_table": X.with_fixtures("""
-select umbrella_specialty as value, count(*) as n, sum(count(*)) over () as total_rows, 11 as total_columns
+select umbrella_specialty as value, count(*) as n, cast(sum(count(*)) over () as bigint) as total_rows, 11 as total_columns
 from mcq_raw group by umbrella_specialty""", "mcq_raw"),
 }

@@ -102,7 +102,7 @@ select 'seed_agg' as kind, base as run_name, array_to_string(list_sort(list(seed
   round(avg(macro_f1), 9) as macro_f1, round(stddev_samp(macro_f1), 9) as f1_std
 from allr group by base having count(*) >= 2""", "predictions"),
     "perplexity": X.with_fixtures("""
-select model, variant, coalesce(sum(case when n_target > 0 then n_target end), 0) as n_tokens,
+select model, variant, cast(coalesce(sum(case when n_target > 0 then n_target end), 0) as bigint) as n_tokens,
   round(case when coalesce(sum(case when n_target > 0 then n_target end), 0) = 0 then 'nan'::double
        else exp(sum(case when n_target > 0 then loss * n_target end) / sum(case when n_target > 0 then n_target end)) end, 6)
        as perplexity

@@ -178,7 +178,7 @@ l as (select 'open_qa' as corpus, len({_ids('text')}) as n_tokens from oq_text
 select corpus, count(*) as n, round(quantile_cont(n_tokens, 0.5), 6) as p50,
   round(quantile_cont(n_tokens, 0.95), 6) as p95, round(quantile_cont(n_tokens, 0.99), 6) as p99,
   round(avg(case when n_tokens > {MAX_LEN} then 1.0 else 0.0 end), 6) as share_truncated,
-  max(n_tokens) as max_len
+  cast(max(n_tokens) as integer) as max_len
 from l group by corpus""", "open_qa_raw", "mcq_raw"),
     "export_sft_corpus": X.with_fixtures(f"""with {_mcq_sql()}, {_CLEAN},
 t as (select question_id, {_mcq_prompt(True)} as text from clean)

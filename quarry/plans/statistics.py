@@ -134,6 +134,7 @@ select run_name, count(*) as n_boot,
   round(quantile_cont(f1, 0.025), 9) as f1_ci_lo, round(quantile_cont(f1, 0.975), 9) as f1_ci_hi
 from reps group by run_name""", "predictions"),
     "bootstrap_hash_rep0": X.with_fixtures(f"""with {_hash_cte(1)}
-select run_name, rep, sum(w) as weighted_n, sum(case when gold_label = pred_label then w else 0 end) as weighted_correct
+select run_name, rep, cast(sum(w) as bigint) as weighted_n,
+  cast(sum(case when gold_label = pred_label then w else 0 end) as bigint) as weighted_correct
 from j group by run_name, rep""", "predictions"),
 }
