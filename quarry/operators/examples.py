@@ -57,10 +57,14 @@ def split_exact(df: DataFrame, id_col: str, fraction: float, seed: int = 42,
            .select("c.*").cache())
     boundary = cut.select("_b").scalar()
     remaining = cut.select(F.col("_k") - F.col("_before")).scalar()
-    inside = keyed.where(F.col("_b") == boundary)
-    # Rows of the boundary bucket only (about n / 65,536 of them).
-    ranked = inside.withColumn("_rk", F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col)))
-    inside_lbl = ranked.withColumn(name, F.when(F.col("_rk") <= remaining, "val").otherwise("train")).drop("_rk")
+    # Rows of the boundary bucket only (about n / 65,536 of them, unless one
+    # id is repeated massively). They are ranked by a range-partitioned sort
+    # whose key ends in a per-row tiebreaker, so even a hot id is split over
+    # many tasks, then by the partition-offset ordinal -- no single-task window.
+    inside = keyed.where(F.col("_b") == boundary).withColumn("_tie", F.monotonically_increasing_id())
+    ranked = with_ordinal(inside.orderBy("_h", id_col, "_tie"), "_rk")
+    inside_lbl = ranked.withColumn(name, F.when(F.col("_rk") < remaining, "val").otherwise("train")).drop(
+        "_rk", "_tie")
     outside = keyed.where(F.col("_b") != boundary).withColumn(
         name, F.when(F.col("_b") < boundary, "val").otherwise("train"))
     return outside.unionByName(inside_lbl).drop("_h", "_b")

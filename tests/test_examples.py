@@ -141,3 +141,13 @@ def test_linear_scorer_batches(spark):
     for r in out.collect():
         exp = np.array([float(r.id + j) for j in range(4)]) @ w.T
         assert [r[f"logit_{L}"] for L in "ABCDE"] == pytest.approx(list(exp))
+
+
+def test_split_exact_hot_id(spark):
+    """A third of the rows share one id: the split is still exactly ceil(f*n)
+    and the boundary ranking is not done by a single-task window."""
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    out = E.split_exact(hot, "k", 0.3)
+    assert out.where("split = 'val'").count() == math.ceil(0.3 * 3000) and out.count() == 3000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("Subquery")[0]
