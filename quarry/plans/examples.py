@@ -14,7 +14,7 @@ from quarry.operators.rows import with_ordinal
 from quarry.plans import sqlgen as S
 from quarry.plans.cleaning import _CLEAN, _OPEN_QA, _mcq_sql, loaded_mcq, loaded_open_qa
 from quarry.sources import fixtures as X
-from quarry.sources.tables import table
+from quarry.sources.tables import spread, table
 
 MAX_LEN = 512
 CAP = 100
@@ -49,7 +49,8 @@ def _lengths(spark, sf):
 
 
 def _vocab(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("token")).distinct()
+    docs = spread(table(spark, sf, "documents").select("text"))
+    words = docs.select(F.explode(F.split("text", " ")).alias("token")).distinct()
     return words.select("token", I.hash_value(F.col("token"), F.lit("vocab")).alias("token_id"))
 
 
