@@ -28,20 +28,22 @@ def loaded_open_qa(spark, sf):
 
 
 def _overview(spark, sf):
-    oq_raw = X.open_qa_raw(spark, sf)
-    mcq = loaded_mcq(spark, sf)
-    parts = [
-        oq_raw.agg(F.lit("open_qa").alias("dataset"), F.lit("train_raw").alias("split"),
-                   F.count(F.lit(1)).alias("samples")),
-        loaded_open_qa(spark, sf).agg(F.lit("open_qa").alias("dataset"), F.lit("train").alias("split"),
-                                      F.count(F.lit(1)).alias("samples")),
-        mcq.agg(F.lit("mcq").alias("dataset"), F.lit("train_raw").alias("split"), F.count(F.lit(1)).alias("samples")),
-        C.clean_mcq(mcq).agg(F.lit("mcq").alias("dataset"), F.lit("train_clean").alias("split"),
-                             F.count(F.lit(1)).alias("samples")),
-    ]
-    sizes = parts[0]
-    for p in parts[1:]:
-        sizes = sizes.unionByName(p)
+    """Dataset sizes from one pass per source: the open-QA raw and loaded
+    counts in one aggregation, the MCQ raw and clean counts from the cleaning
+    counters (one aggregation); the four size rows are a generator, no union
+    of separate scans."""
+    oq = X.open_qa_raw(spark, sf)
+    q = C.coalesce_question("question_description", "question_title")
+    a = T.fill_strip("answer_details_1")
+    oq_sizes = oq.agg(F.count(F.lit(1)).alias("raw"),
+                      F.count_if((F.length(q) > 0) & (F.length(a) > 0)).alias("loaded"))
+    counters = C.clean_mcq_with_counters(loaded_mcq(spark, sf))
+    sizes = oq_sizes.select(F.inline(F.array(
+        F.struct(F.lit("open_qa").alias("dataset"), F.lit("train_raw").alias("split"), F.col("raw").alias("samples")),
+        F.struct(F.lit("open_qa").alias("dataset"), F.lit("train").alias("split"), F.col("loaded").alias("samples"))
+    ))).unionByName(counters.select(F.inline(F.array(
+        F.struct(F.lit("mcq").alias("dataset"), F.lit("train_raw").alias("split"), F.col("original").alias("samples")),
+        F.struct(F.lit("mcq").alias("dataset"), F.lit("train_clean").alias("split"), F.col("final").alias("samples"))))))
     return C.dataset_overview(sizes)
 
 

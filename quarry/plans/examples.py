@@ -13,6 +13,7 @@ from quarry.operators import scoring as R
 from quarry.operators.rows import with_ordinal
 from quarry.plans import sqlgen as S
 from quarry.plans.cleaning import _CLEAN, _OPEN_QA, _mcq_sql, loaded_mcq, loaded_open_qa
+from quarry.session import cut_lineage
 from quarry.sources import fixtures as X
 from quarry.sources.tables import spread, table
 
@@ -48,6 +49,14 @@ def _lengths(spark, sf):
                        "max_len")
 
 
+def _export(spark, sf):
+    """Clean -> render -> split. The rendered corpus is the table this step
+    writes anyway; it is checkpointed into the shared folder first, because
+    the exact split reads its input three times (histogram, bulk, boundary)."""
+    rendered = E.build_examples(C.clean_mcq(loaded_mcq(spark, sf)), "mcq", keep=("question_id",))
+    return E.split_exact(cut_lineage(rendered), "question_id", 0.05, 42)
+
+
 def _vocab(spark, sf):
     docs = spread(table(spark, sf, "documents").select("text"))
     words = docs.select(F.explode(F.split("text", " ")).alias("token")).distinct()
@@ -88,9 +97,7 @@ QUERIES = {
     "tokenise_and_mask": _tokenised,
     "pad_batches": _pad,
     "token_length_profile": _lengths,
-    "export_sft_corpus": lambda spark, sf: E.split_exact(
-        E.build_examples(C.clean_mcq(loaded_mcq(spark, sf)), "mcq", keep=("question_id",)),
-        "question_id", 0.05, 42),
+    "export_sft_corpus": _export,
     "resolve_label_tokens": lambda spark, sf: E.resolve_label_tokens(_vocab(spark, sf)),
     "argmax_letter": lambda spark, sf: X.choice_logits(spark, sf).select(
         "vec_id", "gold_label", R.argmax_letter().alias("pred_label")),
