@@ -12,12 +12,14 @@ result map -- is JVM-side column work.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarry.functions import text as T
 from quarry.operators import metrics as M
@@ -40,19 +42,45 @@ class LinearScorer:
         return features @ self.w.T
 
 
-def score_choices(df: DataFrame, scorer_factory: Callable[[], Callable[[np.ndarray], np.ndarray]],
+class OptionLengthScorer:
+    """A deterministic text scorer for prompts: the logit of a letter is the
+    length of that option's text in the prompt's options block (0 when the
+    option line is absent). It stands in for a language model so the prompt
+    path runs end to end and can be checked in SQL."""
+
+    _line = re.compile(r"^([A-E])\) (.*)$")
+
+    def __call__(self, prompts: Sequence[str]) -> np.ndarray:
+        out = np.zeros((len(prompts), len(LETTERS)))
+        for i, p in enumerate(prompts):
+            block = p.rsplit("### Options:\n", 1)[-1].split("\n\n### Answer:", 1)[0]
+            for line in block.split("\n"):
+                m = self._line.match(line)
+                if m:
+                    out[i, LETTERS.index(m.group(1))] = len(m.group(2))
+        return out
+
+
+def score_choices(df: DataFrame, scorer_factory: Callable[[], Callable],
                   features: str, keep: Sequence[str], batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Append logit_A..logit_E from ``scorer(features_batch)``; batches of
-    ``batch_size`` rows within each Arrow batch (one scorer per task)."""
+    """Append logit_A..logit_E from ``scorer(batch)``, ``batch_size`` rows at
+    a time within each Arrow batch (one scorer per task, built by the
+    factory). A string column is passed as a list of prompts, a numeric
+    array column as a (batch, dim) float matrix."""
     src = df.select(*keep, features)
     fields = [f for f in src.schema.fields if f.name in keep]
+    is_text = isinstance(src.schema[features].dataType, StringType)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
                        + [f"logit_{L} double" for L in LETTERS])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
         for pdf in batches:
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[features]]) if len(pdf) else np.zeros((0, 0))
+            if is_text:
+                x = pdf[features].tolist()
+            else:
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[features]]) if len(pdf) \
+                    else np.zeros((0, 0))
             out = np.empty((len(pdf), len(LETTERS)))
             for s in range(0, len(pdf), batch_size):
                 out[s:s + batch_size] = scorer(x[s:s + batch_size])

@@ -69,6 +69,19 @@ def _scored(spark, sf):
     return scored
 
 
+EVAL_KEEP = ("question_id", "answer", "specialty", "umbrella_specialty", "level")
+
+
+def _mcq_predictions(spark, sf):
+    """Clean MCQ -> evaluation prompt -> batched text scorer -> argmax ->
+    prediction rows (the evaluation path with a built-in scorer)."""
+    clean = C.clean_mcq(loaded_mcq(spark, sf))
+    prompts = clean.select(*EVAL_KEEP, E.prompt_mcq(include_answer=False).alias("prompt"))
+    scored = R.score_choices(prompts, R.OptionLengthScorer, "prompt", keep=EVAL_KEEP)
+    return R.assemble_predictions(scored, R.argmax_letter(), ["question_id", "specialty", "umbrella_specialty",
+                                                              "level"])
+
+
 def _evaluate(spark, sf):
     s = _scored(spark, sf).withColumn("question_id", F.col("vec_id").cast("string")).withColumn(
         "answer", F.substring(F.lit("ABCDE"), (F.col("label") % 5).cast("int") + 1, 1)).withColumn(
@@ -108,6 +121,10 @@ QUERIES = {
         E.resolve_label_tokens(_vocab(spark, sf)).where("status = 'ok'")).select(
         F.array_join("letters", ",").alias("letters")),
     "evaluate_run": _evaluate,
+    "evaluate_mcq_predictions": _mcq_predictions,
+    "evaluate_mcq": lambda spark, sf: R.eval_results(_mcq_predictions(spark, sf)).select(
+        "accuracy", "macro_f1", "total_samples"),
+    "evaluate_mcq_groups": lambda spark, sf: M.per_group_metrics(_mcq_predictions(spark, sf), "specialty", ()),
 }
 
 
@@ -221,3 +238,25 @@ resolved as ({_RESOLVED})
 select array_to_string(list_sort(list(distinct letter)), ',') as letters from (
   select answer as letter from clean where answer in ('A', 'B', 'C', 'D', 'E')
   union all select letter from resolved where status = 'ok')""", "mcq_raw")
+
+
+def _mcq_eval_sql() -> str:
+    fs = S.fill_strip
+    lens = ", ".join(f"cast(length({fs('option_' + L.lower())}) as double) as logit_{L}" for L in M.LETTERS)
+    arr = "[logit_A, logit_B, logit_C, logit_D, logit_E]"
+    return f"""{_mcq_sql()}, {_CLEAN},
+lg as (select question_id, answer, specialty, umbrella_specialty, level, {lens} from clean),
+mp as (select question_id, upper({fs('answer')}) as gold_label,
+         substr('ABCDE', list_position({arr}, list_max({arr})), 1) as pred_label,
+         specialty, umbrella_specialty, level, logit_A, logit_B, logit_C, logit_D, logit_E from lg),
+mcq_preds as (select question_id, gold_label, pred_label, pred_label = gold_label as correct, specialty,
+                umbrella_specialty, level, logit_A, logit_B, logit_C, logit_D, logit_E from mp)"""
+
+
+ORACLE["evaluate_mcq_predictions"] = X.with_fixtures(f"with {_mcq_eval_sql()} select * from mcq_preds", "mcq_raw")
+ORACLE["evaluate_mcq"] = X.with_fixtures(f"""with {_mcq_eval_sql()},
+{S.wide_cte('mcq_preds', ['1'])}
+select {S.accuracy()} as accuracy, {S.macro_present()} as macro_f1, n as total_samples from cm""", "mcq_raw")
+ORACLE["evaluate_mcq_groups"] = X.with_fixtures(f"""with {_mcq_eval_sql()},
+{S.wide_cte('mcq_preds', ['specialty'])}
+select specialty, {S.accuracy()} as accuracy, {S.macro_present()} as macro_f1, n as count from cm""", "mcq_raw")

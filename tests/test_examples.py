@@ -151,3 +151,24 @@ def test_split_exact_hot_id(spark):
     assert out.where("split = 'val'").count() == math.ceil(0.3 * 3000) and out.count() == 3000
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan.split("Subquery")[0]
+
+
+def test_text_scorer_path(spark):
+    """Prompts go to the scorer in batches; logits are the option lengths."""
+    seen = []
+
+    class Recording(R.OptionLengthScorer):
+        def __call__(self, prompts):
+            seen.append(len(prompts))
+            return super().__call__(prompts)
+
+    rows = [(i, "Q", "a" * (i % 3 + 1), "bb", "c", "d", "e" * (i % 2), "A") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, question string, option_a string, option_b string, option_c string, "
+                                     "option_d string, option_e string, answer string")
+    prompts = df.select("id", E.prompt_mcq(False).alias("p")).coalesce(1)
+    out = {r.id: r for r in R.score_choices(prompts, Recording, "p", keep=("id",), batch_size=16).collect()}
+    assert out[2].logit_A == 3.0 and out[2].logit_B == 2.0 and out[2].logit_E == 0.0
+    assert out[1].logit_E == 1.0
+    pred = {r.id: r[0] for r in R.score_choices(prompts, R.OptionLengthScorer, "p", keep=("id",))
+            .select("id", R.argmax_letter()).collect()}
+    assert pred[0] == "B" and pred[2] == "A" and pred[1] == "A"
