@@ -169,6 +169,6 @@ def test_text_scorer_path(spark):
     out = {r.id: r for r in R.score_choices(prompts, Recording, "p", keep=("id",), batch_size=16).collect()}
     assert out[2].logit_A == 3.0 and out[2].logit_B == 2.0 and out[2].logit_E == 0.0
     assert out[1].logit_E == 1.0
-    pred = {r.id: r[0] for r in R.score_choices(prompts, R.OptionLengthScorer, "p", keep=("id",))
+    pred = {r.id: r[1] for r in R.score_choices(prompts, R.OptionLengthScorer, "p", keep=("id",))
             .select("id", R.argmax_letter()).collect()}
     assert pred[0] == "B" and pred[2] == "A" and pred[1] == "A"
