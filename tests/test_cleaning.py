@@ -1,6 +1,5 @@
 """Loading and cleaning: golden counters, step order, keep-first, fallbacks."""
 
-from pyspark.sql import functions as F
 
 from quarry.operators import catalog as K
 from quarry.operators import cleaning as C
@@ -106,4 +105,3 @@ def test_dataset_overview(spark):
     r = {x.split: x for x in C.dataset_overview(sizes).collect()}
     assert r["train_clean"].removed == 2253 and r["train_clean"].removal_pct == 11.33
     assert r["train_raw"].removed is None
-    _ = F

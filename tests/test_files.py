@@ -4,7 +4,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from quarry.operators import metrics as M
 from quarry.sources import files as FS
@@ -114,7 +113,6 @@ def test_metric_log_append_and_perplexity_table(spark):
     FS.write_perplexity_table(ppl, os.path.join(d, "ppl"))
     assert FS.read_perplexity_table(spark, os.path.join(d, "ppl")).first().ppl_after == 9.6
     assert FS.scan_run_log(spark, os.path.join(d, "missing")).count() == 0
-    _ = F
 
 
 def test_breakdowns_and_sft_export(spark):
