@@ -123,18 +123,24 @@ def assemble_predictions(scored: DataFrame, pred: Column, present: Sequence[str]
         *[F.col(f"logit_{L}") for L in LETTERS])
 
 
-def eval_results(preds: DataFrame, group: str = "specialty", keys: Sequence[str] = ()) -> DataFrame:
+def eval_results(preds: DataFrame, group: str = "specialty", keys: Sequence[str] = (),
+                 token_map: DataFrame | None = None) -> DataFrame:
     """One row per key: accuracy, macro F1 (present-label rule), total, and a
-    map group -> {accuracy, macro_f1, count} (one aggregation per level)."""
+    map group -> {accuracy, macro_f1, count} (one aggregation per level).
+    With ``token_map`` (letter, token_id) the result also carries the map
+    letter -> answer token id used for scoring."""
     g = M.per_group_metrics(preds, group, keys)
     per = g.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
         F.col(group), F.struct("accuracy", "macro_f1", "count")))).alias("per_specialty_scores"))
     overall = M.confusion_wide(preds, keys).select(
         *keys, M.accuracy_col().alias("accuracy"), M.macro_f1_present_col().alias("macro_f1"),
         F.col("n").alias("total_samples"))
-    if keys:
-        return overall.join(per, list(keys))
-    return _one_row_join(overall, per)
+    out = overall.join(per, list(keys)) if keys else _one_row_join(overall, per)
+    if token_map is not None:
+        tm = token_map.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("letter", "token_id"))))
+                           .alias("answer_token_ids"))
+        out = _one_row_join(out, tm)
+    return out
 
 
 def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -87,7 +87,8 @@ def _evaluate(spark, sf):
         "answer", F.substring(F.lit("ABCDE"), (F.col("label") % 5).cast("int") + 1, 1)).withColumn(
         "specialty", F.concat(F.lit("group_"), (F.col("label") % 3).cast("string")))
     preds = R.assemble_predictions(s, R.argmax_letter(), ["question_id", "specialty"])
-    return R.eval_results(preds)
+    tokens = E.resolve_label_tokens(_vocab(spark, sf)).where("status = 'ok'").select("letter", "token_id")
+    return R.eval_results(preds, token_map=tokens)
 
 
 QUERIES = {
