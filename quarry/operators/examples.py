@@ -148,6 +148,12 @@ class CharTokenizer:
         chars = F.filter(F.split(text, ""), lambda c: F.length(c) > 0)
         return F.concat(F.array(F.lit(self.bos)), F.transform(chars, lambda c: F.ascii(c) + self.offset))
 
+    def count(self, text: Column) -> Column:
+        """Number of ids without building them: BOS + one per code point
+        (equal to size(ids(text)); Spark's character split and length both
+        count code points)."""
+        return F.length(text) + 1
+
     # Python form
     def encode(self, text: str) -> list[int]:
         return [self.bos] + [ord(c) + self.offset for c in text]

@@ -41,9 +41,9 @@ def _pad(spark, sf):
 
 def _lengths(spark, sf):
     tok = E.CharTokenizer()
-    oq = _oq_text(spark, sf).select(F.lit("open_qa").alias("corpus"), F.size(tok.ids(F.col("text"))).alias("n_tokens"))
+    oq = _oq_text(spark, sf).select(F.lit("open_qa").alias("corpus"), tok.count(F.col("text")).alias("n_tokens"))
     mcq = E.build_examples(C.clean_mcq(loaded_mcq(spark, sf)), "mcq").select(
-        F.lit("mcq").alias("corpus"), F.size(tok.ids(F.col("text"))).alias("n_tokens"))
+        F.lit("mcq").alias("corpus"), tok.count(F.col("text")).alias("n_tokens"))
     prof = M.token_length_profile(oq.unionByName(mcq), MAX_LEN)
     return prof.select("corpus", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "share_truncated")],
                        "max_len")

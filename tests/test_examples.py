@@ -172,3 +172,10 @@ def test_text_scorer_path(spark):
     pred = {r.id: r[1] for r in R.score_choices(prompts, R.OptionLengthScorer, "p", keep=("id",))
             .select("id", R.argmax_letter()).collect()}
     assert pred[0] == "B" and pred[2] == "A" and pred[1] == "A"
+
+
+def test_char_count_equals_ids(spark):
+    tok = E.CharTokenizer()
+    df = spark.createDataFrame([(t,) for t in ["", "a", "a😀b", "مرحبا\n", "x​y"]], "t string")
+    for r in df.select(F.size(tok.ids(F.col("t"))).alias("n"), tok.count(F.col("t")).alias("m")).collect():
+        assert r.n == r.m
