@@ -131,3 +131,19 @@ def test_breakdowns_and_sft_export(spark):
     assert (meta.train_samples, meta.val_samples) == (361, 19)
     back = spark.read.json(os.path.join(d, "sft", "data"))
     assert back.where("split = 'val'").count() == 19
+
+
+def test_statistics_table_csv(spark):
+    from quarry.operators import inference as I
+    preds = X.predictions(spark, SF001)
+    config = I.bootstrap_ci(preds, n_boot=300)
+    seeds = M.seed_aggregates(M.run_metrics(preds))
+    stats = I.statistics_table(config, I.contrast_report(preds, X.models(spark), n_boot=300), seeds)
+    d = os.path.join(tempfile.mkdtemp(prefix="quarry-stats-"), "statistics")
+    FS.write_statistics(stats, d)
+    back = spark.read.option("header", True).csv(d)
+    kinds = {r.kind: r["count"] for r in back.groupBy("kind").count().collect()}
+    assert kinds == {"config": 12, "contrast": 3, "seed_agg": 1}
+    assert set(back.columns) >= {"kind", "run_name", "acc_ci_lo", "mcnemar_p", "f1_delta_p", "seeds", "acc_std"}
+    row = back.where("kind = 'seed_agg'").first()
+    assert row.seeds == "42,1337,2024" and row.mcnemar_p is None
