@@ -78,3 +78,38 @@ def test_run_matrix_names(spark):
     assert "alpha-8b_s1-none_s2-lora_lr1e-4" in names and "alpha-8b_s1-none_s2-lora_do0.1" in names
     assert "gamma-7b_s1-none_s2-none" in names and "alpha-8b_s1-none_s2-lora" not in names
     assert K.existing_conditions(X.models(spark)).count() == 14
+
+
+SPEC = "run_name string, short_name string, model_id string, stage1_method string, stage2_method string, " \
+       "phase string, train boolean"
+
+
+def test_reinfer_plan_actions(spark):
+    specs = spark.createDataFrame([
+        ("m_s1-none_s2-none", "m", "id", "none", "none", "reinfer", False),   # zero-shot, no predictions
+        ("m_s1-none_s2-lora", "m", "id", "none", "lora", "reinfer", False),   # has predictions
+        ("m_s1-lora_s2-full", "m", "id", "lora", "full", "reinfer", False),   # needs stage2, absent
+        ("m_s1-lora_s2-none", "m", "id", "lora", "none", "reinfer", False),   # needs stage1, present
+    ], SPEC)
+    preds = spark.createDataFrame([("m_s1-none_s2-lora",)], "run_name string")
+    ck = spark.createDataFrame([("m_s1-lora_s2-none", "stage1"), ("m_s1-lora_s2-full", "stage1")],
+                               "run_name string, stage string")
+    got = {r.run_name: r.action for r in K.reinfer_plan(specs, preds, ck).collect()}
+    assert got == {"m_s1-none_s2-none": "REINFER", "m_s1-none_s2-lora": "SKIP",
+                   "m_s1-lora_s2-full": "MISSING CHECKPOINT", "m_s1-lora_s2-none": "REINFER"}
+
+
+def test_collect_specs_first_wins(spark):
+    known = spark.createDataFrame([("a", "m", "id", "none", "none", "reinfer", False)], SPEC)
+    scanned = spark.createDataFrame([("a", "m", "id", "lora", "lora", "scan", True),
+                                     ("b", "m", "id", "none", "full", "scan", True)], SPEC)
+    got = {r.run_name: r.phase for r in K.collect_specs(known, scanned).collect()}
+    assert got == {"a": "reinfer", "b": "scan"}
+
+
+def test_sorted_report_order(spark):
+    cfg = spark.createDataFrame([(n,) for n in ["z_s1-none_s2-full", "a_s1-lora_s2-lora", "b_s1-none_s2-none",
+                                                "a_s1-none_s2-none", "x_s1-none_s2-lora_seed7"]], "run_name string")
+    got = [r.run_name for r in K.sorted_report(cfg).collect()]
+    assert got == ["a_s1-none_s2-none", "b_s1-none_s2-none", "z_s1-none_s2-full", "a_s1-lora_s2-lora",
+                   "x_s1-none_s2-lora_seed7"]

@@ -179,3 +179,9 @@ def test_char_count_equals_ids(spark):
     df = spark.createDataFrame([(t,) for t in ["", "a", "a😀b", "مرحبا\n", "x​y"]], "t string")
     for r in df.select(F.size(tok.ids(F.col("t"))).alias("n"), tok.count(F.col("t")).alias("m")).collect():
         assert r.n == r.m
+
+
+def test_active_letters(spark):
+    answers = spark.createDataFrame([("B",), ("A",), ("Z",)], "answer string")
+    tokens = spark.createDataFrame([("E", 5)], "letter string, token_id long")
+    assert list(R.active_letters(answers, tokens).first().letters) == ["A", "B", "E"]

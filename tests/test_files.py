@@ -147,3 +147,14 @@ def test_statistics_table_csv(spark):
     assert set(back.columns) >= {"kind", "run_name", "acc_ci_lo", "mcnemar_p", "f1_delta_p", "seeds", "acc_std"}
     row = back.where("kind = 'seed_agg'").first()
     assert row.seeds == "42,1337,2024" and row.mcnemar_p is None
+
+
+def test_run_log_json_and_metric_rows(spark):
+    d = tempfile.mkdtemp(prefix="quarry-runlog-")
+    p = _write(d, "runs.json", json.dumps({"name": "r1", "state": "finished", "accuracy": 0.5, "macro_f1": 0.4,
+                                           "tags": ["revision"]}) + "\n")
+    r = FS.scan_run_log(spark, p).first()
+    assert (r.name, r.state, r.accuracy, list(r.tags)) == ("r1", "finished", 0.5, ["revision"])
+    per = spark.createDataFrame([("x", 0.123456, 0.5, 3)], "specialty string, accuracy double, macro_f1 double, count long")
+    rows = {r.metric: r.value for r in FS.per_group_metric_rows(per, "run", "eval").collect()}
+    assert rows == {"eval/x/accuracy": 0.123456, "eval/x/macro_f1": 0.5, "eval/x/count": 3.0}
