@@ -71,3 +71,48 @@ def test_multinomial_replicates_keep_n(counts):
     assert (draws[:, c == 0] == 0).all()
     acc, f1 = I._acc_f1(draws.reshape(-1, 5, 5))
     assert ((acc >= 0) & (acc <= 1)).all() and ((f1 >= 0) & (f1 <= 1)).all()
+
+
+LABEL = st.sampled_from("ABCDE")
+
+
+def _py_metrics(gold, pred, labels):
+    f1s = []
+    for L in labels:
+        tp = sum(g == L and p == L for g, p in zip(gold, pred))
+        fp = sum(g != L and p == L for g, p in zip(gold, pred))
+        fn = sum(g == L and p != L for g, p in zip(gold, pred))
+        f1s.append(0.0 if 2 * tp + fp + fn == 0 else 2 * tp / (2 * tp + fp + fn))
+    return sum(f1s) / len(f1s)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["r1", "r2", "r3"]), LABEL, LABEL), min_size=1, max_size=80))
+def test_kernel_matches_python_counts(spark, rows):
+    import pytest
+
+    from quarry.operators import metrics as M
+    df = spark.createDataFrame([(r, i, g, p) for i, (r, g, p) in enumerate(rows)],
+                               "run_name string, question_id long, gold_label string, pred_label string")
+    got = {r.run_name: r for r in M.run_metrics(df).collect()}
+    for run in {r for r, _, _ in rows}:
+        gold = [g for r, g, _ in rows if r == run]
+        pred = [p for r, _, p in rows if r == run]
+        m = got[run]
+        assert m.n == len(gold) and m.n_correct == sum(g == p for g, p in zip(gold, pred))
+        assert m.macro_f1 == pytest.approx(_py_metrics(gold, pred, list("ABCDE")))
+        assert m.macro_f1_present == pytest.approx(_py_metrics(gold, pred, sorted(set(gold) | set(pred))))
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.sampled_from(["q1", "q2", "q3", "  q1 ", "q4"]), min_size=1, max_size=40),
+       st.integers(min_value=1, max_value=6))
+def test_keep_first_any_partitioning(spark, questions, parts):
+    from quarry.operators import cleaning as C
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(questions)], "row_idx long, question string")
+    df = C.fill_and_strip(df, ("question",)).repartition(parts)
+    got = sorted((r.question, r.row_idx) for r in C.dedup_keep_first(df).collect())
+    first = {}
+    for i, q in enumerate(questions):
+        first.setdefault(q.strip(), i)
+    assert got == sorted(first.items())
