@@ -23,6 +23,8 @@ def spark():
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quarry-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from quarry.session import ship_package
+    ship_package(s)
     yield s
     s.stop()
 
