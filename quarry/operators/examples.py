@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as T
 from quarry.operators.rows import with_ordinal
+from quarry.session import cut_lineage
 
 # Prompt layout.
 QUESTION_HEADER = "### Question:\n"
@@ -61,7 +62,10 @@ def split_exact(df: DataFrame, id_col: str, fraction: float, seed: int = 42,
     # id is repeated massively). They are ranked by a range-partitioned sort
     # whose key ends in a per-row tiebreaker, so even a hot id is split over
     # many tasks, then by the partition-offset ordinal -- no single-task window.
-    inside = keyed.where(F.col("_b") == boundary).withColumn("_tie", F.monotonically_increasing_id())
+    # The boundary rows (small) are checkpointed with their tiebreaker: the
+    # ranking below reads them several times (range sampling, sort, ordinal
+    # offsets) without rescanning the input, and the tiebreaker is fixed once.
+    inside = cut_lineage(keyed.where(F.col("_b") == boundary).withColumn("_tie", F.monotonically_increasing_id()))
     ranked = with_ordinal(inside.orderBy("_h", id_col, "_tie"), "_rk")
     inside_lbl = ranked.withColumn(name, F.when(F.col("_rk") < remaining, "val").otherwise("train")).drop(
         "_rk", "_tie")
