@@ -1,0 +1,64 @@
+import hashlib
+import re
+
+from quarry.llm.secret_links import digest, find_secrets
+from tests.llm.conftest import bag
+
+ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+                    re.I | re.A)
+KINDS = ("assign", "access", "hex")
+
+
+def base(t):
+    out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
+
+
+def want(rows):
+    out = []
+    for i, t in rows:
+        b = base(t)
+        n = [sum(s[0] == k for s in b) for k in KINDS]
+        out.append((i, *n, hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in b).encode()).hexdigest()))
+    return bag(out)
+
+
+def test_base_spans(docs, rows, clash, empty):
+    assert bag(tuple(r)[:5] for r in digest(find_secrets(docs)).collect()) == want(rows)
+    assert bag(tuple(r)[:5] for r in digest(find_secrets(clash, keep=("rid",))).collect()) == want(rows)
+    assert digest(find_secrets(empty)).count() == 0
+
+
+def spans(spark, text, **kw):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = find_secrets(df, **kw).first()["spans"]
+    return [(s["kind"], text[s["start"]: s["end"]]) for s in found]
+
+
+def test_weak_parts_need_a_partner(spark):
+    key = "Q2xlYW5WYWx1ZVdpdGhvdXRQYXJ0bmVyMTIz"
+    assert spans(spark, f"some text {key} more") == []
+    assert spans(spark, "see https://docs.example.com/ and user_name: bill") == []
+    both = spans(spark, f"see https://api.example.com/v1 key {key} end")
+    assert both == [("secret", key), ("endpoint", "https://api.example.com/v1")] or bag(both) == bag(
+        [("secret", key), ("endpoint", "https://api.example.com/v1")])
+
+
+def test_scope_and_reach(spark):
+    key = "Q2xlYW5WYWx1ZVdpdGhvdXRQYXJ0bmVyMTIz"
+    assert spans(spark, f"client_id=svc-bill\n\n{key}") == []
+    assert bag(spans(spark, f"client_id=svc-bill\n{key}")) == bag([("identifier", "client_id=svc-bill"), ("secret", key)])
+    far = "client_id=svc-bill " + "word " * 100 + key
+    assert spans(spark, far) == [] and len(spans(spark, far, reach=1000)) == 2
+
+
+def test_weak_spans_add_to_base(docs):
+    for r in find_secrets(docs).collect():
+        assert [tuple(s) for s in r["base"]] == [tuple(s) for s in r["spans"]][: len(r["base"])]
+
+
+def test_many_parts_in_one_text(spark):
+    text = "client_id=svc-bill Q2xlYW5WYWx1ZVdpdGhvdXRQYXJ0bmVyMTIz " * 300
+    assert len(spans(spark, text)) == 600
