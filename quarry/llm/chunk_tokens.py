@@ -1,99 +1,134 @@
-"""Token ids of whole texts with the tokenizers library, each distinct chunk
-encoded once per worker.
+"""Token ids of whole texts, each distinct chunk encoded once per worker.
 
 A byte-level BPE with the usual word pattern never forms a token across a
-boundary from a character that is no white space to a space: no alternative of
-the pattern continues past it. So the ids of a text are the ids of its chunks
-in order, cut there. Corpus words repeat, so a bounded table of chunks seen by
-this worker replaces nearly all encoding work.
+boundary from a character that is no white space to white space: no alternative
+of the pattern continues past it. A line feed between two characters that are no
+white space is a token group of its own. So the ids of a text are the ids of its
+chunks in order: its lines, cut before each space. A text with two white space
+characters in a row is cut by a pattern that keeps white space runs together.
+
+Corpus words repeat, so a bounded table of the chunks a worker has seen replaces
+nearly all encoding work. The ids are exactly those of the whole text.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Chunks a worker remembers before it starts its table anew (about 150 bytes each).
-CACHE_CHUNKS = 400_000
+#: Chunks a worker remembers before it starts its table anew (about 250 bytes each).
+TABLE_CHUNKS = 500_000
 
-#: White space before a space: the text is cut with the pattern, not at spaces.
-_ODD = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
+_RUN = re.compile(r"\s\s")
+_CUT = re.compile(r"(?<=\S)(?=\s)")
 
-_WORKER: dict[str, ChunkEncoder] = {}
+_WORKER: dict[str, ChunkTable] = {}
 
 
-def chunks(text: str) -> list[str]:
-    if not text:
-        return []
-    if _ODD.search(text):
-        return _CUT.split(text)
-    parts = text.split(" ")
-    head = [parts[0]] if parts[0] else []
-    return head + [" " + p for p in parts[1:]]
+class ChunkTable:
+    """``encode_new`` gives the ids of a list of distinct chunks."""
 
-
-class ChunkEncoder:
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.limit = cache_chunks
+    def __init__(self, encode_new: Callable[[list[str]], list[np.ndarray]], limit: int = TABLE_CHUNKS):
+        self.encode_new, self.limit = encode_new, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.spaced: dict[str, int] = {}  # chunk without its leading space -> row
+        self.bare: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
-        self.used = 0
+        self.used = self.rows = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 20_000):
-            part = new[at: at + 20_000]
-            coded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            ids = np.concatenate(coded) if coded else np.empty(0, np.uint32)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.uint32)])
-            first = len(self.place)
-            while first + len(part) > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros(len(self.start), np.int64)])
-                self.length = np.concatenate([self.length, np.zeros(len(self.length), np.int64)])
-            size = np.array([len(c) for c in coded], np.int64)
-            self.flat[self.used: self.used + len(ids)] = ids
-            self.start[first: first + len(part)] = self.used + np.cumsum(size) - size
-            self.length[first: first + len(part)] = size
-            self.used += len(ids)
-            for i, c in enumerate(part):
-                self.place[c] = first + i
+        self._learn([""], spaced=False, ids=[np.empty(0, np.uint32)])
+
+    def _learn(self, new: list[str], spaced: bool, ids: list[np.ndarray] | None = None) -> None:
+        if ids is None:
+            ids = self.encode_new([" " + c for c in new] if spaced else new)
+        size = np.array([len(x) for x in ids], np.int64)
+        total = int(size.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.rows + len(new) > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+        if total:
+            self.flat[self.used: self.used + total] = np.concatenate(ids)
+        here = slice(self.rows, self.rows + len(new))
+        self.start[here] = self.used + np.cumsum(size) - size
+        self.length[here] = size
+        (self.spaced if spaced else self.bare).update(zip(new, range(self.rows, self.rows + len(new)), strict=True))
+        self.used += total
+        self.rows += len(new)
+
+    @staticmethod
+    def _lines(text: str) -> Iterator[tuple[list[str], bool]]:
+        """Lists of chunks; with True all but the first are written without
+        the space before them."""
+        if _RUN.search(text):
+            yield _CUT.split(text), False
+            return
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                yield ["\n"], False
+            if line:
+                yield line.split(" "), True
+
+    def _rows_of(self, text: str, missing: list[tuple[str, bool]]) -> list[int | None]:
+        out: list[int | None] = []
+        spaced, bare = self.spaced.get, self.bare.get
+        for parts, cut in self._lines(text):
+            if cut:
+                got = list(map(spaced, parts))
+                got[0] = bare(parts[0])
+            else:
+                got = list(map(bare, parts))
+            if None in got:
+                missing += [(p, cut and i > 0) for i, (p, g) in enumerate(zip(parts, got, strict=True)) if g is None]
+            out += got
+        return out
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text."""
-        parts = [chunks(t) for t in texts]
-        new = list(dict.fromkeys(p for row in parts for p in row if p not in self.place))
-        if new:
-            if len(self.place) > self.limit:
-                self._clear()
-                new = list(dict.fromkeys(p for row in parts for p in row))
-            self._learn(new)
-        out = []
-        for row in parts:
-            if not row:
-                out.append(np.empty(0, np.uint32))
-                continue
-            at = np.fromiter(map(self.place.__getitem__, row), np.int64, len(row))
-            size = self.length[at]
-            ends = np.cumsum(size)
-            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.start[at] - (ends - size), size)])
-        return out
+        if self.rows > self.limit:
+            self._clear()
+        missing: list[tuple[str, bool]] = []
+        rows = [self._rows_of(t, missing) for t in texts]
+        if missing:
+            fresh = dict.fromkeys(missing)
+            self._learn([c for c, s in fresh if s], spaced=True)
+            self._learn([c for c, s in fresh if not s], spaced=False)
+            rows = [self._rows_of(t, missing) if None in r else r for t, r in zip(texts, rows, strict=True)]
+        counts = np.array([len(r) for r in rows], np.int64)
+        at = np.fromiter((x for r in rows for x in r), np.int64, int(counts.sum()))
+        size = self.length[at]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.flat[np.arange(total) + np.repeat(self.start[at] - (ends - size), size)]
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def load_tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return tokenizer
+
+
+def worker_table(path: str) -> ChunkTable:
+    """The table of this Python worker for a tokenizers file; tasks that reuse
+    the worker share it."""
+    if path not in _WORKER:
+        tokenizer = load_tokenizer(path)
 
+        def encode_new(chunks: list[str]) -> list[np.ndarray]:
+            return [np.array(e.ids, np.uint32) for at in range(0, len(chunks), 10_000)
+                    for e in tokenizer.encode_batch_fast(chunks[at: at + 10_000], add_special_tokens=False)]
 
-def worker_encoder(path: str) -> ChunkEncoder:
-    """The encoder of this Python worker; tasks that reuse the worker share it."""
-    if path not in _WORKER:
-        _WORKER[path] = ChunkEncoder(path)
+        _WORKER[path] = ChunkTable(encode_new)
     return _WORKER[path]

@@ -27,6 +27,36 @@ def op10_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(documents(spark, sf_dir, "doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_histogram_shards, op10_secret_links)}
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.dp_packing import digest, pack
+
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return digest(pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=1, length=2048))
+
+
+def op7_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quarry.llm.duckdb_bpe import digest, encode_decode
+
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return digest(encode_decode(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+def op8_zstd_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.zstd_ids import digest, round_trip
+
+    return digest(round_trip(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), end_id=2))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_histogram_shards, op4_dp_packing, op7_duckdb_bpe, op8_zstd_ids,
+                                   op10_secret_links)}
 
 ORACLE: dict[str, str] = {}
