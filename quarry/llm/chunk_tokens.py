@@ -4,8 +4,8 @@ A byte-level BPE with the usual word pattern never forms a token across a
 boundary from a character that is no white space to white space: no alternative
 of the pattern continues past it. A line feed between two characters that are no
 white space is a token group of its own. So the ids of a text are the ids of its
-chunks in order: its lines, cut before each space. A text with two white space
-characters in a row is cut by a pattern that keeps white space runs together.
+chunks in order, cut before each space and each line feed. A text with two white
+space characters in a row is cut by a pattern that keeps such runs together.
 
 Corpus words repeat, so a bounded table of the chunks a worker has seen replaces
 nearly all encoding work. The ids are exactly those of the whole text.
@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks a worker remembers before it starts its table anew (about 250 bytes each).
 TABLE_CHUNKS = 500_000
@@ -27,6 +29,9 @@ _CUT = re.compile(r"(?<=\S)(?=\s)")
 
 _WORKER: dict[str, ChunkTable] = {}
 
+#: Words a worker remembers beside them.
+TABLE_WORDS = 200_000
+
 
 class ChunkTable:
     """``encode_new`` gives the ids of a list of distinct chunks."""
@@ -36,17 +41,23 @@ class ChunkTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.spaced: dict[str, int] = {}  # chunk without its leading space -> row
-        self.bare: dict[str, int] = {}
+        self.pieces: dict[str, int] = {}  # "x" stands for " x", "\nx" for itself
+        self.odd: dict[str, int] = {}  # chunks of texts with white space runs
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = self.rows = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
-        self._learn([""], spaced=False, ids=[np.empty(0, np.uint32)])
 
-    def _learn(self, new: list[str], spaced: bool, ids: list[np.ndarray] | None = None) -> None:
-        if ids is None:
-            ids = self.encode_new([" " + c for c in new] if spaced else new)
+    def _places(self, known: dict[str, int], keys: list[str], chunk_of: Callable[[str], str]) -> np.ndarray:
+        """Rows of distinct keys; chunks not seen before are encoded."""
+        got = list(map(known.get, keys))
+        if None in got:
+            new = [k for k, g in zip(keys, got, strict=True) if g is None]
+            self._learn(known, new, self.encode_new([chunk_of(k) for k in new]))
+            got = list(map(known.__getitem__, keys))
+        return np.array(got, np.int64)
+
+    def _learn(self, known: dict[str, int], new: list[str], ids: list[np.ndarray]) -> None:
         size = np.array([len(x) for x in ids], np.int64)
         total = int(size.sum())
         while self.used + total > len(self.flat):
@@ -59,56 +70,47 @@ class ChunkTable:
         here = slice(self.rows, self.rows + len(new))
         self.start[here] = self.used + np.cumsum(size) - size
         self.length[here] = size
-        (self.spaced if spaced else self.bare).update(zip(new, range(self.rows, self.rows + len(new)), strict=True))
+        known.update(zip(new, range(self.rows, self.rows + len(new)), strict=True))
         self.used += total
         self.rows += len(new)
 
-    @staticmethod
-    def _lines(text: str) -> Iterator[tuple[list[str], bool]]:
-        """Lists of chunks; with True all but the first are written without
-        the space before them."""
-        if _RUN.search(text):
-            yield _CUT.split(text), False
-            return
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                yield ["\n"], False
-            if line:
-                yield line.split(" "), True
-
-    def _rows_of(self, text: str, missing: list[tuple[str, bool]]) -> list[int | None]:
-        out: list[int | None] = []
-        spaced, bare = self.spaced.get, self.bare.get
-        for parts, cut in self._lines(text):
-            if cut:
-                got = list(map(spaced, parts))
-                got[0] = bare(parts[0])
-            else:
-                got = list(map(bare, parts))
-            if None in got:
-                missing += [(p, cut and i > 0) for i, (p, g) in enumerate(zip(parts, got, strict=True)) if g is None]
-            out += got
-        return out
-
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each whole text."""
-        if self.rows > self.limit:
-            self._clear()
-        missing: list[tuple[str, bool]] = []
-        rows = [self._rows_of(t, missing) for t in texts]
-        if missing:
-            fresh = dict.fromkeys(missing)
-            self._learn([c for c, s in fresh if s], spaced=True)
-            self._learn([c for c, s in fresh if not s], spaced=False)
-            rows = [self._rows_of(t, missing) if None in r else r for t, r in zip(texts, rows, strict=True)]
-        counts = np.array([len(r) for r in rows], np.int64)
-        at = np.fromiter((x for r in rows for x in r), np.int64, int(counts.sum()))
+    def _gather(self, at: np.ndarray, counts: np.ndarray, skip: int) -> list[np.ndarray]:
+        """Ids of consecutive texts from the rows of their chunks."""
         size = self.length[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.flat[np.arange(total) + np.repeat(self.start[at] - (ends - size), size)]
         edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return [flat[a + skip: b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each whole text."""
+        if self.rows > self.limit:
+            self._clear()
+        odd = [bool(_RUN.search(t)) or t[:1].isspace() for t in texts]
+        plain = [t for t, o in zip(texts, odd, strict=True) if not o]
+        # A line feed put first makes every piece either " x" or "\nx"; its one id is left out again.
+        lists = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in plain], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        places = self._places(self.pieces, coded.dictionary.to_numpy(zero_copy_only=False).tolist(), lambda p: p if p[:1] == "\n" else " " + p)
+        out = iter(self._gather(places[coded.indices.to_numpy()], pc.list_value_length(lists).to_numpy(), 1)
+                   if plain else [])
+        if len(plain) == len(texts):
+            return list(out)
+        cut = [_CUT.split(t) for t, o in zip(texts, odd, strict=True) if o]
+        keys = list(dict.fromkeys(c for r in cut for c in r))
+        row = dict(zip(keys, self._places(self.odd, keys, str), strict=True))
+        at = np.array([row[c] for r in cut for c in r], np.int64)
+        rest = iter(self._gather(at, np.array([len(r) for r in cut], np.int64), 0))
+        return [next(rest) if o else next(out) for o in odd]
+
+
+def byte_signs() -> dict[int, int]:
+    """The signs that byte-level vocabularies write bytes with: printable bytes
+    stand for themselves, the others take code points from 256 in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
 
 
 def load_tokenizer(path: str):
@@ -121,14 +123,37 @@ def load_tokenizer(path: str):
 
 
 def worker_table(path: str) -> ChunkTable:
-    """The table of this Python worker for a tokenizers file; tasks that reuse
-    the worker share it."""
+    """The table of this Python worker for a tokenizers file without normaliser;
+    tasks that reuse the worker share it."""
     if path not in _WORKER:
         tokenizer = load_tokenizer(path)
 
+        before, model = tokenizer.pre_tokenizer, tokenizer.model
+        model._resize_cache(0)  # the table below replaces it
+        signs = byte_signs()
+        coded: dict[str, list[int]] = {}
+
+        def words(chunk: str) -> list[str]:
+            rest = chunk[1:]
+            if chunk[0] == " " and rest and max(rest) < "\u0250":
+                if rest.isalpha():  # one word
+                    return [chunk.encode().decode("latin-1").translate(signs)]
+                if rest[-1] in ".,;:!?" and rest[:-1].isalpha():
+                    return [chunk[:-1].encode().decode("latin-1").translate(signs), rest[-1]]
+            return [w for w, _ in before.pre_tokenize_str(chunk)]
+
         def encode_new(chunks: list[str]) -> list[np.ndarray]:
-            return [np.array(e.ids, np.uint32) for at in range(0, len(chunks), 10_000)
-                    for e in tokenizer.encode_batch_fast(chunks[at: at + 10_000], add_special_tokens=False)]
+            if len(coded) > TABLE_WORDS:
+                coded.clear()
+            out = []
+            for c in chunks:
+                ids: list[int] = []
+                for w in words(c):
+                    if w not in coded:
+                        coded[w] = [t.id for t in model.tokenize(w)]
+                    ids += coded[w]
+                out.append(np.array(ids, np.uint32))
+            return out
 
         _WORKER[path] = ChunkTable(encode_new)
     return _WORKER[path]

@@ -12,8 +12,8 @@ Layout, under one folder that the cluster shares:
   reader fetches one frame without touching the others.
 
 Blocks are written by Spark's Parquet writer: its commit protocol survives lost
-executors and reaches any store that Spark reaches. Documents move once, already
-compressed, to range partitions by id; the position of a document in the whole
+executors and reaches any store that Spark reaches. Documents are tokenised and
+compressed once, into a scratch table, and move once, already compressed, to range partitions by id; the position of a document in the whole
 stream is its position in the partition plus the ids of earlier partitions, both
 taken from the written files.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.llm.chunk_tokens import worker_table
-from quarry.llm.common import scratch_path
+from quarry.llm.common import materialise, scratch_path
 from quarry.llm.dp_packing import steps
 
 MAGIC = b"QIDS"
@@ -91,7 +91,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, dtype: str) -
 def _compressor(dictionary: bytes):
     import zstandard
 
-    d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if not dictionary:
+        return zstandard.ZstdCompressor(level=LEVEL)
+    d = zstandard.ZstdCompressionDict(dictionary)
+    d.precompute_compress(level=LEVEL)  # else every document digests the dictionary again
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d)
 
 
@@ -171,7 +174,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_co
     framed = _tokenised(cols, tokenizer, end_id, dtype).mapInArrow(
         compress, "doc_id long, rid long, n_tokens long, frame binary")
     order = [F.col("doc_id").asc_nulls_first(), F.col("rid")]
-    placed = framed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "frame")
+    # Written first: choosing range bounds samples its input, and must not tokenise it again.
+    placed = materialise(framed).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "frame")
     placed.mapInArrow(blocks, "block long, payload binary, doc_ids array<long>, local_starts array<long>, "
                               "n_tokens array<long>").withColumn("part", F.spark_partition_id()) \
         .write.option("compression", "uncompressed").parquet(f"{path}/blocks")
