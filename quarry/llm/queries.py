@@ -56,7 +56,19 @@ def op8_zstd_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(round_trip(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_histogram_shards, op4_dp_packing, op7_duckdb_bpe, op8_zstd_ids,
-                                   op10_secret_links)}
+def op5_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.simhash_gph import digest, near_duplicates
+
+    return digest(near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle=3, distance=2))
+
+
+def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.pii_anchors import digest, find_private
+
+    return digest(find_private(documents(spark, sf_dir, "doc_id", "text")))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_histogram_shards, op4_dp_packing, op5_simhash_gph, op7_duckdb_bpe,
+                                   op8_zstd_ids, op9_pii_anchors, op10_secret_links)}
 
 ORACLE: dict[str, str] = {}
