@@ -77,6 +77,21 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: int)
     return out.select(*rows.columns, *[picked[v].alias(v) for v in values])
 
 
+def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that a verdict keeps. ``verdict``: one row per row of
+    ``docs`` with id, text_hash (xxhash64 of the text) and kept. A row is known
+    by id and text hash; of rows equal in both, one stays."""
+    pairs = materialise(verdict.groupBy(F.col("id").alias("_q_id"), F.col("text_hash").alias("_q_h")).agg(
+        F.max("kept").alias("_q_k"), F.count(F.lit(1)).alias("_q_n")).where("_q_k").drop("_q_k"))
+    tagged = docs.withColumn("_q_own", F.xxhash64(text_col))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_q_id")) & (F.col("_q_own") == F.col("_q_h"))
+    if pairs.where("_q_n > 1").isEmpty():
+        return tagged.join(pairs, same, "left_semi").select(*docs.columns)
+    found = tagged.join(pairs, same)
+    repeated = found.where("_q_n > 1").dropDuplicates(["_q_id", "_q_h"])
+    return found.where("_q_n = 1").unionByName(repeated).select(*docs.columns)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edge table ``(u, v)``; root is the
     smallest node of the component. Links, labels and components stay in

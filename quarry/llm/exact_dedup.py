@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import attach, materialise, text_or_empty
+from quarry.llm.common import attach, keep_rows, materialise, text_or_empty
 
 
 def normalised(text: Column) -> Column:
@@ -36,14 +36,15 @@ def md5_128(text: Column) -> Column:
 
 def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  hash_fn: Callable[[Column], Column] = md5_128) -> DataFrame:
-    """One row per document: ``id_col``, keep_id, group_size, kept,
-    text_sha256. ``hash_fn`` maps the normalised text to the group hash; any
+    """One row per document: ``id_col``, keep_id, group_size, kept, text_sha256
+    and text_hash (xxhash64 of the text as it is). ``hash_fn`` maps the normalised text to the group hash; any
     function gives the same result, a weak one only costs more comparisons."""
-    base = docs.select(F.col(id_col).alias("doc_id"), normalised(text_or_empty(text_col)).alias("_q_t"))
+    base = docs.select(F.col(id_col).alias("doc_id"), normalised(text_or_empty(text_col)).alias("_q_t"),
+                       F.xxhash64(text_col).alias("text_hash"))
     base = base.withColumn("_q_h", hash_fn(F.col("_q_t")))
     clash = materialise(base.groupBy("_q_h", "_q_t").agg(F.count(F.lit(1)).alias("n"))
                         .groupBy("_q_h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("_q_h"))
-    cols = [F.col("doc_id"), F.monotonically_increasing_id().alias("rid"),
+    cols = [F.col("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col("text_hash"),
             F.sha2(F.col("_q_t").cast("binary"), 256).alias("text_sha256")]
     if clash.isEmpty():
         narrow = base.select(*cols, F.col("_q_h").cast("binary").alias("gk"))
@@ -59,14 +60,10 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "gk", F.col("f.id").alias("keep_id"), F.col("f.rid").alias("keep_rid"), "group_size")
     out = attach(narrow, groups, "gk", "group_size", narrow.count())
     return out.select(F.col("doc_id").alias(id_col), "keep_id", "group_size",
-                      (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
+                      (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", "text_hash")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``dedup_groups`` drops, all columns kept.
-    Ids must identify rows here; of rows sharing an id, one stays."""
-    verdict = dedup_groups(docs, id_col, text_col).where("kept").select(
-        F.col(id_col).alias("_q_id"), F.col("text_sha256").alias("_q_s")).withColumn("_q_kept", F.lit(True))
-    tagged = docs.withColumn("_q_s0", F.sha2(normalised(text_or_empty(text_col)).cast("binary"), 256))
-    kept = tagged.join(verdict, F.col(id_col).eqNullSafe(F.col("_q_id")) & (F.col("_q_s0") == F.col("_q_s")), "left_semi")
-    return kept.dropDuplicates([id_col, "_q_s0"]).select(*docs.columns)
+    """``docs`` without the rows that ``dedup_groups`` drops, all columns kept."""
+    verdict = dedup_groups(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), "text_hash", "kept")
+    return keep_rows(docs, verdict, id_col, text_col)

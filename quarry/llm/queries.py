@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 from quarry.llm.common import documents
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.rule_ensemble import classify
+
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return classify(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.exact_dedup import dedup_groups
 
-    return dedup_groups(documents(spark, sf_dir, "doc_id", "text"))
+    return dedup_groups(documents(spark, sf_dir, "doc_id", "text")).drop("text_hash")
 
 
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +48,12 @@ def op4_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=1, length=2048))
 
 
+def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.robust_outliers import digest, judge
+
+    return digest(judge(documents(spark, sf_dir, "doc_id", "lang", "source", "text")))
+
+
 def op7_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,7 +81,16 @@ def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_private(documents(spark, sf_dir, "doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_histogram_shards, op4_dp_packing, op5_simhash_gph, op7_duckdb_bpe,
-                                   op8_zstd_ids, op9_pii_anchors, op10_secret_links)}
+QUERIES = {f.__name__: f for f in (
+    op1_rule_ensemble, op2_exact_dedup, op3_histogram_shards, op4_dp_packing, op5_simhash_gph, op6_robust_outliers,
+    op7_duckdb_bpe, op8_zstd_ids, op9_pii_anchors, op10_secret_links)}
+
+#: Equal texts are grouped by the normalised text itself: SQL needs no hash.
+_OP2_SQL = r"""
+select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = min(doc_id) over g as kept,
+       sha256(t) as text_sha256
+from (select doc_id, regexp_replace(coalesce(text, ''), '[ \x09-\x0D]+', ' ', 'g') as t from documents)
+window g as (partition by t)
+"""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_exact_dedup": _OP2_SQL}

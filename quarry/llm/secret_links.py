@@ -127,15 +127,54 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = materialise(docs.select(
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"), *kept, base_spans(text).alias("base"),
         weak_spans(text).alias("weak"), scope_starts(text).alias("scopes")))
-    open_rows = scanned.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1))
-    parts = open_rows.select("rid", "scopes", F.explode(F.concat("base", "weak")).alias("p")).select(
+    # Only rows where a weak candidate meets another part take part in the join.
+    meets = (F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)
+    parts = scanned.where(meets).select("rid", "scopes", F.explode(F.concat("base", "weak")).alias("p")).select(
         "rid", F.size(F.filter("scopes", lambda s: s <= F.col("p.start"))).alias("scope"), "p.kind", "p.start", "p.end")
     linked = link_parts(parts, reach).groupBy("rid").agg(
         F.collect_list(F.struct("kind", "start", "end")).alias("linked"))
-    out = scanned.join(linked, "rid", "left")
     extra = F.coalesce(F.col("linked"), F.expr(f"cast(array() as {_SPAN})"))
-    return out.select(F.col("id").alias(id_col), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
-                      "base", F.concat("base", extra).alias("spans"))
+    names = ["id", *[f"k{i}" for i in range(len(keep))], "base"]
+    alone = scanned.where(~meets).select(*names, F.col("base").alias("spans"))
+    joined = scanned.where(meets).join(linked, "rid", "left").select(*names, F.concat("base", extra).alias("spans"))
+    return alone.unionByName(joined).toDF(id_col, *keep, "base", "spans")
+
+
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with each span, overlapping ones as one, replaced by ``mark``."""
+    sorted_spans = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
+        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+        inside = (s["start"] < acc["at"])
+        return F.when(inside, longer).otherwise(new)
+
+    return F.aggregate(sorted_spans, zero, step, lambda acc: F.concat(
+        acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with reported spans replaced by ``mark``; other texts stay as
+    they are, and n_chars follows a changed text where the column exists."""
+    names = [f"_q_{i}" for i in range(len(docs.columns))]
+    text, key = (names[docs.columns.index(c)] for c in (text_col, id_col))
+    own = docs.toDF(*names).withColumn("_q_id", F.col(key))
+    found = find_secrets(own, "_q_id", text, keep=tuple(names))
+    hit = F.size("spans") > 0
+    out = found.withColumn("_q_new", F.when(hit, masked(F.col(text), F.col("spans"), mark)).otherwise(F.col(text)))
+
+    def column(name: str, inner: str) -> Column:
+        if name == text_col:
+            return F.col("_q_new").alias(name)
+        if name == "n_chars":
+            kind = docs.schema[name].dataType
+            return F.when(hit, F.length("_q_new").cast(kind)).otherwise(F.col(inner)).alias(name)
+        return F.col(inner).alias(name)
+
+    return out.select(*[column(c, n) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def ordered(spans: Column) -> Column:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import attach, connected_components, materialise
+from quarry.llm.common import attach, connected_components, keep_rows, materialise
 
 SEED = 42
 PARTS = 3
@@ -268,9 +268,5 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, i
                          text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, all columns kept. A row is known by
     its id and the hash of its text; of rows equal in both, one stays."""
-    kept = near_duplicates(docs, shingle, distance, id_col=id_col, text_col=text_col).where("kept").select(
-        F.col("doc_id").alias("_q_id"), F.col("text_hash").alias("_q_h"))
-    own = F.col(f"`{id_col}`").cast("long")
-    tagged = docs.withColumn("_q_own", F.xxhash64(text_col))
-    out = tagged.join(kept, own.eqNullSafe(F.col("_q_id")) & (F.col("_q_own") == F.col("_q_h")), "left_semi")
-    return out.dropDuplicates([id_col, "_q_own"]).select(*docs.columns)
+    verdict = near_duplicates(docs, shingle, distance, id_col=id_col, text_col=text_col)
+    return keep_rows(docs, verdict.select(F.col("doc_id").alias("id"), "text_hash", "kept"), id_col, text_col)

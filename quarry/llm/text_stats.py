@@ -65,14 +65,14 @@ def count_text(text: str) -> tuple[int, ...]:
 
 def text_stats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns plus one long column per name of ``COUNTS``."""
-    cols = docs.select(*keep, text_col)
+    cols = docs.select(*keep, *([] if text_col in keep else [text_col]))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[: len(keep)]]
     schema = ", ".join(fields + [f"{c} long" for c in COUNTS])
-    width = len(keep)
+    width, place = len(keep), cols.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [count_text(t or "") for t in b.column(width).to_pylist()]
+            rows = [count_text(t or "") for t in b.column(place).to_pylist()]
             counts = np.array(rows, np.int64).reshape(len(rows), len(COUNTS))
             arrays = [b.column(i) for i in range(width)] + [pa.array(counts[:, j]) for j in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *COUNTS])

@@ -21,7 +21,7 @@ def brute(rows):
 
 
 def got(df):
-    return bag(tuple(r) for r in df.collect())
+    return bag(tuple(r) for r in df.drop("text_hash").collect())
 
 
 def test_groups(docs, rows, clash):
