@@ -71,7 +71,9 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: int)
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_q_hk"), "left")
     out = out.withColumn("_q_salt", F.when(F.col("_q_hot").isNull(), F.lit(0))
                          .otherwise(F.xxhash64(*[F.col(c) for c in rows.columns if c != key]) % 4096 + 4096))
-    cold = cold.select(F.col(key).alias("_q_ck"), F.struct(*values).alias("_q_cold"), F.lit(0).cast("long").alias("_q_cs"))
+    cold = cold.select(F.col(key).alias("_q_ck"), F.struct(*values).alias("_q_cold"),
+                       # zero, but not a literal: the salt must stay a key of the exchange
+                       F.pmod(F.col(count), F.lit(1)).cast("long").alias("_q_cs"))
     out = out.join(cold, (F.col(key) == F.col("_q_ck")) & (F.col("_q_salt").cast("long") == F.col("_q_cs")), "left")
     picked = F.coalesce(F.col("_q_hot"), F.col("_q_cold"))
     return out.select(*rows.columns, *[picked[v].alias(v) for v in values])
