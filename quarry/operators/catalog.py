@@ -86,20 +86,35 @@ def parse_run_name(runs: DataFrame, models: DataFrame, name: str = "run_name") -
     )
 
 
+#: Last parts that the naming functions below add to a swept run: a mark, then
+#: a value written with these characters (none: the mark alone).
+SWEEP_PARTS = (("r", "0123456789"), ("lr", "0123456789.e-"), ("do", "0123456789."), ("attnonly", ""))
+
+
+def is_sweep(name: Column) -> Column:
+    """Does the part after the last underscore name a swept value?"""
+    last = F.substring_index(name, "_", -1)
+    found = F.lit(False)
+    for mark, written in SWEEP_PARTS:
+        value = F.substring(last, len(mark) + 1, 1 << 20)
+        right = (F.translate(value, written, "") == "") & (value != "") if written else value == ""
+        found = found | (last.startswith(mark) & right)
+    return name.contains("_") & found
+
+
 def run_group(name: Column) -> Column:
-    """Report group of a run name; the rule order matters."""
-    new_model = None
+    """Report group of a run name: the first rule that holds, else two-stage."""
+    stage2_none, stage1_none = name.endswith("_s2-none"), name.contains("_s1-none_")
+    new_model = F.lit(False)
     for p in NEW_MODEL_PREFIXES:
-        c = name.startswith(p)
-        new_model = c if new_model is None else (new_model | c)
-    return (F.when(name.contains("_seed"), "multi-seed")
-            .when(name.endswith("_s2-qlora"), "qlora")
-            .when(name.rlike(r"_(r\d+|lr[\d.e-]+|do[\d.]+|attnonly)$"), "sweep")
-            .when(new_model, "new-models")
-            .when(name.endswith("_s2-none") & name.contains("_s1-none_"), "zero-shot")
-            .when(name.endswith("_s2-none"), "stage1-only")
-            .when(name.contains("_s1-none_"), "stage2-only")
-            .otherwise("two-stage"))
+        new_model = new_model | name.startswith(p)
+    rules = (("multi-seed", name.contains("_seed")), ("qlora", name.endswith("_s2-qlora")), ("sweep", is_sweep(name)),
+             ("new-models", new_model), ("zero-shot", stage2_none & stage1_none), ("stage1-only", stage2_none),
+             ("stage2-only", stage1_none))
+    out = F.lit("two-stage")
+    for group, holds in reversed(rules):
+        out = F.when(holds, group).otherwise(out)
+    return out
 
 
 def rank_run_name(short: Column, r: Column) -> Column:

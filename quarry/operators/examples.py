@@ -47,17 +47,17 @@ def split_exact(df: DataFrame, id_col: str, fraction: float, seed: int = 42,
     'val': those with the smallest md5('<seed>:<id>') (ties by id)."""
     keyed = df.withColumn("_h", split_key(F.col(id_col), seed)).withColumn("_b", F.substring("_h", 1, PREFIX_HEX))
     # One pass builds the histogram (<= 65,536 rows); the windows below run on
-    # that small table only, and the one-row cut is cached so the scalar
-    # subqueries that read it do not rescan the data.
+    # that small table only, and its one-row cut comes to the driver.
     hist = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     cum = hist.select("_b", "_c", F.sum("_c").over(Window.orderBy("_b")).alias("_cum"),
                       F.sum("_c").over(Window.partitionBy()).alias("_n"))
     k = F.ceil(F.lit(fraction) * F.col("_n"))
     cut = (cum.where(F.col("_cum") >= k)
            .agg(F.min(F.struct("_b", (F.col("_cum") - F.col("_c")).alias("_before"), k.alias("_k"))).alias("c"))
-           .select("c.*").cache())
-    boundary = cut.select("_b").scalar()
-    remaining = cut.select(F.col("_k") - F.col("_before")).scalar()
+           .select("c.*").first())
+    if cut["_b"] is None:  # no rows
+        return keyed.withColumn(name, F.lit("train")).drop("_h", "_b")
+    boundary, remaining = F.lit(cut["_b"]), F.lit(cut["_k"] - cut["_before"])
     # Rows of the boundary bucket only (about n / 65,536 of them, unless one
     # id is repeated massively). They are ranked by a range-partitioned sort
     # whose key ends in a per-row tiebreaker, so even a hot id is split over
@@ -192,8 +192,8 @@ def _mask_python(prompt_ids: list[int], full_ids: list[int], max_len: int, eos:
     ids = full_ids[:max_len]
     if not ids or ids[-1] != eos:
         ids = (ids + [eos])[:max_len]
-    labels = ([IGNORE_INDEX] * len(prompt_ids) + ids[len(prompt_ids):])[: len(ids)]
-    return ids, [1] * len(ids), labels
+    masked = len(prompt_ids)
+    return ids, [1] * len(ids), [IGNORE_INDEX if at < masked else token for at, token in enumerate(ids)]
 
 
 def tokenise_with(df: DataFrame, tokenizer_factory: Callable[[], object], text: str = "text",
@@ -256,8 +256,9 @@ def resolve_label_tokens(vocab: DataFrame, letters: Sequence[str] = ("A", "B", "
                      for L in letters for i, v in enumerate(variants)])
     spark = vocab.sparkSession
     c = spark.range(1).select(F.inline(cand))
-    # Candidates are 2 x 5 strings: a semi-join against the vocabulary keeps
-    # only the matching vocabulary rows; the big side is never broadcast.
+    vocab = vocab.where(F.col("token").isin([v.format(letter=L) for L in letters for v in variants]))
+    # Candidates are a few strings: the filter above keeps only their rows of
+    # the vocabulary, and moves below a distinct that made it.
     hit = c.join(vocab.select(F.col("token").alias("variant"), "token_id"), "variant", "inner")
     best = hit.groupBy("letter").agg(F.min_by(F.struct("variant", "token_id"), F.col("ord")).alias("b"))
     allc = c.select("letter").distinct().join(best, "letter", "left")

@@ -48,13 +48,12 @@ CONTRAST_STAGE1 = ("none", "lora", "full", "full3ep")
 # --------------------------------------------------------------------------
 
 def _acc_f1(cm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """cm: (R, 5, 5) counts -> accuracy and fixed-five macro F1 per replicate."""
-    tp = np.diagonal(cm, axis1=1, axis2=2).astype(float)
-    tot = cm.sum(axis=(1, 2))
-    acc = tp.sum(axis=1) / np.maximum(tot, 1)
-    den = cm.sum(axis=2) + cm.sum(axis=1)
-    f1 = np.divide(2 * tp, den, out=np.zeros_like(tp), where=den > 0)
-    return acc, f1.mean(axis=1)
+    """cm: (R, 5, 5) counts -> accuracy and fixed-five macro F1 per replicate.
+    A letter that neither occurs nor is predicted has F1 0."""
+    gold, said = cm.sum(axis=2), cm.sum(axis=1)
+    hits = np.einsum("rkk->rk", cm)
+    share = hits.sum(axis=1) / gold.sum(axis=1).clip(min=1)
+    return share, (hits / ((gold + said) / 2).clip(min=0.5)).mean(axis=1)
 
 
 def _rng(seed: int, name: str, block: int) -> np.random.Generator:
@@ -126,9 +125,13 @@ def _blocks(df: DataFrame, n_boot: int, block: int) -> DataFrame:
 
 def bootstrap_ci(preds: DataFrame, n_boot: int = N_BOOT, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """Per run: accuracy and macro F1 (fixed rule) with 95% percentile CIs."""
-    # 27 counters per run, read by two branches; cached (recomputed from the
-    # lineage if an executor holding it is lost).
-    wide = M.confusion_wide(preds, ["run_name"]).cache()
+    # 27 counters per run, read by several branches.
+    wide = cut_lineage(M.confusion_wide(preds, ["run_name"]))
+    counted = sum((F.col(M.cell(a, b)) for a in LETTERS for b in LETTERS), F.lit(0))
+    odd = [r["run_name"] for r in wide.where(F.col("n") != counted).select("run_name").limit(5).collect()]
+    if odd:
+        raise ValueError(f"labels outside {''.join(LETTERS)} or null in runs such as {odd}: "
+                         "see cleaning.label_domain_violations")
     point = wide.select("run_name", "n", M.accuracy_col().alias("accuracy"),
                         M.macro_f1_fixed_col().alias("macro_f1"))
     cells = wide.select("run_name", M.cell_array().alias("cells"))
@@ -346,7 +349,17 @@ def contrast_report(preds: DataFrame, models: DataFrame, n_boot: int = N_BOOT, s
     # The joint table (<= 125 rows per contrast) feeds several branches: it is
     # computed once and checkpointed into the shared checkpoint folder, so the
     # branches neither rescan the predictions nor depend on executor memory.
-    joint = cut_lineage(joint_counts(paired_predictions(preds, contrasts)))
+    paired = paired_predictions(preds, contrasts).withColumn(
+        "contrast", F.struct("contrast", F.col("gold_a").eqNullSafe(F.col("gold_b")).alias("agree")))
+    split = cut_lineage(joint_counts(paired).select("contrast.*", "gold", "pred_a", "pred_b", "n"))
+    known = F.lit(True)
+    for c in ("gold", "pred_a", "pred_b"):
+        known = known & F.coalesce(F.col(c).isin(*LETTERS), F.lit(False))
+    wrong = [(r["contrast"], r["what"]) for r in split.where(~(F.col("agree") & known)).select(
+        "contrast", F.when(F.col("agree"), "label").otherwise("gold").alias("what")).distinct().limit(5).collect()]
+    if wrong:
+        raise ValueError(f"gold labels disagree or labels are outside the letters in contrasts such as {wrong}")
+    joint = split.drop("agree")
     ca = F.col("pred_a") == F.col("gold")
     cb = F.col("pred_b") == F.col("gold")
     stats = joint.groupBy("contrast").agg(

@@ -196,8 +196,10 @@ def per_group_metrics(preds: DataFrame, group: str = "specialty",
 def accuracy_pivot(preds: DataFrame, column: str, order: Sequence[str] | None = None,
                    keys: Sequence[str] = ("run_name",)) -> DataFrame:
     """Runs x category accuracy. Given categories come first, in the given
-    order, then the rest in sorted order. A run without a category gets null."""
-    acc = preds.groupBy(*keys, column).agg(
+    order, then the rest in sorted order; null categories are left out, as in a
+    pandas pivot. A run without a category gets null. The category names come to
+    the driver: they become column names."""
+    acc = preds.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(
         (F.count_if(F.col("gold_label") == F.col("pred_label")) / F.count(F.lit(1))).alias("acc"))
     if order is not None:
         # Only categories that occur become columns, as in a pandas pivot.
@@ -267,13 +269,14 @@ def perplexity(losses: DataFrame, keys: Sequence[str] = ("model", "variant"),
 
 def perplexity_before_after(losses: DataFrame, base_variant: str, model: str = "model",
                             variant: str = "variant") -> DataFrame:
-    """Base-model perplexity (computed once per model) beside each adapted
-    variant: one aggregate, self-joined base vs variant on the model key."""
-    ppl = perplexity(losses, (model, variant)).cache()
-    base = ppl.where(F.col(variant) == base_variant).select(
-        F.col(model).alias("_m"), F.col("perplexity").alias("ppl_before"))
-    after = ppl.where(F.col(variant) != base_variant)
-    return after.join(base, after[model] == base["_m"], "inner").select(
+    """Base-model perplexity beside each adapted variant, for models that have
+    a base: the perplexities of a model (a row per variant) meet in a window."""
+    ppl = perplexity(losses, (model, variant)).where(F.col(variant).isNotNull())
+    is_base = F.col(variant) == base_variant
+    own = Window.partitionBy(model)
+    beside = ppl.withColumn("_has", F.max(is_base).over(own)).withColumn(
+        "ppl_before", F.max(F.when(is_base, F.col("perplexity"))).over(own))
+    return beside.where(F.col("_has") & ~is_base).select(
         F.col(model).alias("model"), F.col(variant).alias("stage1_method"),
         "ppl_before", F.col("perplexity").alias("ppl_after"))
 

@@ -23,6 +23,7 @@ from pyspark.sql.types import StringType
 
 from quarry.functions import text as T
 from quarry.operators import metrics as M
+from quarry.session import cut_lineage
 
 LETTERS = M.LETTERS
 BATCH_SIZE = 16
@@ -129,10 +130,14 @@ def eval_results(preds: DataFrame, group: str = "specialty", keys: Sequence[str]
     map group -> {accuracy, macro_f1, count} (one aggregation per level).
     With ``token_map`` (letter, token_id) the result also carries the map
     letter -> answer token id used for scoring."""
-    g = M.per_group_metrics(preds, group, keys)
+    # The predictions are read (and scored) once: groups and overall both come from the groups' cells.
+    cells = cut_lineage(M.confusion_wide(preds, [*keys, group]))
+    g = cells.select(*keys, group, M.accuracy_col().alias("accuracy"), M.macro_f1_present_col().alias("macro_f1"),
+                     F.col("n").alias("count"))
     per = g.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
         F.col(group), F.struct("accuracy", "macro_f1", "count")))).alias("per_specialty_scores"))
-    overall = M.confusion_wide(preds, keys).select(
+    counts = [c for c in cells.columns if c not in (*keys, group)]
+    overall = cells.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts]).select(
         *keys, M.accuracy_col().alias("accuracy"), M.macro_f1_present_col().alias("macro_f1"),
         F.col("n").alias("total_samples"))
     out = overall.join(per, list(keys)) if keys else _one_row_join(overall, per)

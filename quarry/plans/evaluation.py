@@ -83,7 +83,8 @@ pivot a on gold_label in ('A', 'B', 'C', 'D', 'E') using first(acc) group by run
     "accuracy_pivot_umbrella": X.with_fixtures("""
 with a as (select run_name, umbrella_specialty, count(*) filter (where gold_label = pred_label) / count(*) as acc
            from predictions group by all)
-pivot a on umbrella_specialty using first(acc) group by run_name""", "predictions"),
+pivot a on umbrella_specialty in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')
+  using first(acc) group by run_name""", "predictions"),
     "f1_pivot": X.with_fixtures(
         f"with {_W} select run_name, " + ", ".join(f"{S.f1(L)} as {L}" for L in S.LETTERS) + " from cm",
         "predictions"),
