@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -25,6 +26,7 @@ import pyarrow.compute as pc
 TABLE_CHUNKS = 500_000
 
 _RUN = re.compile(r"\s\s")
+_HIGH = re.compile(r"[^\x00-\x7f]+")
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 
 _WORKER: dict[str, ChunkTable] = {}
@@ -34,9 +36,10 @@ TABLE_WORDS = 200_000
 
 
 class ChunkTable:
-    """``encode_new`` gives the ids of a list of distinct chunks."""
+    """``encode_new`` gives the ids of a list of distinct chunks, one after the
+    other, and their numbers."""
 
-    def __init__(self, encode_new: Callable[[list[str]], list[np.ndarray]], limit: int = TABLE_CHUNKS):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = TABLE_CHUNKS):
         self.encode_new, self.limit = encode_new, limit
         self._clear()
 
@@ -53,20 +56,18 @@ class ChunkTable:
         got = list(map(known.get, keys))
         if None in got:
             new = [k for k, g in zip(keys, got, strict=True) if g is None]
-            self._learn(known, new, self.encode_new([chunk_of(k) for k in new]))
+            self._learn(known, new, *self.encode_new([chunk_of(k) for k in new]))
             got = list(map(known.__getitem__, keys))
         return np.array(got, np.int64)
 
-    def _learn(self, known: dict[str, int], new: list[str], ids: list[np.ndarray]) -> None:
-        size = np.array([len(x) for x in ids], np.int64)
-        total = int(size.sum())
+    def _learn(self, known: dict[str, int], new: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        total = len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while self.rows + len(new) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        if total:
-            self.flat[self.used: self.used + total] = np.concatenate(ids)
+        self.flat[self.used: self.used + total] = ids
         here = slice(self.rows, self.rows + len(new))
         self.start[here] = self.used + np.cumsum(size) - size
         self.length[here] = size
@@ -131,29 +132,36 @@ def worker_table(path: str) -> ChunkTable:
         before, model = tokenizer.pre_tokenizer, tokenizer.model
         model._resize_cache(0)  # the table below replaces it
         signs = byte_signs()
-        coded: dict[str, list[int]] = {}
+        coded: dict[str, tuple[int, ...]] = {}
+
+        def signed(word: str) -> str:
+            if not word.isascii():
+                word = _HIGH.sub(lambda m: m[0].encode().decode("latin-1").translate(signs), word)
+            return "Ġ" + word  # U+0120 writes a space
 
         def words(chunk: str) -> list[str]:
             rest = chunk[1:]
-            if chunk[0] == " " and rest and max(rest) < "\u0250":
+            if chunk[0] == " " and rest and (rest.isascii() or max(rest) < "\u0250"):
                 if rest.isalpha():  # one word
-                    return [chunk.encode().decode("latin-1").translate(signs)]
+                    return [signed(rest)]
                 if rest[-1] in ".,;:!?" and rest[:-1].isalpha():
-                    return [chunk[:-1].encode().decode("latin-1").translate(signs), rest[-1]]
+                    return [signed(rest[:-1]), rest[-1]]
             return [w for w, _ in before.pre_tokenize_str(chunk)]
 
-        def encode_new(chunks: list[str]) -> list[np.ndarray]:
+        def encode_new(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if len(coded) > TABLE_WORDS:
                 coded.clear()
-            out = []
+            flat, sizes = array("I"), array("q")
             for c in chunks:
-                ids: list[int] = []
+                n = 0
                 for w in words(c):
-                    if w not in coded:
-                        coded[w] = [t.id for t in model.tokenize(w)]
-                    ids += coded[w]
-                out.append(np.array(ids, np.uint32))
-            return out
+                    ids = coded.get(w)
+                    if ids is None:
+                        ids = coded[w] = tuple([t.id for t in model.tokenize(w)])
+                    flat.extend(ids)
+                    n += len(ids)
+                sizes.append(n)
+            return np.array(flat, np.uint32), np.array(sizes, np.int64)
 
         _WORKER[path] = ChunkTable(encode_new)
     return _WORKER[path]

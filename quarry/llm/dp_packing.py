@@ -77,20 +77,32 @@ def candidates(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray, length: int
                stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions and penalties in a stream; ``ends``: positions after each
     document; ``stops``: per id, whether it ends a sentence."""
-    cut = np.union1d(np.flatnonzero(stops[ids]) + 1, ends)
-    cut = np.concatenate([[0], cut[cut > 0]])
-    wide = np.flatnonzero(np.diff(cut) > length)
-    hard = [np.arange(cut[k] + stride, cut[k + 1], stride) for k in wide]
-    position = np.unique(np.concatenate([cut, *hard]).astype(np.int64))
-    penalty = np.full(len(position), hard_cost, np.int64)
-    penalty[np.searchsorted(position, cut)] = sentence_cost
-    penalty[np.searchsorted(position, ends)] = 0
-    penalty[0] = 0
+    last = np.zeros(len(ids), bool)
+    last[ends - 1] = True
+    cut = np.flatnonzero(stops[ids] | last) + 1
+    position = np.concatenate([[0], cut])
+    penalty = np.concatenate([[0], np.where(last[cut - 1], 0, sentence_cost)])
+    wide = np.flatnonzero(np.diff(position) > length)
+    if len(wide):
+        hard = np.concatenate([np.arange(position[k] + stride, position[k + 1], stride) for k in wide])
+        position, penalty = np.concatenate([position, hard]), np.concatenate([penalty, np.full(len(hard), hard_cost)])
+        order = np.argsort(position)
+        position, penalty = position[order], penalty[order]
     return position, penalty
 
 
+_STOPS: dict[str, np.ndarray] = {}
+
+
 def sentence_ids(path: str) -> np.ndarray:
-    """Per id of the vocabulary: does its piece end a sentence or a line?"""
+    """Per id of the vocabulary: does its piece end a sentence or a line? A
+    worker reads the vocabulary once."""
+    if path not in _STOPS:
+        _STOPS[path] = _sentence_ids(path)
+    return _STOPS[path]
+
+
+def _sentence_ids(path: str) -> np.ndarray:
     tok = load_tokenizer(path)
     size = tok.get_vocab_size()
     flags = np.zeros(size, bool)

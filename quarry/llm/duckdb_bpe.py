@@ -176,14 +176,15 @@ class BpeCodec:
                     lo, held = hi + 1, 0
         return out
 
-    def _encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [self.split.findall(c) for c in chunks]
         if len(self.words) > TABLE_WORDS:
             self.words = {}
         fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in self.words))
         ids = self.encode_words([w.encode() for w in fresh])
         self.words.update((w, ids[w.encode()].astype("<u4").tobytes()) for w in fresh)
-        return [np.frombuffer(b"".join([self.words[w] for w in ws]), "<u4") for ws in split]
+        sizes = [sum([len(self.words[w]) for w in ws]) // 4 for ws in split]
+        return np.frombuffer(b"".join([self.words[w] for ws in split for w in ws]), "<u4"), np.array(sizes, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text."""

@@ -42,7 +42,7 @@ def test_chunk_table_equals_whole_text_encoding():
 
 def test_a_full_table_starts_anew():
     seen = []
-    table = ChunkTable(lambda cs: [np.array([ord(x) for x in c], np.uint32) for c in cs], limit=5)
+    table = ChunkTable(lambda cs: (np.array([ord(x) for c in cs for x in c], np.uint32), np.array([len(c) for c in cs])), limit=5)
     texts = [f"a b{k} c{k}\nd{k}" for k in range(6)]
     for t in texts:
         seen += table.encode_many([t])
