@@ -23,12 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer splits than the session's shuffle
-    partitions (a small file with one row group is one task), so row-local
-    heavy work (regexes over long texts, fan-outs) runs in parallel. A scan
-    of a large table already has enough splits and is returned unchanged."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    if df.rdd.getNumPartitions() < parts:
-        return df.repartition(parts)
-    return df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal rows evenly over ``partitions`` (default: the session's shuffle
+    partitions) before heavy row-local work; one narrow exchange, at any size."""
+    return df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
