@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks a worker remembers before it starts its table anew (about 250 bytes each).
-TABLE_CHUNKS = 500_000
+TABLE_CHUNKS = 300_000
 
 _RUN = re.compile(r"\s\s")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
@@ -32,7 +32,7 @@ _CUT = re.compile(r"(?<=\S)(?=\s)")
 _WORKER: dict[str, ChunkTable] = {}
 
 #: Words a worker remembers beside them.
-TABLE_WORDS = 200_000
+TABLE_WORDS = 100_000
 
 
 class ChunkTable:
@@ -96,6 +96,8 @@ class ChunkTable:
         places = self._places(self.pieces, coded.dictionary.to_numpy(zero_copy_only=False).tolist(), lambda p: p if p[:1] == "\n" else " " + p)
         out = iter(self._gather(places[coded.indices.to_numpy()], pc.list_value_length(lists).to_numpy(), 1)
                    if plain else [])
+        del lists, coded
+        pa.default_memory_pool().release_unused()
         if len(plain) == len(texts):
             return list(out)
         cut = [_CUT.split(t) for t, o in zip(texts, odd, strict=True) if o]
@@ -132,7 +134,7 @@ def worker_table(path: str) -> ChunkTable:
         before, model = tokenizer.pre_tokenizer, tokenizer.model
         model._resize_cache(0)  # the table below replaces it
         signs = byte_signs()
-        coded: dict[str, tuple[int, ...]] = {}
+        coded: dict[str, bytes] = {}
 
         def signed(word: str) -> str:
             if not word.isascii():
@@ -151,17 +153,17 @@ def worker_table(path: str) -> ChunkTable:
         def encode_new(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if len(coded) > TABLE_WORDS:
                 coded.clear()
-            flat, sizes = array("I"), array("q")
+            flat, sizes = bytearray(), array("q")
             for c in chunks:
                 n = 0
                 for w in words(c):
                     ids = coded.get(w)
                     if ids is None:
-                        ids = coded[w] = tuple([t.id for t in model.tokenize(w)])
-                    flat.extend(ids)
-                    n += len(ids)
+                        ids = coded[w] = array("I", [t.id for t in model.tokenize(w)]).tobytes()
+                    flat += ids
+                    n += len(ids) // 4
                 sizes.append(n)
-            return np.array(flat, np.uint32), np.array(sizes, np.int64)
+            return np.frombuffer(flat, np.uint32), np.array(sizes, np.int64)
 
         _WORKER[path] = ChunkTable(encode_new)
     return _WORKER[path]

@@ -41,7 +41,7 @@ SENTENCE_COST = 4
 HARD_COST = 64
 STRIDE = 64
 #: Texts that one encoding step holds at once.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 
 
 def best_cuts(position: np.ndarray, penalty: np.ndarray, length: int, to_end: bool = True) -> list[int]:
@@ -182,15 +182,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
 def steps(column: pa.Array, chars: int = STEP_CHARS) -> Iterator[tuple[int, int, list[str]]]:
     """Slices of a text column with about ``chars`` characters each; a longer
     text is a slice of its own."""
-    texts = [t or "" for t in column.to_pylist()]
-    lo = size = 0
-    for hi, t in enumerate(texts):
+    lo, held, size = 0, [], 0
+    for hi, value in enumerate(column):
+        t = value.as_py() or ""
         if size and size + len(t) > chars:
-            yield lo, hi, texts[lo:hi]
-            lo, size = hi, 0
+            yield lo, hi, held
+            lo, held, size = hi, [], 0
+        held.append(t)
         size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts), texts[lo:]
+    if held:
+        yield lo, lo + len(held), held
 
 
 def digest(pieces: DataFrame) -> DataFrame:
