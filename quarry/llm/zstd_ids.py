@@ -13,9 +13,10 @@ Layout, under one folder that the cluster shares:
 
 Blocks are written by Spark's Parquet writer: its commit protocol survives lost
 executors and reaches any store that Spark reaches. Documents are tokenised and
-compressed once, into a scratch table, and move once, already compressed, to range partitions by id; the position of a document in the whole
-stream is its position in the partition plus the ids of earlier partitions, both
-taken from the written files.
+compressed once, into a scratch table, and move once, already compressed, to
+range partitions by id; the position of a document in the whole stream is its
+position in the partition plus the ids of earlier partitions, both taken from
+the written files.
 
 Defined cases: a null text counts as empty and holds the end id alone; a null id
 sorts first; rows that share an id follow each other in input order; an empty
@@ -51,18 +52,13 @@ BLOCK_DOCS = 4096
 LEVEL = 3
 
 
-def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, dtype: str) -> DataFrame:
-    """doc_id, rid, ids (serialized)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_table(tokenizer)
-        for b in batches:
-            for lo, hi, texts in steps(b.column(2)):
-                raw = [np.append(ids, end_id).astype(dtype).tobytes() for ids in table.encode_many(texts)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(raw, pa.binary())],
-                    names=["doc_id", "rid", "ids"])
-
-    return docs.mapInArrow(run, "doc_id long, rid long, ids binary")
+def _arrays(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, dtype: str) -> Iterator[tuple[pa.Array, pa.Array, list[bytes]]]:
+    """doc_id, rid and serialized ids of the documents, some at a time."""
+    table = worker_table(tokenizer)
+    for b in batches:
+        for lo, hi, texts in steps(b.column(2)):
+            yield (b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo),
+                   [np.append(ids, end_id).astype(dtype).tobytes() for ids in table.encode_many(texts)])
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, dtype: str) -> bytes:
@@ -72,10 +68,13 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, dtype: str) -
 
     every = max(1, docs.count() // SAMPLE_DOCS)
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * SAMPLE_DOCS)
-    width = F.octet_length("ids")
-    sized = _tokenised(chosen, tokenizer, end_id, dtype).where(width <= SAMPLE_BYTES // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, raw in _arrays(batches, tokenizer, end_id, dtype):
+            yield pa.RecordBatch.from_arrays([pa.array([r for r in raw if len(r) <= SAMPLE_BYTES // 64], pa.binary())], names=["ids"])
+
     samples, held = [], 0
-    for r in sized.select("ids").toLocalIterator():
+    for r in chosen.mapInArrow(run, "ids binary").toLocalIterator():
         if held + len(r["ids"]) > SAMPLE_BYTES:
             break
         samples.append(bytes(r["ids"]))
@@ -136,12 +135,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_co
         .write.parquet(f"{path}/dictionary")
     width = int(dtype[-1])
 
+    # Tokenised and compressed in one Python stage: whole id arrays never cross to the JVM.
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _compressor(dictionary)
-        for b in batches:
-            raw = b.column(2).to_pylist()
+        for doc_ids, rids, raw in _arrays(batches, tokenizer, end_id, dtype):
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(r) // width for r in raw], pa.int64()),
+                [doc_ids, rids, pa.array([len(r) // width for r in raw], pa.int64()),
                  pa.array([c.compress(r) for r in raw], pa.binary())], names=["doc_id", "rid", "n_tokens", "frame"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +170,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_co
             yield close()
 
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    framed = _tokenised(cols, tokenizer, end_id, dtype).mapInArrow(
-        compress, "doc_id long, rid long, n_tokens long, frame binary")
+    framed = cols.mapInArrow(compress, "doc_id long, rid long, n_tokens long, frame binary")
     order = [F.col("doc_id").asc_nulls_first(), F.col("rid")]
     # Written first: choosing range bounds samples its input, and must not tokenise it again.
     placed = materialise(framed).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "frame")
