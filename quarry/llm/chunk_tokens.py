@@ -23,17 +23,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks a worker remembers before it starts its table anew (about 250 bytes each).
-TABLE_CHUNKS = 300_000
+TABLE_CHUNKS = 800_000
 
 _RUN = re.compile(r"\s\s")
-_HIGH = re.compile(r"[^\x00-\x7f]+")
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 
 _WORKER: dict[str, ChunkTable] = {}
 
-#: Words a worker remembers beside them.
-TABLE_WORDS = 100_000
-
 
 class ChunkTable:
     """``encode_new`` gives the ids of a list of distinct chunks, one after the
@@ -131,39 +127,29 @@ def worker_table(path: str) -> ChunkTable:
     if path not in _WORKER:
         tokenizer = load_tokenizer(path)
 
-        before, model = tokenizer.pre_tokenizer, tokenizer.model
-        model._resize_cache(0)  # the table below replaces it
+        before, tokenize = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+        tokenizer.model._resize_cache(0)  # the table replaces it
         signs = byte_signs()
-        coded: dict[str, bytes] = {}
 
         def signed(word: str) -> str:
-            if not word.isascii():
-                word = _HIGH.sub(lambda m: m[0].encode().decode("latin-1").translate(signs), word)
-            return "Ġ" + word  # U+0120 writes a space
+            # U+0120 writes a space
+            return "Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(signs))
 
-        def words(chunk: str) -> list[str]:
+        def ids_of(chunk: str) -> list[int]:
             rest = chunk[1:]
             if chunk[0] == " " and rest and (rest.isascii() or max(rest) < "\u0250"):
                 if rest.isalpha():  # one word
-                    return [signed(rest)]
+                    return [t.id for t in tokenize(signed(rest))]
                 if rest[-1] in ".,;:!?" and rest[:-1].isalpha():
-                    return [signed(rest[:-1]), rest[-1]]
-            return [w for w, _ in before.pre_tokenize_str(chunk)]
+                    return [t.id for w in (signed(rest[:-1]), rest[-1]) for t in tokenize(w)]
+            return [t.id for w, _ in before(chunk) for t in tokenize(w)]
 
         def encode_new(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            if len(coded) > TABLE_WORDS:
-                coded.clear()
-            flat, sizes = bytearray(), array("q")
-            for c in chunks:
-                n = 0
-                for w in words(c):
-                    ids = coded.get(w)
-                    if ids is None:
-                        ids = coded[w] = array("I", [t.id for t in model.tokenize(w)]).tobytes()
-                    flat += ids
-                    n += len(ids) // 4
-                sizes.append(n)
-            return np.frombuffer(flat, np.uint32), np.array(sizes, np.int64)
+            flat, sizes = array("I"), array("q")
+            for ids in map(ids_of, chunks):
+                flat.extend(ids)
+                sizes.append(len(ids))
+            return np.frombuffer(flat, np.uint32), np.frombuffer(sizes, np.int64)
 
         _WORKER[path] = ChunkTable(encode_new)
     return _WORKER[path]

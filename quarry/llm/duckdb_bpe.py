@@ -40,6 +40,7 @@ DEPTH = 64
 QUERY_BYTES = 400_000
 #: Words a worker remembers, beside the chunks of its table.
 TABLE_WORDS = 400_000
+TABLE_CHUNKS = 500_000
 STEP_CHARS = 2_000_000
 
 _WORKER: dict[tuple[str, str], BpeCodec] = {}
@@ -130,7 +131,7 @@ class BpeCodec:
         self._load("merges", merge_table(self.ranks))
         self._load("vocab", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()),
                                       "hex": pa.array([k.hex() for k in self.ranks])}))
-        self.table = ChunkTable(self._encode_chunks)
+        self.table = ChunkTable(self._encode_chunks, TABLE_CHUNKS)
         self.words: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
 
     def _load(self, name: str, table: pa.Table) -> None:
