@@ -10,8 +10,10 @@
   ``percentile`` (linear interpolation, as NumPy's default).
 * Paired bootstrap of Full-vs-LoRA deltas: the same idea over the 125 joint
   cells (gold, pred_a, pred_b), which keeps the pairing.
-* ``bootstrap_hash``: a pure-SQL bootstrap with Poisson(1) weights derived
-  from md5(question_id ':' replicate) -- identical in any SQL engine.
+* ``bootstrap_hash``: a bootstrap with Poisson(1) weights derived from
+  md5(question_id ':' replicate) -- identical in any SQL engine. Tasks draw the
+  weights of a question once per block of replicates and add them to the cells
+  of all its runs; only partial cell sums are shuffled.
 * McNemar: discordant counts from the paired rows; exact binomial p from
   a closed-form sum, chi-square tail via ``erfc`` (the one small Python UDF,
   one row per contrast).
@@ -19,12 +21,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator, Sequence
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -37,9 +42,23 @@ K = len(LETTERS)
 N_BOOT = 10_000
 SEED = 42
 BLOCK = 1000
-# Poisson(1) CDF x 2^32 at k = 0..7 (weights capped at 8).
-POISSON_THRESHOLDS = (1580030168, 3160060337, 3950075421, 4213413783, 4279248373,
-                      4292415291, 4294609777, 4294923276)
+#: Accumulators of the hash bootstrap that a task holds before it hands partial sums on.
+HELD_BYTES = 64 << 20
+
+
+def _poisson_thresholds() -> tuple[int, ...]:
+    """Floor of the Poisson(1) CDF x 2^32 at k = 0, 1, ... as far as 32 bits tell them apart."""
+    with localcontext() as ctx:
+        ctx.prec = 40
+        out, term, cdf = [], Decimal(-1).exp(), Decimal(0)
+        while not out or int((cdf + term) * 2**32) > out[-1]:
+            cdf += term
+            out.append(int(cdf * 2**32))
+            term /= len(out)
+    return tuple(out)
+
+
+POISSON_THRESHOLDS = _poisson_thresholds()
 CONTRAST_STAGE1 = ("none", "lora", "full", "full3ep")
 
 
@@ -149,40 +168,74 @@ def hash_value(key: Column, rep: Column) -> Column:
     return F.conv(F.substring(m, 1, 8), 16, 10).cast("bigint")
 
 
-def poisson_weight(h: Column) -> Column:
-    """Poisson(1) draw from a uniform 32-bit value: thresholds not above it."""
-    return M._sum([F.when(h >= t, 1).otherwise(0) for t in POISSON_THRESHOLDS])
-
-
-def hash_weight(key: Column, rep: Column) -> Column:
-    return poisson_weight(hash_value(key, rep))
+def question_weights(key: str, first: int, size: int) -> np.ndarray:
+    """Poisson(1) weights of a question in replicates first .. first + size - 1:
+    the thresholds not above the 32-bit hash of each."""
+    start = hashlib.md5(f"{key}:".encode())
+    drawn = bytearray()
+    for rep in range(first, first + size):
+        h = start.copy()
+        h.update(str(rep).encode())
+        drawn += h.digest()[:4]
+    return np.searchsorted(POISSON_THRESHOLDS, np.frombuffer(drawn, ">u4").astype(np.int64), side="right")
+
+
+COUNTS = ["n", "n_correct", *[M.cell(a, b) for a in LETTERS for b in LETTERS]]
+
+
+def _weighted_cells(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Partial sums per (run, replicate) of rows sorted by (block, question)."""
+    held: dict[str, np.ndarray] = {}
+    limit = max(1, HELD_BYTES // (8 * block * (K * K + 2)))
+    at = weights = None
+
+    def flush(first: int) -> Iterator[pa.RecordBatch]:
+        for run, sums in held.items():
+            reps = np.arange(first, first + sums.shape[1])
+            correct = sums[: K * K: K + 1].sum(axis=0) + sums[-1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([run] * len(reps), pa.string()), *map(pa.array, (reps, sums.sum(axis=0), correct, *sums[: K * K]))],
+                names=["run_name", "rep", *COUNTS])
+        held.clear()
+
+    for b in batches:
+        for i, size, question, run, cell, n in zip(*[b.column(c).to_pylist() for c in
+                                                     ("block", "size", "question", "run_name", "cell", "n")], strict=True):
+            if (i, question) != at:
+                if at is not None and (i != at[0] or len(held) > limit):
+                    yield from flush(at[0] * block)
+                at, weights = (i, question), question_weights(question, i * block, size)
+            if run not in held:
+                held[run] = np.zeros((K * K + 2, size), np.int64)
+            held[run][cell] += weights if n == 1 else n * weights
+    if at is not None:
+        yield from flush(at[0] * block)
+
+
+def bootstrap_hash_replicates(preds: DataFrame, n_boot: int = N_BOOT, block: int = BLOCK) -> DataFrame:
+    """Weighted confusion counts per (run, replicate). A weight depends on
+    (question, replicate) only, so runs are paired by construction; rows without
+    a question have none. Repeated rows are counted before they are dealt, so a
+    question holding a third of all rows is a few rows there. Rows fan out by
+    blocks of replicates, and a task holds the sums of one block."""
+    g, p = F.col("gold_label"), F.col("pred_label")
+    letters = F.array(*map(F.lit, LETTERS))
+    cell = F.when(g.isin(*LETTERS) & p.isin(*LETTERS), (F.array_position(letters, g) - 1) * K + F.array_position(letters, p) - 1) \
+        .otherwise(F.when(g == p, K * K + 1).otherwise(K * K))  # other labels: only in the totals
+    counted = preds.where(F.col("question_id").isNotNull()).groupBy(
+        F.col("question_id").cast("string").alias("question"), "run_name", cell.cast("int").alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"))
+    parts = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n_blocks = -(-n_boot // block)
+    sizes = F.array(*[F.struct(F.lit(i).alias("block"), F.lit(min(block, n_boot - i * block)).alias("size")) for i in range(n_blocks)])
+    groups = max(1, 2 * parts // n_blocks) if n_blocks > 1 else 1 << 20
+    dealt = counted.select("*", F.inline(sizes)).repartition(
+        parts, "block", F.pmod(F.xxhash64("question"), F.lit(groups))).sortWithinPartitions("block", "question")
+    partial = dealt.mapInArrow(lambda it: _weighted_cells(it, block), "run_name string, rep long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return partial.groupBy("run_name", "rep").agg(*[F.sum(c).alias(c) for c in COUNTS]).where("n > 0")
 
 
-def bootstrap_hash_replicates(preds: DataFrame, n_boot: int) -> DataFrame:
-    """Weighted confusion counts per (run, replicate). The weight depends on
-    (question, replicate) only, so it is computed once per question and
-    replicate and shared by every run (paired by construction)."""
-    # The distinct-question table is small in bytes, so AQE would coalesce it
-    # into one partition; the fan-out below multiplies it by n_boot, so pin an
-    # explicit partition count (AQE keeps those) to spread that work.
-    parts = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    q = preds.select("question_id").distinct().repartition(parts)
-    # h is a column of its own so the md5 is computed once per (question,
-    # replicate) for the weight; zero-weight pairs (h below the first
-    # threshold, about 37%) are dropped before the join.
-    w = (q.select("question_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_boot - 1).cast("bigint"))).alias("rep"))
-         .withColumn("h", hash_value(F.col("question_id"), F.col("rep")))
-         .where(F.col("h") >= POISSON_THRESHOLDS[0])
-         .select("question_id", "rep", poisson_weight(F.col("h")).alias("w")))
-    p = preds.select("run_name", "question_id", "gold_label", "pred_label")
-    j = p.join(w, "question_id")
-    # Collapse to (run, replicate, cell) first: a 4-key hash aggregation whose
-    # output is runs x replicates x 25 rows, then widen that small table.
-    cells = j.groupBy("run_name", "rep", "gold_label", "pred_label").agg(F.sum("w").alias("w"))
-    return M.confusion_wide(cells, ["run_name", "rep"], weight="w")
-
-
-def bootstrap_hash(preds: DataFrame, n_boot: int) -> DataFrame:
+def bootstrap_hash(preds: DataFrame, n_boot: int = N_BOOT) -> DataFrame:
     """Per run: percentile CIs of accuracy and macro F1 over hash-weighted
     replicates (exactly reproducible in SQL)."""
     reps = bootstrap_hash_replicates(preds, n_boot).select(

@@ -9,10 +9,8 @@ from quarry.operators import metrics as M
 from quarry.plans import sqlgen as S
 from quarry.sources import fixtures as X
 
-# Replicates of the SQL-checkable hash bootstrap. The row-level cost of that
-# variant is runs x questions x replicates, so it serves as the cross-engine
-# check of the weighting; the 10,000-replicate CIs come from ``bootstrap_ci``
-# (multinomial over cells, cost independent of the row count).
+# Replicates of the hash bootstrap that DuckDB repeats: its join multiplies questions by
+# replicates and runs. ``inference.bootstrap_hash`` itself defaults to 10,000, as ``bootstrap_ci``.
 HASH_REPLICATES = 200
 
 

@@ -56,6 +56,31 @@ def test_hash_bootstrap_replicate0_golden(spark):
     assert (r.n_correct, r.n) == (7764, 15069)
 
 
+def test_hash_bootstrap_brute_force(spark):
+    """Blocks, repeated rows, labels outside the domain, a null question and the whole Poisson tail."""
+    import hashlib
+    from collections import Counter
+
+    assert len(I.POISSON_THRESHOLDS) > 10 and I.POISSON_THRESHOLDS[:2] == (1580030168, 3160060337)
+    rows = [(f"r{i % 3}", i // 3 % 40, "ABCDE"[i % 5], "ABCDE"[i * 7 % 5]) for i in range(150)]
+    rows += [("r0", 7, "A", "A")] * 30 + [("r1", 1, "?", "?"), ("r1", 2, "A", None), ("r2", None, "A", "A")]
+    want = Counter()
+    for run, q, gold, pred in rows:
+        for rep in range(23 if q is not None else 0):
+            h = int(hashlib.md5(f"{q}:{rep}".encode()).hexdigest()[:8], 16)
+            w = sum(h >= t for t in I.POISSON_THRESHOLDS)
+            want[run, rep, "n"] += w
+            want[run, rep, "n_correct"] += w * (gold == pred)
+            if pred and gold != "?":
+                want[run, rep, f"n_{gold}{pred}"] += w
+    df = spark.createDataFrame(rows, "run_name string, question_id long, gold_label string, pred_label string")
+    got = I.bootstrap_hash_replicates(df, 23, block=5).collect()
+    assert len(got) == 3 * 23
+    for r in got:
+        d = r.asDict()
+        assert all(v == want[r.run_name, r.rep, k] for k, v in d.items() if k not in ("run_name", "rep"))
+
+
 def test_bootstrap_close_to_index_resampling(spark):
     """Multinomial over cells vs NumPy index resampling on the same run."""
     preds = X.predictions(spark, SF001).where("run_name = 'alpha-8b_s1-none_s2-full'")
