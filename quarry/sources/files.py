@@ -5,9 +5,8 @@
   string). ``read_csv_strict`` handles quoted cells with embedded newlines;
   ``read_csv_tolerant`` treats quotes as ordinary characters, pads short rows
   with nulls and drops over-long ones (never DROPMALFORMED, which would also
-  drop short rows); ``read_csv_two_pass`` uses the strict reading unless the
-  file has an over-long record or an unterminated quote, decided by two
-  distributed counts.
+  drop short rows); ``read_csv_two_pass`` decides per file: strict unless the
+  file has an over-long record or ends inside a quoted cell.
 * Prediction files: one table partitioned by ``run_name`` (or one file per
   run, the run name taken from the file stem via ``_metadata.file_path``).
   Writes use dynamic partition overwrite so rewriting one run leaves the
@@ -20,8 +19,10 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 # CSV (A1-A3)
 # --------------------------------------------------------------------------
 
-def _header(spark: SparkSession, path: str, quote: str) -> list[str]:
+def _header(spark: SparkSession, path: str | list[str], quote: str) -> list[str]:
     return spark.read.option("header", True).option("quote", quote).option("escape", '"').csv(path).columns
 
 
@@ -56,7 +57,7 @@ def _schema(cols: Sequence[str]) -> str:
     return ", ".join(f"`{c}` string" for c in [*cols, EXTRA, CORRUPT])
 
 
-def read_csv_strict(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_strict(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Quoted CSV (embedded newlines, doubled quotes), all columns STRING."""
     cols = _header(spark, path, '"')
     df = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
@@ -65,7 +66,7 @@ def read_csv_strict(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def read_csv_tolerant(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_tolerant(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Quotes are ordinary characters; short rows padded with null; rows with
     more fields than the header dropped; bad UTF-8 replaced."""
     cols = _header(spark, path, "")
@@ -77,27 +78,81 @@ def read_csv_tolerant(spark: SparkSession, path: str) -> DataFrame:
     return _null_markers(ok, cols)
 
 
+def ends_in_quotes(line: str, inside: bool) -> bool:
+    """Whether a quoted cell is still open after a line. Only a quote at the
+    start of a cell opens one; elsewhere in an unquoted cell it is a character."""
+    i = 0
+    while True:
+        if inside:
+            i = line.find('"', i) + 1
+            if i == 0:
+                return True
+            if line[i:i + 1] == '"':  # doubled: a character of the cell
+                i += 1
+                continue
+            inside = False
+        elif line[i:i + 1] == '"':
+            inside, i = True, i + 1
+            continue
+        i = line.find(",", i) + 1
+        if i == 0:
+            return False
+
+
+def _open_after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per file split: is a cell open at its end if none, or one, is open at its start."""
+    at, state = None, (False, True)
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"file": [at[0]], "start": pa.array([at[1]], pa.int64()),
+                                           "if_closed": [state[0]], "if_open": [state[1]]})
+
+    for b in batches:
+        for file, start, line in zip(*[b.column(c).to_pylist() for c in ("file", "start", "value")], strict=True):
+            if (file, start) != at:
+                if at is not None:
+                    yield row()
+                at, state = (file, start), (False, True)
+            if '"' in line:
+                state = (ends_in_quotes(line, state[0]), ends_in_quotes(line, state[1]))
+    if at is not None:
+        yield row()
+
+
 def csv_problems(spark: SparkSession, path: str) -> DataFrame:
-    """One row: records with more fields than the header under strict
-    parsing, and whether the quote count of the file is odd (an unterminated
-    quote). Both are distributed counts."""
-    strict = read_csv_strict(spark, path)
-    over = strict.agg(F.count_if(F.col(EXTRA).isNotNull()).alias("over_long"))
-    quotes = spark.read.text(path).agg(
-        (F.sum(F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1)
-        .alias("odd_quotes"))
-    return over.select("over_long", quotes.select("odd_quotes").scalar().alias("odd_quotes"))
+    """One row per file that strict parsing fails on: (file, over_long,
+    unterminated). Splits of a file are scanned independently, each for both
+    states it may start in; a file's few splits are then chained in order."""
+    over = read_csv_strict(spark, path).where(F.col(EXTRA).isNotNull()) \
+        .groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("over_long"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    splits = lines.mapInArrow(_open_after, "file string, start long, if_closed boolean, if_open boolean")
+    chained = F.aggregate(F.array_sort(F.collect_list(F.struct("start", "if_closed", "if_open"))), F.lit(False),
+                          lambda open_, s: F.when(open_, s["if_open"]).otherwise(s["if_closed"]))
+    unclosed = splits.groupBy("file").agg(chained.alias("unterminated")).where("unterminated")
+    return over.join(unclosed, "file", "full").select(
+        "file", F.coalesce("over_long", F.lit(0)).alias("over_long"),
+        F.coalesce("unterminated", F.lit(False)).alias("unterminated"))
 
 
 def read_csv_two_pass(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """Strict reading unless it would fail (over-long record or an
-    unterminated quote), then the tolerant one. Returns (rows, mode)."""
-    p = csv_problems(spark, path).first()
-    if p["over_long"] == 0 and not p["odd_quotes"]:
-        strict = read_csv_strict(spark, path)
-        cols = [c for c in strict.columns if c not in (EXTRA, CORRUPT)]
+    """Each file read strictly unless that would fail (over-long record or an
+    unterminated quote), then tolerantly. Returns (rows, mode): ``strict``,
+    ``tolerant`` or ``mixed``. The driver holds the names of the failing files,
+    as it does the listing of the folder."""
+    bad = {r["file"] for r in csv_problems(spark, path).select("file").toLocalIterator()}
+    strict = read_csv_strict(spark, path)
+    cols = [c for c in strict.columns if c not in (EXTRA, CORRUPT)]
+    if not bad:
         return _null_markers(strict, cols), "strict"
-    return read_csv_tolerant(spark, path), "tolerant"
+    files = [r["file"] for r in spark.read.format("binaryFile").load(path)
+             .select(F.col("_metadata.file_path").alias("file")).toLocalIterator()]
+    good = [unquote(f) for f in files if f not in bad]
+    rows = read_csv_tolerant(spark, sorted(map(unquote, bad)))
+    if not good:
+        return rows, "tolerant"
+    return _null_markers(read_csv_strict(spark, good), cols).unionByName(rows), "mixed"
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False, single_file: bool = False) -> None:

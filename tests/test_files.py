@@ -4,6 +4,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 
 from quarry.operators import metrics as M
 from quarry.sources import files as FS
@@ -29,10 +31,62 @@ def test_csv_strict_and_tolerant(spark):
     rows, mode = FS.read_csv_two_pass(spark, over)
     assert mode == "tolerant"
     assert [tuple(r) for r in rows.collect()] == [("1", "x", "A"), ("3", "z", None)]
-    unterminated = _write(d, "unterm.csv", 'id,q,a\n1,stray "quote,A\n2,b,C\n')
+    stray = _write(d, "stray.csv", 'id,q,a\n1,stray "quote,A\n2,b,C\n')  # no quoted cell: pandas reads it strictly
+    rows, mode = FS.read_csv_two_pass(spark, stray)
+    assert mode == "strict"
+    assert [tuple(r) for r in rows.collect()] == [("1", 'stray "quote', "A"), ("2", "b", "C")]
+    unterminated = _write(d, "unterm.csv", 'id,q,a\n1,"stray quote,A\n2,b,C\n')
     rows, mode = FS.read_csv_two_pass(spark, unterminated)
     assert mode == "tolerant"
-    assert [tuple(r) for r in rows.collect()] == [("1", 'stray "quote', "A"), ("2", "b", "C")]
+    assert [tuple(r) for r in rows.collect()] == [("1", '"stray quote', "A"), ("2", "b", "C")]
+
+
+def test_csv_decides_per_file(spark):
+    """Quotes inside unquoted cells are characters; two files with one open quote each are both tolerant."""
+    d = tempfile.mkdtemp(prefix="quarry-csv-")
+    _write(d, "a b.csv", 'id,q,a\n1,"two\nlines",A\n2,lesion 5" wide,B\n')
+    rows, mode = FS.read_csv_two_pass(spark, d)
+    assert mode == "strict"
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", "two\nlines", "A"), ("2", 'lesion 5" wide', "B")]
+    _write(d, "c.csv", 'id,q,a\n3,"open,A\n4,x,B\n')
+    _write(d, "e.csv", 'id,q,a\n5,"open,A\n6,x,B,more\n')
+    rows, mode = FS.read_csv_two_pass(spark, d)
+    assert mode == "mixed"
+    assert sorted(tuple(r) for r in rows.collect()) == [
+        ("1", "two\nlines", "A"), ("2", 'lesion 5" wide', "B"), ("3", '"open', "A"), ("4", "x", "B"), ("5", '"open', "A")]
+
+
+def test_csv_open_quote_over_splits(spark):
+    d = tempfile.mkdtemp(prefix="quarry-csv-")
+    body = "".join(f'{i},"cell ""{i}""\nnext, line",A\n' for i in range(3000))
+    _write(d, "long.csv", "id,q,a\n" + body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows, mode = FS.read_csv_two_pass(spark, d)
+        assert mode == "strict" and rows.count() == 3000
+        _write(d, "long.csv", "id,q,a\n" + body + '3000,"open,A\n')
+        assert FS.read_csv_two_pass(spark, d)[1] == "tolerant"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("line", ["", '"', 'a,"b', 'a"b', '"a""', '"a"b"c,"d"', '""', 'x,""', '","', 'a,"b""",c', '"a""b,"'])
+def test_ends_in_quotes(line):
+    """As pandas' parser finds it, after a closed and after an open cell."""
+    import io
+
+    import pandas as pd
+
+    for inside in (False, True):
+        text = "h,i,j\n" + ('"z\n' if inside else "z\n") + line + "\n"
+        try:
+            pd.read_csv(io.StringIO(text))
+            found = False
+        except pd.errors.ParserError as e:
+            assert "EOF inside string" in str(e)
+            found = True
+        assert FS.ends_in_quotes(line, inside) == found
 
 
 def test_predictions_roundtrip_and_dynamic_overwrite(spark):
