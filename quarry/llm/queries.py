@@ -31,7 +31,7 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.secret_links import digest, find_secrets
 
-    return digest(find_secrets(documents(spark, sf_dir, "doc_id", "text")))
+    return digest(find_secrets(documents(spark, sf_dir, "doc_id", "text"), reach=None))
 
 
 def tokenizer_path(name: str) -> str:

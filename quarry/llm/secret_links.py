@@ -7,14 +7,15 @@ point offsets. Strong kinds (assign, access, hex) are always reported.
 Multipart linking: an access identifier, a secret and an endpoint prove little
 alone. Weak candidates of these three parts are intervals inside scopes (the
 paragraphs between blank lines). Each candidate joins the intervals of the
-other parts in its scope that lie within ``reach`` code points of it: the
-join is a merge along the positions of a scope, which finds the nearest
-complementary interval on either side and so emits one row per candidate,
-never the pairs. A weak candidate is reported only when
+other parts in its scope: the join is a merge along the positions of a scope,
+which finds the nearest complementary interval on either side and so emits one
+row per candidate, never the pairs. The scope alone bounds a link in the
+registered query and in ``redact``; ``reach`` also bounds the code points
+between the parts, None does not. A weak candidate is reported only when
 
-* an identifier has a secret (weak, or a strong span) in reach,
-* a secret has an identifier (weak or access) or an endpoint in reach,
-* an endpoint has a secret in reach.
+* an identifier has a secret (weak, or a strong span) linked,
+* a secret has an identifier (weak or access) or an endpoint linked,
+* an endpoint has a secret linked.
 
 Spans are kind:start:end in code points, end exclusive, of whole matches.
 Defined cases: a null text counts as empty; repeated rows are scanned each; an
@@ -44,7 +45,8 @@ ENDPOINT = r"(?:https?|jdbc:[a-z0-9]+|redis|amqps?|postgres(?:ql)?|mysql|mongodb
 
 BASE_KINDS = ("assign", "access", "hex")
 WEAK_KINDS = ("identifier", "secret", "endpoint")
-#: Code points between a weak candidate and its complementary part.
+#: Code points between a weak candidate and its complementary part where a
+#: caller of ``find_secrets`` names none. The query and ``redact`` pass None.
 REACH = 400
 _BLANK = r"\n[\x20\x09\x0B-\x0D]*\n\s*"
 
@@ -97,7 +99,7 @@ def scope_starts(text: Column) -> Column:
     return F.transform(_offsets(text, _BLANK), lambda x: x["end"])
 
 
-def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
+def link_parts(parts: DataFrame, reach: int | None = None) -> DataFrame:
     """Weak candidates with a complementary part. ``parts``: rid, scope, kind,
     start, end. The merge runs within (rid, scope): one paragraph of one text."""
     role = (F.when(F.col("kind").isin("identifier", "access"), "i").when(F.col("kind") == "endpoint", "e").otherwise("s"))
@@ -110,7 +112,7 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
         left = F.max(F.when(F.col("role") == r, F.col("end"))).over(before)
         right = F.min(F.when(F.col("role") == r, F.col("start"))).over(after)
         gap = F.least(F.col("start") - left, right - F.col("end"))
-        return F.coalesce(gap <= reach, F.lit(False))
+        return gap.isNotNull() if reach is None else F.coalesce(gap <= reach, F.lit(False))
 
     n = p.withColumn("_i", near("i")).withColumn("_s", near("s")).withColumn("_e", near("e"))
     linked = (((F.col("kind") == "identifier") & F.col("_s")) | ((F.col("kind") == "secret") & (F.col("_i") | F.col("_e")))
@@ -118,7 +120,7 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
     return n.where(linked).select("rid", "kind", "start", "end")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH,
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = REACH,
                  keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: ``id_col``, the ``keep`` columns, ``base`` and ``spans``
     (base and linked weak spans), both array<struct<kind,start,end>>."""
@@ -162,7 +164,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     names = [f"_q_{i}" for i in range(len(docs.columns))]
     text, key = (names[docs.columns.index(c)] for c in (text_col, id_col))
     own = docs.toDF(*names).withColumn("_q_id", F.col(key))
-    found = find_secrets(own, "_q_id", text, keep=tuple(names))
+    found = find_secrets(own, "_q_id", text, reach=None, keep=tuple(names))
     hit = F.size("spans") > 0
     out = found.withColumn("_q_new", F.when(hit, masked(F.col(text), F.col("spans"), mark)).otherwise(F.col(text)))
 

@@ -1,7 +1,8 @@
 import hashlib
 import re
 
-from quarry.llm.secret_links import digest, find_secrets
+from quarry.llm.queries import op10_secret_links
+from quarry.llm.secret_links import digest, find_secrets, redact
 from tests.llm.conftest import bag
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -62,3 +63,15 @@ def test_weak_spans_add_to_base(docs):
 def test_many_parts_in_one_text(spark):
     text = "client_id=svc-bill Q2xlYW5WYWx1ZVdpdGhvdXRQYXJ0bmVyMTIz " * 300
     assert len(spans(spark, text)) == 600
+
+
+def test_scope_alone_bounds_the_query_and_the_masks(spark, tmp_path):
+    key = "Q2xlYW5WYWx1ZVdpdGhvdXRQYXJ0bmVyMTIz"
+    far = "client_id=svc-bill " + "word " * 1000 + key
+    apart = far.replace(" word", "\n\nword", 1)
+    df = spark.createDataFrame([(1, far), (2, apart)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["spans"] for r in op10_secret_links(spark, str(tmp_path)).collect()}
+    assert found == {1: f"identifier:0:18,secret:{far.index(key)}:{len(far)}", 2: ""}
+    new = {r["doc_id"]: r["text"] for r in redact(df).collect()}
+    assert new == {1: "[SECRET] " + "word " * 1000 + "[SECRET]", 2: apart}
