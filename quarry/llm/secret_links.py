@@ -8,8 +8,8 @@ Multipart linking: an access identifier, a secret and an endpoint prove little
 alone. Weak candidates of these three parts are intervals inside scopes (the
 paragraphs between blank lines). Each candidate joins the intervals of the
 other parts in its scope: the join is a merge along the positions of a scope,
-which finds the nearest complementary interval on either side and so emits one
-row per candidate, never the pairs. The scope alone bounds a link in the
+which finds the nearest complementary interval on either side and so emits two
+rows per candidate at most, never the pairs. The scope alone bounds a link in the
 registered query and in ``redact``; ``reach`` also bounds the code points
 between the parts, None does not. A weak candidate is reported only when
 
@@ -17,6 +17,11 @@ between the parts, None does not. A weak candidate is reported only when
 * a secret has an identifier (weak or access) or an endpoint linked,
 * an endpoint has a secret linked.
 
+Parts that overlap are no link: a run of characters is one piece of evidence. A
+weak secret inside an access span is that span. One inside an endpoint
+(identifier) is as likely a path (a long identifier) as a secret, so it links
+with parts of the other kinds only, not with further endpoints (identifiers).
+
 Spans are kind:start:end in code points, end exclusive, of whole matches.
 Defined cases: a null text counts as empty; repeated rows are scanned each; an
 empty table gives an empty result; columns of other names are not touched.
@@ -101,22 +106,37 @@ def scope_starts(text: Column) -> Column:
 
 def link_parts(parts: DataFrame, reach: int | None = None) -> DataFrame:
     """Weak candidates with a complementary part. ``parts``: rid, scope, kind,
-    start, end. The merge runs within (rid, scope): one paragraph of one text."""
-    role = (F.when(F.col("kind").isin("identifier", "access"), "i").when(F.col("kind") == "endpoint", "e").otherwise("s"))
-    p = parts.withColumn("role", role)
-    here = Window.partitionBy("rid", "scope").orderBy("start", "end", "kind")
-    before = here.rowsBetween(Window.unboundedPreceding, -1)
-    after = here.rowsBetween(1, Window.unboundedFollowing)
-
-    def near(r: str) -> Column:
-        left = F.max(F.when(F.col("role") == r, F.col("end"))).over(before)
-        right = F.min(F.when(F.col("role") == r, F.col("start"))).over(after)
-        gap = F.least(F.col("start") - left, right - F.col("end"))
+    start, end. The merge runs within (rid, scope): one paragraph of one text.
+    Each part is met at its start, where the parts that have ended lie on its
+    left, and at its end, where the parts that begin later lie on its right."""
+    scope = Window.partitionBy("rid", "scope")
+    begun = scope.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def inside(kind: str) -> Column:
+        # Spans of one kind do not overlap: the last one begun has the largest end.
+        last = F.max(F.when(F.col("kind") == kind, F.col("end"))).over(begun)
+        return (F.col("kind") == "secret") & F.coalesce(last >= F.col("end"), F.lit(False))
+
+    p = parts.select("*", inside("identifier").alias("in_i"), inside("endpoint").alias("in_e"),
+                     inside("access").alias("in_a")).where(~F.col("in_a"))
+    at = p.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("ended")).withColumn(
+        "at", F.when(F.col("ended"), F.col("end")).otherwise(F.col("start")))
+    before = scope.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = scope.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def near(part: Column) -> Column:
+        left = F.max(F.when(part & F.col("ended"), F.col("at"))).over(before)
+        right = F.min(F.when(part & ~F.col("ended"), F.col("at"))).over(after)
+        gap = F.when(F.col("ended"), right - F.col("at")).otherwise(F.col("at") - left)
         return gap.isNotNull() if reach is None else F.coalesce(gap <= reach, F.lit(False))
 
-    n = p.withColumn("_i", near("i")).withColumn("_s", near("s")).withColumn("_e", near("e"))
-    linked = (((F.col("kind") == "identifier") & F.col("_s")) | ((F.col("kind") == "secret") & (F.col("_i") | F.col("_e")))
-              | ((F.col("kind") == "endpoint") & F.col("_s")))
+    kind = F.col("kind")
+    secret = ~kind.isin("identifier", "access", "endpoint")
+    n = at.select("*", near(kind == "access").alias("_a"), near(kind == "identifier").alias("_i"),
+                  near(kind == "endpoint").alias("_e"), near(secret & ~F.col("in_i")).alias("_si"),
+                  near(secret & ~F.col("in_e")).alias("_se"))
+    linked = (((kind == "identifier") & F.col("_si")) | ((kind == "endpoint") & F.col("_se"))
+              | ((kind == "secret") & (F.col("_a") | (F.col("_i") & ~F.col("in_i")) | (F.col("_e") & ~F.col("in_e")))))
     return n.where(linked).select("rid", "kind", "start", "end")
 
 
@@ -134,7 +154,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = scanned.where(meets).select("rid", "scopes", F.explode(F.concat("base", "weak")).alias("p")).select(
         "rid", F.size(F.filter("scopes", lambda s: s <= F.col("p.start"))).alias("scope"), "p.kind", "p.start", "p.end")
     linked = link_parts(parts, reach).groupBy("rid").agg(
-        F.collect_list(F.struct("kind", "start", "end")).alias("linked"))
+        F.collect_set(F.struct("kind", "start", "end")).alias("linked"))
     extra = F.coalesce(F.col("linked"), F.expr(f"cast(array() as {_SPAN})"))
     names = ["id", *[f"k{i}" for i in range(len(keep))], "base"]
     alone = scanned.where(~meets).select(*names, F.col("base").alias("spans"))
