@@ -10,7 +10,9 @@ expand an anchor to its boundaries and validate it:
 * card: digits with single spaces or hyphens between, 13 to 19 of them, Luhn;
 * phone: a plus sign, a digit, digits and ``().-`` or spaces, 9 to 15 digits;
 * login (added): a URL with user information, ``scheme://user:password@host``;
-* iban (added): country, check digits and 11 to 30 characters, modulus 97;
+* iban (added): country, check digits and 11 to 30 characters, modulus 97; it ends
+  at its country's length, or, for a country not listed, at the last token boundary
+  that passes, as more capitals or digits may follow;
 * account (added): a cue word, then a number of 6 to 17 digits.
 
 Within a kind, matches are leftmost and do not overlap; a match that fails its
@@ -48,7 +50,14 @@ _NUMBERS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"[0-9][ ().0-9-]+[0-9]")
 _USER = re.compile(r"[^\s/@:\"'<>]+:[^\s/@\"'<>]+@[A-Za-z0-9.-]*[A-Za-z0-9]")
-_IBAN = re.compile(r"[\s:#.-]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[\s:#.-]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+#: Characters of an IBAN by country (the public IBAN registry).
+_IBAN_LENGTH = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _ACCOUNT = re.compile(r"(?i:s?\b[ ]?(?:no|nr|number|num|id)?\b)[.:#= ]{0,3}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
 
 _WORKER: list = []
@@ -138,9 +147,17 @@ def iban_at(text: str, end: int) -> tuple[int, int, bool] | None:
     m = _IBAN.match(text, end + 1)
     if not m:
         return None
-    code = m[1].replace(" ", "")
-    digits = "".join(str(int(c, 36)) for c in code[4:] + code[:4])
-    return m.start(1), m.end(1), int(digits) % 97 == 1
+    start, stop = m.span(1)
+    ends = [i + 1 for i in range(start, stop) if text[i] != " "]
+    own = _IBAN_LENGTH.get(text[start: start + 2])
+    for n in (own,) if own else range(len(ends), 14, -1):
+        if n <= len(ends) and not _ALNUM.match(text, ends[n - 1]):
+            code = text[start: ends[n - 1]].replace(" ", "")
+            digits = "".join(str(int(c, 36)) for c in code[4:] + code[:4])
+            if int(digits) % 97 == 1:
+                return start, ends[n - 1], True
+    # Nothing is dropped behind: a run without an IBAN may hold the next cue.
+    return None
 
 
 def account_at(text: str, end: int) -> tuple[int, int, bool] | None:

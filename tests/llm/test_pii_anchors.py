@@ -47,3 +47,24 @@ def test_added_kinds():
     assert added("IBAN: DE88 3704 0044 0532 0130 00.") == []
     assert added("Account no. 12345678 is") == [("account", "12345678")]
     assert added("an account of 1234 words") == [] and added("Licensed under 3.0, version 12345678") == []
+
+
+def test_iban_before_more_words():
+    def ibans(t):
+        return [t[s:e] for k, s, e in find_spans(t) if k == "iban"]
+
+    de, no = "DE89 3704 0044 0532 0130 00", "NO9386011117947"
+    for after in ("", ".", " BIC DEUTDEFF", " EUR 100", " 12 34", " DE89", " A", " and", " IBAN", "\n100", " BIC: X",
+                  " Bank", " 1" * 20, " " + "ABCDEFGH " * 5):
+        assert ibans(f"IBAN: {de}{after}") == [de], after
+        assert ibans(f"IBAN {de.replace(' ', '')}{after}") == [de.replace(" ", "")], after
+        assert ibans(f"IBAN {no}{after}") == [no], after
+    malta = "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    assert ibans(f"IBAN {malta} SWIFT MALTMTMT") == [malta]
+    assert ibans(f"IBAN: {de} IBAN {no} EUR") == [de, no]
+    assert ibans(f"IBAN: {de.replace('89', '88')} IBAN {no} EUR") == [no]
+    other = "ZZ20 0000 0000 0001"  # a country that is not listed
+    code = next(f"ZZ{k:02d}{other[4:]}" for k in range(2, 99) if (1 * 10**6 + 3535 * 100 + k) % 97 == 1)
+    assert ibans(f"IBAN {code} EUR") == [code]
+    for wrong in ("DE88 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00x", "DE89 3704 0044 0532 0130 001"):
+        assert ibans(f"IBAN: {wrong} BIC DEUTDEFF") == [], wrong
