@@ -23,6 +23,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from urllib.parse import unquote
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -284,13 +285,27 @@ def scan_checkpoint_metadata(spark: SparkSession, outputs: str, name_hints: Mapp
 RUN_LOG_SCHEMA = "name string, state string, accuracy double, macro_f1 double, tags array<string>"
 
 
-def scan_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Exported tracker runs (parquet or JSON); empty when unavailable."""
+def scan_run_log(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """Exported tracker runs (parquet or JSON); empty when there is no such path
+    or no file in it. Every other failure is raised: a log that cannot be read is
+    not an empty one. The format is ``fmt``, that of a path ending in .json, or is
+    chosen from Spark's listing of the path, which may be on any store that executors reach."""
+    fmt = fmt or ("json" if path.endswith(".json") else None)
     try:
-        if path.endswith(".json") or os.path.isdir(path) and any(f.endswith(".json") for f in os.listdir(path)):
-            return spark.read.schema(RUN_LOG_SCHEMA).json(path)
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - the tracker export may be missing
+        if fmt is None:
+            name = F.regexp_extract("path", r"([^/]*)$", 1)
+            n = spark.read.format("binaryFile").load(path).agg(
+                F.count(F.lit(1)).alias("files"), F.count_if(name.rlike(r"\.json(\.\w+)?$")).alias("json"),
+                F.count_if(name.endswith(".parquet")).alias("parquet")).first()
+            if n["json"] and n["parquet"]:
+                raise ValueError(f"run log {path} holds JSON and parquet files: read them apart")
+            if not n["files"]:
+                return spark.createDataFrame([], RUN_LOG_SCHEMA)
+            fmt = "json" if n["json"] else "parquet"
+        return spark.read.schema(RUN_LOG_SCHEMA).json(path) if fmt == "json" else spark.read.format(fmt).load(path)
+    except AnalysisException as e:  # the tracker export may be missing
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], RUN_LOG_SCHEMA)
 
 

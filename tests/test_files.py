@@ -212,3 +212,25 @@ def test_run_log_json_and_metric_rows(spark):
     per = spark.createDataFrame([("x", 0.123456, 0.5, 3)], "specialty string, accuracy double, macro_f1 double, count long")
     rows = {r.metric: r.value for r in FS.per_group_metric_rows(per, "run", "eval").collect()}
     assert rows == {"eval/x/accuracy": 0.123456, "eval/x/macro_f1": 0.5, "eval/x/count": 3.0}
+
+
+def test_run_log_folder_by_address_and_errors(spark):
+    d = tempfile.mkdtemp(prefix="quarry-runlog-")
+    runs = [{"name": f"r{i}", "state": "finished", "accuracy": 0.5, "macro_f1": 0.4, "tags": ["x"]} for i in range(3)]
+    _write(d, "a.json", "".join(json.dumps(r) + "\n" for r in runs[:2]))
+    _write(d, "b.json", json.dumps(runs[2]) + "\n")
+    for path in (d, f"file://{d}"):
+        log = FS.scan_run_log(spark, path)
+        assert sorted(r.name for r in log.collect()) == ["r0", "r1", "r2"] and log.first().state == "finished"
+    parquet = os.path.join(d, "as_parquet")
+    FS.scan_run_log(spark, d).write.parquet(parquet)
+    assert FS.scan_run_log(spark, f"file://{parquet}").count() == 3
+    for gone in (f"{d}/missing", f"file://{d}/missing", f"file://{d}/missing.json", f"file://{tempfile.mkdtemp()}"):
+        assert FS.scan_run_log(spark, gone).columns == log.columns and FS.scan_run_log(spark, gone).count() == 0
+    broken = tempfile.mkdtemp(prefix="quarry-runlog-")
+    _write(broken, "runs.parquet", "not parquet")
+    with pytest.raises(Exception, match="runs.parquet"):
+        FS.scan_run_log(spark, broken).count()
+    _write(broken, "runs.json", json.dumps(runs[0]) + "\n")
+    with pytest.raises(ValueError, match="apart"):
+        FS.scan_run_log(spark, broken)
