@@ -9,8 +9,8 @@ from quarry.operators import metrics as M
 from quarry.plans import sqlgen as S
 from quarry.sources import fixtures as X
 
-# Replicates of the hash bootstrap that DuckDB repeats: its join multiplies questions by
-# replicates and runs. ``inference.bootstrap_hash`` itself defaults to 10,000, as ``bootstrap_ci``.
+# Replicates that ``bootstrap_hash_200`` compares with DuckDB, whose join multiplies questions by
+# replicates and runs. ``bootstrap_hash`` runs the operator's default of 10,000, as ``bootstrap_ci``.
 HASH_REPLICATES = 200
 
 
@@ -28,6 +28,10 @@ def _mcnemar(spark, sf):
     return I.mcnemar(paired, with_chi2_p=False).join(c.select("contrast", "model", "stage1"), "contrast")
 
 
+def _hash_ci(ci):
+    return ci.select("run_name", "n_boot", *[F.round(c, 9).alias(c) for c in ("acc_ci_lo", "acc_ci_hi", "f1_ci_lo", "f1_ci_hi")])
+
+
 def _statistics(spark, sf):
     preds = _preds(spark, sf)
     config = I.bootstrap_ci(preds)
@@ -41,8 +45,8 @@ QUERIES = {
     "align_pair": lambda spark, sf: I.align_pair(_preds(spark, sf), "alpha-8b_s1-none_s2-full",
                                                  "alpha-8b_s1-none_s2-lora"),
     "mcnemar": _mcnemar,
-    "bootstrap_hash": lambda spark, sf: I.bootstrap_hash(_preds(spark, sf), HASH_REPLICATES).select(
-        "run_name", "n_boot", *[F.round(c, 9).alias(c) for c in ("acc_ci_lo", "acc_ci_hi", "f1_ci_lo", "f1_ci_hi")]),
+    "bootstrap_hash": lambda spark, sf: _hash_ci(I.bootstrap_hash(_preds(spark, sf))),
+    "bootstrap_hash_200": lambda spark, sf: _hash_ci(I.bootstrap_hash(_preds(spark, sf), HASH_REPLICATES)),
     "bootstrap_hash_rep0": lambda spark, sf: I.bootstrap_hash_replicates(_preds(spark, sf), 1).select(
         "run_name", "rep", F.col("n").alias("weighted_n"), F.col("n_correct").alias("weighted_correct")),
     "bootstrap_ci": lambda spark, sf: I.bootstrap_ci(_preds(spark, sf)),
@@ -125,7 +129,7 @@ select cnt.contrast, n, b as mcnemar_b, c as mcnemar_c,
 from cnt join contrasts using (contrast)""", "predictions", "models"),
     "joint_counts": X.with_fixtures(f"""with {_PAIRS}
 select contrast, gold_a as gold, pred_a, pred_b, count(*) as n from paired group by all""", "predictions", "models"),
-    "bootstrap_hash": X.with_fixtures(f"""with {_hash_cte(HASH_REPLICATES)}, {_weighted_wide('j')},
+    "bootstrap_hash_200": X.with_fixtures(f"""with {_hash_cte(HASH_REPLICATES)}, {_weighted_wide('j')},
 reps as (select run_name, rep, {S.accuracy()} as acc, {S.macro_fixed()} as f1 from cm)
 select run_name, count(*) as n_boot,
   round(quantile_cont(acc, 0.025), 9) as acc_ci_lo, round(quantile_cont(acc, 0.975), 9) as acc_ci_hi,

@@ -119,3 +119,31 @@ def test_paired_bootstrap_p_floor_and_sign(spark):
 def test_align_pair_counts(spark):
     r = I.align_pair(X.predictions(spark, SF001), "alpha-8b_s1-none_s2-full", "beta-8b_s1-none_s2-full").first()
     assert (r.rows_a, r.rows_b, r.aligned, r.gold_disagreements) == (15000, 15000, 15000, 0)
+
+
+def test_registered_hash_bootstrap_runs_all_replicates(spark, monkeypatch):
+    """The registered query over a small fixture: 10,000 replicates, bounds by brute force."""
+    import hashlib
+
+    from quarry.plans import statistics as plans
+
+    rows = [(f"r{i % 2}", i // 2, "ABCDE"[i % 5], "ABCDE"[i * i % 5 if i % 3 else i % 5]) for i in range(16)]
+    df = spark.createDataFrame(rows, "run_name string, question_id long, gold_label string, pred_label string")
+    monkeypatch.setattr(plans, "_preds", lambda spark, sf: df)
+    weights = np.array([[int(hashlib.md5(f"{q}:{rep}".encode()).hexdigest()[:8], 16) for q in range(8)] for rep in range(10_000)])
+    weights = (weights[:, :, None] >= np.array(I.POISSON_THRESHOLDS)).sum(axis=2)
+    got = {r.run_name: r for r in plans.QUERIES["bootstrap_hash"](spark, None).collect()}
+    assert sorted(got) == ["r0", "r1"]
+    for run, r in got.items():
+        cm = np.zeros((10_000, 5, 5))
+        for name, q, gold, pred in rows:
+            if name == run:
+                cm[:, "ABCDE".index(gold), "ABCDE".index(pred)] += weights[:, q]
+        cm = cm[weights.sum(axis=1) > 0]
+        hits, total = np.trace(cm, axis1=1, axis2=2), cm.sum(axis=(1, 2))
+        own = np.einsum("rkk->rk", cm)
+        sides = cm.sum(axis=1) + cm.sum(axis=2)
+        f1 = np.divide(2 * own, sides, out=np.zeros_like(own), where=sides > 0).mean(axis=1)
+        want = [*np.percentile(hits / total, [2.5, 97.5]), *np.percentile(f1, [2.5, 97.5])]
+        assert r.n_boot == len(cm) > 9_900
+        assert [r.acc_ci_lo, r.acc_ci_hi, r.f1_ci_lo, r.f1_ci_hi] == pytest.approx(want, abs=1e-8)
