@@ -81,9 +81,16 @@ def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_private(documents(spark, sf_dir, "doc_id", "text")))
 
 
+def op12_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.merkle_manifest import document_manifest, verify
+
+    docs = documents(spark, sf_dir, "doc_id", "source", "lang", "n_chars", "text")
+    return verify(document_manifest(docs)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_rule_ensemble, op2_exact_dedup, op3_histogram_shards, op4_dp_packing, op5_simhash_gph, op6_robust_outliers,
-    op7_duckdb_bpe, op8_zstd_ids, op9_pii_anchors, op10_secret_links)}
+    op7_duckdb_bpe, op8_zstd_ids, op9_pii_anchors, op10_secret_links, op12_merkle_climb)}
 
 #: Equal texts are grouped by the normalised text itself: SQL needs no hash.
 _OP2_SQL = r"""
@@ -93,4 +100,62 @@ from (select doc_id, regexp_replace(coalesce(text, ''), '[ \x09-\x0D]+', ' ', 'g
 window g as (partition by t)
 """
 
-ORACLE: dict[str, str] = {"op2_exact_dedup": _OP2_SQL}
+#: Levels by a recursion over whole levels, a climb per leaf by a second one. CRC-32 is written out bit by bit.
+_OP12_SQL = """
+with recursive
+docs as (
+  select row_number() over () as rid, doc_id, lang, source, n_chars, text,
+         list_reduce(list_prepend(4294967295::bigint, list_transform(
+             range(1, length(doc_id::text) + 1), lambda i: ascii(substr(doc_id::text, i, 1))::bigint)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+             lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) as crc
+  from documents),
+fields as (
+  select rid, doc_id, lang, xor(crc, 4294967295) % 3 = 0 as tampered, text,
+         coalesce(strlen(doc_id::text) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::text) || ':' || n_chars, '-') as head
+  from docs),
+leaves as (
+  select rid, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+         case when tampered then sha256(head || coalesce(strlen(text) || ':' || translate(text,
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) end as bad
+  from fields),
+placed as (
+  select rid, doc_id, dense_rank() over (order by encode(lang) nulls first) - 1 as tree, leaf, coalesce(bad, leaf) as bad,
+         row_number() over (partition by lang order by doc_id nulls first, leaf, rid) - 1 as pos,
+         count(*) over (partition by lang) as n
+  from leaves),
+levels as (
+  select tree, 0 as level, pos, n, leaf as h from placed
+  union all
+  select tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' order by pos)) from levels where n > 1
+  group by tree, level, pos // 8, n),
+subroots as (select tree, h as subroot from levels where n = 1),
+tops as (
+  select 0 as level, tree as pos, (select count(*) from subroots) as n, subroot as h from subroots
+  union all
+  select level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' order by pos)) from tops where n > 1
+  group by level, pos // 8, n),
+runs as (
+  select tree, level, pos // 8 as run, n, list(h order by pos) as kids from levels where n > 1 group by all
+  union all
+  select -1, level, pos // 8, n, list(h order by pos) from tops where n > 1 group by all),
+parents as (
+  select r.*, r.n <= 8 and r.tree >= 0 as last from runs r),
+climb as (
+  select p.rid, case when p.n = 1 then -1 else p.tree end as tree, 0 as level,
+         case when p.n = 1 then p.tree else p.pos end as pos, p.bad as h, '' as proof
+  from placed p
+  union all
+  select c.rid, case when p.last then -1 else c.tree end, case when p.last then 0 else c.level + 1 end,
+         case when p.last then c.tree else c.pos // 8 end,
+         sha256(array_to_string(p.kids[:c.pos % 8] || [c.h] || p.kids[c.pos % 8 + 2:], '')),
+         c.proof || array_to_string(p.kids[:c.pos % 8] || p.kids[c.pos % 8 + 2:], '')
+  from climb c join parents p on p.tree = c.tree and p.level = c.level and p.run = c.pos // 8),
+ends as (select rid, arg_max(h, length(proof)) as h, max(proof) as proof from climb group by rid)
+select p.doc_id, p.leaf, s.subroot, t.h as root, sha256(e.proof) as proof_sha256, e.h as folded_root,
+       e.h = t.h as verified
+from placed p join ends e using (rid) join subroots s using (tree), (select h from tops where n = 1) t
+"""
+
+ORACLE: dict[str, str] = {"op2_exact_dedup": _OP2_SQL, "op12_merkle_climb": _OP12_SQL}
