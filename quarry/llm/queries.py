@@ -81,6 +81,13 @@ def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_private(documents(spark, sf_dir, "doc_id", "text")))
 
 
+def op11_ptolemy_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.ptolemy_kmeans import cluster_vectors
+
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").select("vec_id", "embedding")
+    return cluster_vectors(vectors, k=8, rounds=10, seed=3, size=64)
+
+
 def op12_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.merkle_manifest import document_manifest, verify
 
@@ -88,9 +95,16 @@ def op12_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(document_manifest(docs)).withColumnRenamed("id", "doc_id")
 
 
+def op13_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.kernel_langid import identify
+
+    return identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_rule_ensemble, op2_exact_dedup, op3_histogram_shards, op4_dp_packing, op5_simhash_gph, op6_robust_outliers,
-    op7_duckdb_bpe, op8_zstd_ids, op9_pii_anchors, op10_secret_links, op12_merkle_climb)}
+    op7_duckdb_bpe, op8_zstd_ids, op9_pii_anchors, op10_secret_links, op11_ptolemy_kmeans,
+    op12_merkle_climb, op13_kernel_langid)}
 
 #: Equal texts are grouped by the normalised text itself: SQL needs no hash.
 _OP2_SQL = r"""
@@ -100,6 +114,37 @@ from (select doc_id, regexp_replace(coalesce(text, ''), '[ \x09-\x0D]+', ' ', 'g
 window g as (partition by t)
 """
 
+#: A round joins all vectors with all centroids: SQL needs no bounds. ``d * 8 + j`` orders by distance, then number.
+_OP11_SQL = """
+with recursive
+vecs as (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+  from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+km as (
+  select 0 as round, (row_number() over (order by sha256('3:' || vec_id) nulls last, v) - 1)::bigint as j, v as c
+  from vecs qualify j < 8
+  union all
+  (with near as (
+     select v.rid, any_value(v.v) as v,
+            (min(list_sum(list_transform(list_zip(v.v, km.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::hugeint * 8
+                 + km.j) % 8)::bigint as j
+     from vecs v, km where km.round < 10 group by v.rid),
+   parts as (select j, unnest(v) as x, unnest(range(1, 65)) as i from near),
+   sums as (select j, i, sum(x)::hugeint as s, count(*)::hugeint as n from parts group by j, i),
+   fresh as (select j, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as c from sums group by j)
+   select km.round + 1, km.j, coalesce(fresh.c, km.c) from km left join fresh on fresh.j = km.j where km.round < 10)),
+ends as (
+  select v.rid, any_value(v.vec_id) as vec_id,
+         min(list_sum(list_transform(list_zip(v.v, km.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::hugeint * 8
+             + km.j) as best
+  from vecs v, km where km.round = 10 group by v.rid),
+found as (select vec_id, (best % 8)::int as cluster, (best // 8)::bigint as distance from ends)
+select f.vec_id, f.cluster, f.distance, (sum(f.distance) over (partition by f.cluster))::bigint as cluster_inertia,
+       (sum(f.distance) over ())::bigint as inertia, sha256(array_to_string(km.c, ',')) as centroid_sha256
+from found f join km on km.round = 10 and km.j = f.cluster
+"""
+
 #: Levels by a recursion over whole levels, a climb per leaf by a second one. CRC-32 is written out bit by bit.
 _OP12_SQL = """
 with recursive
@@ -158,4 +203,5 @@ select p.doc_id, p.leaf, s.subroot, t.h as root, sha256(e.proof) as proof_sha256
 from placed p join ends e using (rid) join subroots s using (tree), (select h from tops where n = 1) t
 """
 
-ORACLE: dict[str, str] = {"op2_exact_dedup": _OP2_SQL, "op12_merkle_climb": _OP12_SQL}
+ORACLE: dict[str, str] = {"op2_exact_dedup": _OP2_SQL, "op11_ptolemy_kmeans": _OP11_SQL,
+                          "op12_merkle_climb": _OP12_SQL}
