@@ -9,8 +9,11 @@ hex text of its children.
 
 ``build`` stores every level as parent-linked node rows: the hashes of a node's
 children, its parent and its place there. ``climb`` runs Spark's recursive
-query: every leaf ascends one link per round, appends its siblings to its proof
-and folds its own (perhaps tampered) hash with them.
+query: leaves ascend one link per round, append the siblings to their proof and
+fold their own (perhaps tampered) hash with them. The leaves of a run have the
+same siblings above it, so a run travels as one row: one proof, and a folded
+hash for each of its leaves. Spark keeps the rows of every round of a recursion
+until its end; sharing the proof makes them several times smaller.
 
 Near the root a few nodes are met by all leaves. A node with at least one in
 ``HEAVY`` of all leaves below it is heavy. Heavy nodes are closed upwards and
@@ -50,13 +53,13 @@ _LINK = "tree int, level int, pos long, slot int"
 
 @dataclass
 class Manifest:
-    """``leaves``: id, tree, leaf, bad, up (link to the parent node, null at the
-    root), light (the parent is no heavy node). ``nodes``: tree, level, pos,
-    kids (the children's hashes, joined), hash, leaves, up, heavy, light.
-    ``trees``: tree, key, n, subroot. ``root`` is hex text, None for an empty
-    table."""
+    """``runs``: tree, level, ids, kids (the leaf hashes, joined), bads (what proofs fold), up
+    (link to the parent node, null at the root), light (that node is not heavy).
+    ``nodes``: tree, level, pos, kids (the children's hashes, joined), hash,
+    leaves, up, heavy, light. ``trees``: tree, key, n, subroot. ``root`` is hex
+    text, None for an empty table."""
 
-    leaves: DataFrame
+    runs: DataFrame
     nodes: DataFrame
     trees: DataFrame
     root: str | None
@@ -105,13 +108,27 @@ def _with_link(nodes: DataFrame, trees: int) -> DataFrame:
     return nodes.withColumn("up", F.coalesce(own, over))
 
 
+def _joined(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.unhex(F.lit("")), lambda a, h: F.concat(a, h))
+
+
+def _runs(leaves: DataFrame) -> DataFrame:
+    """The lowest level: tree, n (its nodes in the tree), level, pos, ids, kids,
+    bads, hash, leaves. A tree of one leaf has that leaf as its node, on level 0."""
+    g = leaves.groupBy("tree", "n", F.floor(F.col("pos") / FAN).cast("long").alias("run")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "leaf", "bad", "id"))).alias("g"))
+    runs = g.select("tree", F.ceil(F.col("n") / FAN).cast("long").alias("n"), F.when(F.col("n") > 1, 1).otherwise(0).alias("level"),
+                    F.col("run").alias("pos"), F.col("g.id").alias("ids"), _joined(F.col("g.leaf")).alias("kids"),
+                    F.col("g.bad").alias("bads"), F.size("g").cast("long").alias("leaves"))
+    return runs.withColumn("hash", F.when(F.col("level") == 1, inner_hash(F.col("kids"))).otherwise(F.col("kids")))
+
+
 def _climbed(level: DataFrame) -> DataFrame:
     """The nodes over a level: tree, n (nodes of that level in the tree), level, pos, kids, hash, leaves."""
     runs = level.where("n > 1").groupBy("tree", "n", "level", F.floor(F.col("pos") / FAN).cast("long").alias("run")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("g"), F.sum("leaves").alias("leaves"))
-    kids = F.aggregate(F.col("g"), F.unhex(F.lit("")), lambda a, x: F.concat(a, x["hash"]))
     joined = runs.select("tree", F.ceil(F.col("n") / FAN).cast("long").alias("n"), (F.col("level") + 1).alias("level"),
-                         F.col("run").alias("pos"), kids.alias("kids"), "leaves")
+                         F.col("run").alias("pos"), _joined(F.col("g.hash")).alias("kids"), "leaves")
     return joined.withColumn("hash", inner_hash(F.col("kids")))
 
 
@@ -140,13 +157,14 @@ def build(docs: DataFrame, fields: list[str], id_col: str, group_col: str, bad:
     trees = materialise(numbered(groups, ["key"], "tree").withColumn("tree", F.col("tree").cast("int")))
     rows, count, most = trees.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.max("n")).first()
     leaves = attach(placed, trees, "key", "n", rows).select(
-        "id", "tree", "n", F.lit(0).alias("level"), (F.col("g") - F.col("start")).alias("pos"), "leaf", "bad")
-    low = leaves.select("tree", "n", "level", "pos", F.col("leaf").alias("hash"), F.lit(1).cast("long").alias("leaves"))
-    levels = _tree(low, most or 0)
-    subroots = low.where("n = 1").drop("n")
-    for x in levels:
-        subroots = subroots.unionByName(x.where("n = 1").select(*subroots.columns))
-    subroots = materialise(subroots.select("tree", "hash", "leaves"))
+        "id", "tree", "n", (F.col("g") - F.col("start")).alias("pos"), "leaf", "bad")
+    runs = materialise(_runs(leaves))
+    levels = _tree(runs.select("tree", "n", "level", "pos", "hash", "leaves"), -(-(most or 0) // FAN))
+    subroots = None
+    for x in [runs, *levels]:
+        x = x.where("n = 1").select("tree", "hash", "leaves")
+        subroots = x if subroots is None else subroots.unionByName(x)
+    subroots = materialise(subroots)
     top = subroots.select(F.lit(TOP).alias("tree"), F.lit(count).cast("long").alias("n"), F.lit(0).alias("level"),
                           F.col("tree").cast("long").alias("pos"), "hash", "leaves")
     over = _tree(top, count)
@@ -171,20 +189,20 @@ def build(docs: DataFrame, fields: list[str], id_col: str, group_col: str, bad:
             "light", F.col("up").isNotNull() & F.col("top").isNull()).drop("top")
 
     named = trees.join(subroots.select("tree", F.lower(F.hex("hash")).alias("subroot")), "tree")
-    return Manifest(flagged(_with_link(leaves, count).select("id", "tree", "leaf", "bad", "up")), flagged(nodes),
-                    materialise(named.select("tree", "key", "n", "subroot")), root and root[0], rows)
+    climbers = flagged(_with_link(runs, count).select("tree", "level", "ids", "kids", "bads", "up"))
+    return Manifest(climbers, flagged(nodes), materialise(named.select("tree", "key", "n", "subroot")), root and root[0], rows)
 
 
 #: One round: the link names a node and the place among its children. Every
 #: hash is 32 bytes, so children before and after that place are cut by position.
 #: ``limit all`` lifts Spark's default limit on the rows of a recursion.
 _CLIMB = """
-with recursive climb(id, tree, leaf, hash, proof, up, light) as (
-  select id, tree, leaf, hash, proof, up, light from {start}
+with recursive climb(tree, ids, kids, hashes, proof, up, light) as (
+  select tree, ids, kids, hashes, proof, up, light from {start}
   union all
-  select %s c.id, c.tree, c.leaf,
-         unhex(sha2(lower(concat(hex(substring(p.kids, 1, 32 * c.up.slot)), hex(c.hash),
-                                 hex(substring(p.kids, 32 * c.up.slot + 33)))), 256)),
+  select %s c.tree, c.ids, c.kids,
+         transform(c.hashes, h -> unhex(sha2(lower(concat(
+           hex(substring(p.kids, 1, 32 * c.up.slot)), hex(h), hex(substring(p.kids, 32 * c.up.slot + 33)))), 256))),
          concat(c.proof, substring(p.kids, 1, 32 * c.up.slot), substring(p.kids, 32 * c.up.slot + 33)),
          p.up, p.light
   from climb c join {nodes} p on p.tree = c.up.tree and p.level = c.up.level and p.pos = c.up.pos
@@ -193,17 +211,32 @@ select * from climb where %s limit all
 """
 
 
+def _others(kids: Column, i: Column) -> Column:
+    """``kids`` without its i-th hash."""
+    return F.concat(F.substring(kids, F.lit(1), 32 * i), F.substring(kids, 32 * i + 33, F.length(kids)))
+
+
 def climb(m: Manifest) -> DataFrame:
     """id, tree, leaf, hash (the folded root) and proof (siblings, joined): one row per leaf."""
-    spark = m.leaves.sparkSession
-    start = m.leaves.select("id", "tree", "leaf", F.col("bad").alias("hash"), F.unhex(F.lit("")).alias("proof"), "up",
-                            "light")
+    spark = m.runs.sparkSession
+
+    def own(h: Column, i: Column) -> Column:
+        # The lowest fold, inside the run; a lone leaf is its node itself.
+        kids = F.col("kids")
+        return inner_hash(F.concat(F.substring(kids, F.lit(1), 32 * i), h, F.substring(kids, 32 * i + 33, F.length(kids))))
+
+    first = F.when(F.col("level") == 0, F.col("bads")).otherwise(F.transform("bads", own))
+    start = m.runs.select("tree", "ids", "kids", first.alias("hashes"), F.unhex(F.lit("")).alias("proof"), "up", "light")
     light, heavy = (m.nodes.where(c).select("tree", "level", "pos", "kids", "up", "light")
                     for c in ("not heavy", "heavy"))
     if not light.isEmpty():
         # Up to the last light node; rows that start below a heavy one are done at once.
         start = materialise(spark.sql(_CLIMB % ("", "not light"), start=start, nodes=light))
-    return spark.sql(_CLIMB % ("/*+ broadcast(p) */", "up is null"), start=start, nodes=heavy).drop("up", "light")
+    ends = spark.sql(_CLIMB % ("/*+ broadcast(p) */", "up is null"), start=start, nodes=heavy)
+    leaf = ends.select("tree", "kids", "hashes", "proof", F.posexplode("ids").alias("i", "id"))
+    return leaf.select("id", "tree", F.substring(F.col("kids"), 32 * F.col("i") + 1, F.lit(32)).alias("leaf"),
+                       F.col("hashes")[F.col("i")].alias("hash"),
+                       F.concat(_others(F.col("kids"), F.col("i")), "proof").alias("proof"))
 
 
 def verify(m: Manifest) -> DataFrame:

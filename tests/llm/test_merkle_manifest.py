@@ -70,13 +70,12 @@ def test_whole_table(docs):
 
 
 def test_light_and_heavy_climbs_agree(docs):
-    """With three heavy leaves' worth as bound, most links are climbed by shuffle."""
+    """With room for one heavy node per height, most links are climbed by shuffle."""
     bad = leaf_hash([F.lower(c) if c == "text" else F.col(c) for c in FIELDS])
-    parts = [build(docs, list(FIELDS), "doc_id", "lang", bad, heavy=n) for n in (1, 3, 40, 10_000)]
+    parts = [build(docs, list(FIELDS), "doc_id", "lang", bad, heavy=n) for n in (1, 10_000)]
     assert not parts[0].nodes.where("light").isEmpty()
-    results = [found(m) for m in parts]
-    assert all(r == results[0] for r in results)
-    for m, n in zip(parts, (1, 3, 40, 10_000), strict=True):
+    assert found(parts[0]) == found(parts[1])
+    for m, n in zip(parts, (1, 10_000), strict=True):
         # The bound of the broadcast: at every height at most n heavy nodes.
         most = m.nodes.where("heavy").groupBy("level").count().agg(F.max("count")).first()[0] or 0
         assert most <= 2 * n
