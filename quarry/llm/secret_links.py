@@ -2,16 +2,17 @@
 
 Column expressions only. Per kind, ``regexp_extract_all`` gives the matches and
 ``split`` the gaps between them; running lengths of gaps and matches give code
-point offsets. Strong kinds (assign, access, hex) are always reported.
+point offsets. Running values are built block by block (``_running``) and texts
+are cut in blocks before pieces are taken (``masked``), so no step copies what
+is already built: the time grows with the length of a text. Strong kinds
+(assign, access, hex) are always reported.
 
 Multipart linking: an access identifier, a secret and an endpoint prove little
 alone. Weak candidates of these three parts are intervals inside scopes (the
 paragraphs between blank lines). Each candidate joins the intervals of the
 other parts in its scope: the join is a merge along the positions of a scope,
 which finds the nearest complementary interval on either side and so emits two
-rows per candidate at most, never the pairs. The scope alone bounds a link in the
-registered query and in ``redact``; ``reach`` also bounds the code points
-between the parts, None does not. A weak candidate is reported only when
+rows per candidate at most, never the pairs. The scope alone bounds a link; an optional ``reach`` also bounds the code points between the parts. A weak candidate is reported only when
 
 * an identifier has a secret (weak, or a strong span) linked,
 * a secret has an identifier (weak or access) or an endpoint linked,
@@ -50,58 +51,99 @@ ENDPOINT = r"(?:https?|jdbc:[a-z0-9]+|redis|amqps?|postgres(?:ql)?|mysql|mongodb
 
 BASE_KINDS = ("assign", "access", "hex")
 WEAK_KINDS = ("identifier", "secret", "endpoint")
-#: Code points between a weak candidate and its complementary part where a
-#: caller of ``find_secrets`` names none. The query and ``redact`` pass None.
-REACH = 400
 _BLANK = r"\n[\x20\x09\x0B-\x0D]*\n\s*"
 
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
-def _offsets(text: Column, pattern: str, probe: str | None = None) -> Column:
-    """array<struct<start,end,m>> of the leftmost non-overlapping matches.
-    ``probe``: a cheap pattern without which the text cannot match."""
-    whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"),
-                    F.expr("cast(array() as array<struct<start:bigint,end:bigint,m:string>>)").alias("out"))
-    steps = F.arrays_zip(whole.alias("m"), F.slice(gaps, F.lit(1), F.size(whole)).alias("g"))
+#: Elements of a block of a running value, code points of a block of text.
+BLOCK = 256
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+# Literals (of the lower-cased text, or of the text itself) without which a pattern cannot match.
+_CUES = {"assign": ("password", "passwd", "secret", "token", "api"), "access": ("AKIA",), "endpoint": ("://",),
+         "identifier": ("client", "access", "account", "user", "login")}
+_LONG_RUN = r"[A-Za-z0-9+/_=-]{24}"
 
-    found = F.aggregate(steps, zero, step, lambda acc: acc["out"])
-    test = F.regexp_like(text, F.lit(probe or pattern))
-    return F.when(test, found).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,m:string>>)"))
 
+# Expressions are written as SQL text: one call to the JVM each, whatever their size.
 
-def _spans(text: Column, kind: str, pattern: str, keep=None) -> Column:
-    found = _offsets(text, pattern)
-    if keep is not None:
-        found = F.filter(found, lambda x: keep(x["m"]))
-    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"),
-                                                 x["end"].alias("end"))).cast(_SPAN)
+def _quoted(literal: str) -> str:
+    return "'" + literal.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def base_spans(text: Column) -> Column:
-    """Strong spans: array<struct<kind,start,end>>, kind by kind."""
-    value = F.length
-    assign = _spans(text, "assign", ASSIGN,
-                    lambda m: value(F.regexp_extract(m, ASSIGN, 1)) >= ASSIGN_VALUE)
-    return F.concat(assign, _spans(text, "access", ACCESS), _spans(text, "hex", HEX))
+def _let(name: str, value: str, use: str) -> str:
+    """``use``, where ``name`` stands for ``value``, evaluated once."""
+    return f"transform(array({value}), {name} -> {use})[0]"
 
 
-def weak_spans(text: Column) -> Column:
-    return F.concat(_spans(text, "identifier", IDENTIFIER), _spans(text, "secret", SECRET),
-                    _spans(text, "endpoint", ENDPOINT))
+def _running(values: str, combine: str) -> str:
+    """For each element of array<bigint> the combination of those before it,
+    from 0; ``combine`` joins ``acc.at`` and ``v``. Blocks are combined first, so
+    an element is copied a bounded number of times, not once per later element."""
+    def scan(items: str, first: str) -> str:
+        return (f"aggregate({items}, struct({first} as at, cast(array() as array<bigint>) as out), "
+                f"(acc, v) -> struct({combine} as at, concat(acc.out, array(acc.at)) as out), acc -> acc.out)")
 
+    total = f"aggregate(b, 0L, (at, v) -> {combine.replace('acc.at', 'at')})"
+    starts = scan(f"transform(bs, b -> {total})", "0L")
+    each = f"flatten(zip_with(bs, {starts}, (b, s) -> {scan('b', 's')}))"
+    blocks = f"transform(sequence(0, cast((size(vs) - 1) div {BLOCK} as int)), i -> slice(vs, i * {BLOCK} + 1, {BLOCK}))"
+    whole = f"if(size(vs) = 0, cast(array() as array<bigint>), {_let('bs', blocks, each)})"
+    return _let("vs", values, whole)
 
-def scope_starts(text: Column) -> Column:
-    """Start positions of the paragraphs after the first."""
-    return F.transform(_offsets(text, _BLANK), lambda x: x["end"])
+
+def _offsets(text: str, pattern: str, keep: str = "true") -> str:
+    """array<struct<start,end>> of the leftmost non-overlapping matches ``m`` that ``keep`` accepts."""
+    steps = (f"zip_with(ms, slice(split({text}, {_quoted(pattern)}, -1), 1, size(ms)), (m, gap) -> struct("
+             f"cast(length(gap) as bigint) as g, cast(length(m) as bigint) as l, {keep} as ok))")
+    before = _running("transform(st, x -> x.g + x.l)", "acc.at + v")
+    moved = f"zip_with(st, {before}, (x, at) -> struct(x.ok as ok, at + x.g as start, at + x.g + x.l as end))"
+    placed = f"transform(filter({moved}, y -> y.ok), y -> struct(y.start as start, y.end as end))"
+    nothing = "cast(array() as array<struct<start:bigint,end:bigint>>)"
+    return _let("ms", f"regexp_extract_all({text}, {_quoted(f'({pattern})')}, 1)",
+                f"if(size(ms) = 0, {nothing}, {_let('st', steps, placed)})")
+
+
+def _spans(text: str, kind: str, pattern: str, keep: str = "true") -> str:
+    test = f"{text} rlike {_quoted(_LONG_RUN)}" if kind == "secret" else "true"
+    if kind in _CUES:
+        where = f"lower({text})" if kind in ("assign", "identifier") else text
+        test = " or ".join(f"contains({where}, {_quoted(cue)})" for cue in _CUES[kind])
+    found = f"transform({_offsets(text, pattern, keep)}, s -> struct({_quoted(kind)} as kind, s.start as start, s.end as end))"
+    return f"if({test}, cast({found} as {_SPAN}), cast(array() as {_SPAN}))"
+
+
+def _base(text: str) -> str:
+    value = f"length(regexp_extract(m, {_quoted(ASSIGN)}, 1)) >= {ASSIGN_VALUE}"
+    return f"concat({_spans(text, 'assign', ASSIGN, value)}, {_spans(text, 'access', ACCESS)}, {_spans(text, 'hex', HEX)})"
+
+
+def _weak(text: str) -> str:
+    return (f"concat({_spans(text, 'identifier', IDENTIFIER)}, {_spans(text, 'secret', SECRET)}, "
+            f"{_spans(text, 'endpoint', ENDPOINT)})")
+
+
+def scan_text(name: str) -> Column:
+    """struct<base,weak,meets,scopes> of the text column ``name`` (null: empty).
+    ``base``: strong spans, kind by kind. ``scopes``: starts of the paragraphs
+    after the first, only where a weak candidate meets another part."""
+    scopes = f"transform({_offsets('t', _BLANK)}, s -> s.end)"
+    meets = "size(w) > 0 and size(w) + size(b) > 1"
+    both = (f"struct(b as base, w as weak, {meets} as meets, "
+            f"if({meets}, {scopes}, cast(array() as array<bigint>)) as scopes)")
+    return F.expr(_let("t", f"coalesce(`{name}`, '')", _let("b", _base("t"), _let("w", _weak("t"), both))))
+
+
+def _scoped(parts: DataFrame) -> DataFrame:
+    """rid, scope, kind, start, end from rid, parts, scopes: the number of
+    paragraphs begun, by a merge along the positions of a text."""
+    entry = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+    begun = F.transform("scopes", lambda s: F.struct(s, F.lit(0), F.lit(None).cast("string"), s)).cast(entry)
+    own = F.transform("parts", lambda p: F.struct(p["start"], F.lit(1), p["kind"], p["end"])).cast(entry)
+    along = Window.partitionBy("rid").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = parts.select("rid", F.inline(F.concat(begun, own)))
+    return rows.withColumn("scope", F.count_if(F.col("rank") == 0).over(along)).where("rank = 1").select(
+        "rid", "scope", "kind", "start", "end")
 
 
 def link_parts(parts: DataFrame, reach: int | None = None) -> DataFrame:
@@ -140,42 +182,43 @@ def link_parts(parts: DataFrame, reach: int | None = None) -> DataFrame:
     return n.where(linked).select("rid", "kind", "start", "end")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = REACH,
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None,
                  keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: ``id_col``, the ``keep`` columns, ``base`` and ``spans``
     (base and linked weak spans), both array<struct<kind,start,end>>."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
-    scanned = materialise(docs.select(
-        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"), *kept, base_spans(text).alias("base"),
-        weak_spans(text).alias("weak"), scope_starts(text).alias("scopes")))
+    names = ["id", *[f"k{i}" for i in range(len(keep))], "base"]
+    scanned = materialise(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"), *kept,
+                                      scan_text(text_col).alias("found")).select("rid", *names[:-1], "found.*"))
     # Only rows where a weak candidate meets another part take part in the join.
-    meets = (F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)
-    parts = scanned.where(meets).select("rid", "scopes", F.explode(F.concat("base", "weak")).alias("p")).select(
-        "rid", F.size(F.filter("scopes", lambda s: s <= F.col("p.start"))).alias("scope"), "p.kind", "p.start", "p.end")
+    meets = F.col("meets")
+    parts = _scoped(scanned.where(meets).select("rid", "scopes", F.concat("base", "weak").alias("parts")))
     linked = link_parts(parts, reach).groupBy("rid").agg(
         F.collect_set(F.struct("kind", "start", "end")).alias("linked"))
     extra = F.coalesce(F.col("linked"), F.expr(f"cast(array() as {_SPAN})"))
-    names = ["id", *[f"k{i}" for i in range(len(keep))], "base"]
     alone = scanned.where(~meets).select(*names, F.col("base").alias("spans"))
     joined = scanned.where(meets).join(linked, "rid", "left").select(*names, F.concat("base", extra).alias("spans"))
     return alone.unionByName(joined).toDF(id_col, *keep, "base", "spans")
 
 
-def masked(text: Column, spans: Column, mark: str) -> Column:
-    """``text`` with each span, overlapping ones as one, replaced by ``mark``."""
-    sorted_spans = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
-        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        inside = (s["start"] < acc["at"])
-        return F.when(inside, longer).otherwise(new)
+def masked(text: str, spans: str, mark: str) -> Column:
+    """Column ``text`` with each span of column ``spans``, overlapping ones as
+    one, replaced by ``mark``. The text is cut into blocks of code points in one
+    pass; what lies between two spans is taken from the blocks that hold it."""
+    def piece(start: str, end: str) -> str:
+        first, last = f"cast({start} div {BLOCK} as int)", f"cast(({end} - 1) div {BLOCK} as int)"
+        held = f"array_join(slice(bl, {first} + 1, {last} - {first} + 1), '')"
+        return (f"if({end} > {start}, substring({held}, cast({start} - {first} * {BLOCK} + 1 as int), "
+                f"cast({end} - {start} as int)), '')")
 
-    return F.aggregate(sorted_spans, zero, step, lambda acc: F.concat(
-        acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    in_order = f"array_sort(transform(`{spans}`, s -> struct(s.start as start, s.end as end)))"
+    # at: where the spans before have ended
+    merged = f"zip_with(o, {_running('transform(o, s -> s.end)', 'greatest(acc.at, v)')}, (s, at) -> struct(s as s, at as at))"
+    begun = f"transform(filter(z, q -> q.s.start >= q.at), q -> concat({piece('q.at', 'q.s.start')}, {_quoted(mark)}))"
+    rest = _let("e", "array_max(transform(z, q -> q.s.end))", _let("n", f"cast(length(`{text}`) as bigint)", piece("e", "n")))
+    blocks = f"regexp_extract_all(`{text}`, '(?s)(.{{1,{BLOCK}}})', 1)"
+    whole = _let("bl", blocks, _let("o", in_order, _let("z", merged, f"concat(array_join({begun}, ''), {rest})")))
+    return F.expr(f"if(size(`{spans}`) = 0, `{text}`, {whole})")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -186,7 +229,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     own = docs.toDF(*names).withColumn("_q_id", F.col(key))
     found = find_secrets(own, "_q_id", text, reach=None, keep=tuple(names))
     hit = F.size("spans") > 0
-    out = found.withColumn("_q_new", F.when(hit, masked(F.col(text), F.col("spans"), mark)).otherwise(F.col(text)))
+    out = found.withColumn("_q_new", masked(text, "spans", mark))
 
     def column(name: str, inner: str) -> Column:
         if name == text_col:
