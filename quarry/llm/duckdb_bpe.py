@@ -11,11 +11,13 @@ Every distinct word is encoded once per worker: words of a batch that the worker
 has not seen go through one query. Words longer than ``LONG`` bytes contract all
 disjoint occurrences of their minimum-rank pair in one round where this provably
 equals contracting them one by one: when no merge that uses the new token has a
-lower rank (``safe``). A recursion is cut at ``DEPTH`` rounds and taken up again
-from its last state, so its memory is bounded.
+lower rank (``safe``). A recursion is cut at ``DEPTH`` rounds, fewer for many
+rows, and taken up again from its last state, so its memory is bounded. A long
+text is encoded in slices, cut between a character that is no white space and
+one that is (no token of these word patterns crosses such a place).
 
 Decoding joins the (document, position, id) rows with the vocabulary and
-concatenates the pieces by ordered aggregation.
+concatenates the pieces by ordered aggregation, a bounded number of ids at once.
 
 Defined cases: a null text counts as empty: no ids, no bytes; repeated rows give
 repeated results; an empty table gives an empty result.
@@ -24,6 +26,8 @@ repeated results; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +38,15 @@ from pyspark.sql import functions as F
 from quarry.llm.chunk_tokens import ChunkTable
 from quarry.llm.dp_packing import steps
 
+#: Positions of a word up to LONG bytes fit 6 bits, ids up to LARGEST_ID 17 bits of a row of _LEFTMOST.
 LONG = 64
+LARGEST_ID = (1 << 17) - 1
+#: Rounds of one recursion, fewer where a query has many rows: all rounds' rows stay until its end.
 DEPTH = 64
+HELD_ROWS = 3_000_000
+#: Code points of a text and ids that are encoded and decoded at once; longer ones go in slices.
+SLICE_CHARS = 4_000_000
+SLICE_IDS = 400_000
 #: Bytes of new words that one recursive query holds.
 QUERY_BYTES = 400_000
 #: Words a worker remembers, beside the chunks of its table.
@@ -43,23 +54,27 @@ TABLE_WORDS = 400_000
 TABLE_CHUNKS = 500_000
 STEP_CHARS = 2_000_000
 
+_CUT = re.compile(r"(?<=\S)(?=\s)")
+
 _WORKER: dict[tuple[str, str], BpeCodec] = {}
 
+#: A row is one number: word << 23 | position << 17 | token. Sorting it sorts
+#: words and positions. A pair's key is rank << 12 | its position << 6 | that of its right token.
 _LEFTMOST = """
 with recursive state as (
-  select word, pos, tok, false as done, 0 as round from words
+  select (word::bigint << 23) | (pos::bigint << 17) | tok as v, false as done, 0 as round from words
   union all
   (with near as (
-     select word, pos, tok, round, lead(tok) over o as nxt, lag(pos) over o as prev
-     from state where not done and round < {depth} window o as (partition by word order by pos)),
+     select v, round, lead(v) over (order by v) as n from state where not done and round < {depth}),
    joined as (
-     select near.*, m.rank from near left join merges m on m.pair = ((near.tok::bigint << 32) | near.nxt)),
-   best as (
-     select word, min(rank) as rank, arg_min(pos, (rank::bigint << 32) | pos) as spot from joined group by word)
-   select j.word, j.pos, case when j.pos = b.spot then b.rank else j.tok end, b.rank is null, j.round + 1
-   from joined j join best b using (word) where b.spot is null or j.prev is distinct from b.spot)
+     select v, round, v >> 23 as word, (m.rank::bigint << 12) | (((v >> 17) & 63) << 6) | ((n >> 17) & 63) as pair_key
+     from near left join merges m on m.pair = (((v & 131071) << 32) | (n & 131071)) and (v >> 23) = (n >> 23)),
+   best as (select word, min(pair_key) as low from joined group by word)
+   select case when j.pair_key = b.low then ((v >> 17) << 17) | (b.low >> 12) else v end, b.low is null, j.round + 1
+   from joined j join best b using (word) where b.low is null or ((v >> 17) & 63) <> (b.low & 63))
 )
-select word, pos, tok, done from state where done or round = {depth}
+select (v >> 23)::int as word, ((v >> 17) & 63)::int as pos, (v & 131071)::int as tok, done
+from state where done or round = {depth}
 """
 
 _DISJOINT = """
@@ -129,8 +144,12 @@ class BpeCodec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
         self.db.execute("set temp_directory = ''")
         self._load("merges", merge_table(self.ranks))
+        if max(self.ranks.values()) > LARGEST_ID:
+            raise ValueError(f"ids above {LARGEST_ID} do not fit a row")
+        # A piece as text with one character per byte.
         self._load("vocab", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()),
-                                      "hex": pa.array([k.hex() for k in self.ranks])}))
+                                      "piece": pa.array([k.decode("latin-1") for k in self.ranks])}))
+        self.decimal = {r: str(r).encode() for r in self.ranks.values()}
         self.table = ChunkTable(self._encode_chunks, TABLE_CHUNKS)
         self.words: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
 
@@ -153,7 +172,7 @@ class BpeCodec:
         tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         final: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(word):
-            got = self._query(sql.format(depth=DEPTH), pa.table({"word": word, "pos": pos, "tok": tok}))
+            got = self._query(sql.format(depth=max(1, min(DEPTH, HELD_ROWS // len(word)))), pa.table({"word": word, "pos": pos, "tok": tok}))
             w, p, t = (got.column(c).to_numpy() for c in ("word", "pos", "tok"))
             done = got.column("done").to_numpy()
             final.append((w[done], p[done], t[done]))
@@ -189,18 +208,59 @@ class BpeCodec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text."""
-        return self.table.encode_many(texts)
+        if max(map(len, texts), default=0) <= SLICE_CHARS:
+            return self.table.encode_many(texts)
+        out = []
+        for text in texts:
+            parts, at = [], 0
+            while at < len(text):
+                cut = _CUT.search(text, at + SLICE_CHARS) if len(text) - at > SLICE_CHARS else None
+                end = cut.start() if cut else len(text)
+                parts += self.table.encode_many([text[at:end]])
+                at = end
+            out.append(np.concatenate(parts) if parts else np.empty(0, np.uint32))
+        return out
 
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each id list."""
+    def _decode_rows(self, ids: list[np.ndarray]) -> list[bytes]:
         size = np.array([len(x) for x in ids], np.int64)
         table = pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), size),
                           "pos": (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32),
                           "id": np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)})
-        got = self._query("select doc, string_agg(hex, '' order by pos) as hex from words join vocab using (id) "
+        got = self._query("select doc, string_agg(piece, '' order by pos) as text from words join vocab using (id) "
                           "group by doc", table)
-        found = dict(zip(got.column("doc").to_pylist(), got.column("hex").to_pylist(), strict=True))
-        return [bytes.fromhex(found.get(i, "")) for i in range(len(ids))]
+        found = dict(zip(got.column("doc").to_pylist(), got.column("text").to_pylist(), strict=True))
+        return [found.get(i, "").encode("latin-1") for i in range(len(ids))]
+
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each id list; at most SLICE_IDS ids in one query."""
+        pieces: list[list[bytes]] = [[] for _ in ids]
+        held: list[tuple[int, np.ndarray]] = []
+        room = SLICE_IDS
+
+        def flush() -> None:
+            for (i, _), found in zip(held, self._decode_rows([x for _, x in held]), strict=True):
+                pieces[i].append(found)
+            held.clear()
+
+        for i, own in enumerate(ids):
+            lo = 0
+            while lo < len(own):
+                part = own[lo: lo + room]
+                held.append((i, part))
+                lo, room = lo + len(part), room - len(part)
+                if not room:
+                    flush()
+                    room = SLICE_IDS
+        if held:
+            flush()
+        return [b"".join(p) for p in pieces]
+
+    def ids_sha256(self, ids: np.ndarray) -> str:
+        """Of the decimal ids, joined by commas."""
+        total = hashlib.sha256()
+        for lo in range(0, len(ids), SLICE_IDS):
+            total.update((b"," if lo else b"") + b",".join(map(self.decimal.__getitem__, ids[lo: lo + SLICE_IDS].tolist())))
+        return total.hexdigest()
 
 
 def worker_codec(path: str, pattern: str) -> BpeCodec:
@@ -210,26 +270,38 @@ def worker_codec(path: str, pattern: str) -> BpeCodec:
     return _WORKER[key]
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array<int>) and decoded (binary) of every whole text.
-    ``path`` is a rank file that every executor can read."""
+def _coded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: str, columns) -> DataFrame:
+    """doc_id and ``columns(codec, ids, decoded)`` of every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(path, pattern)
         for b in batches:
             for lo, hi, texts in steps(b.column(1), STEP_CHARS):
                 ids = codec.encode(texts)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), lists, pa.array(codec.decode(ids), pa.binary())],
-                    names=["doc_id", "ids", "decoded"])
+                made = columns(codec, ids, codec.decode(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *made.values()], names=["doc_id", *made])
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return cols.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return cols.mapInArrow(run, f"doc_id long, {schema}")
+
+
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (array<int>) and decoded (binary) of every whole text.
+    ``path`` is a rank file that every executor can read."""
+    def columns(codec: BpeCodec, ids: list[np.ndarray], decoded: list[bytes]) -> dict[str, pa.Array]:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+        return {"ids": lists, "decoded": pa.array(decoded, pa.binary())}
+
+    return _coded(docs, path, pattern, id_col, text_col, "ids array<int>, decoded binary", columns)
 
 
-def digest(coded: DataFrame) -> DataFrame:
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
-                        .alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def encode_decode_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: what ``encode_decode``
+    gives, digested where it is made, so ids and bytes stay in their task."""
+    def columns(codec: BpeCodec, ids: list[np.ndarray], decoded: list[bytes]) -> dict[str, pa.Array]:
+        return {"n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                "ids_sha256": pa.array([codec.ids_sha256(x) for x in ids]),
+                "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for d in decoded])}
 
+    return _coded(docs, path, pattern, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)

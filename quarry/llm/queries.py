@@ -57,10 +57,10 @@ def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from quarry.llm.duckdb_bpe import digest, encode_decode
+    from quarry.llm.duckdb_bpe import encode_decode_digest
 
     docs = documents(spark, sf_dir, "doc_id", "text")
-    return digest(encode_decode(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+    return encode_decode_digest(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_zstd_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

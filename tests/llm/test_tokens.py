@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -162,3 +163,27 @@ def test_a_changed_dictionary_is_noticed(spark, docs, tmp_path):
         .write.mode("overwrite").parquet(f"{path}/dictionary")
     with pytest.raises(ValueError):
         zstd_ids.read_ids(spark, path)
+
+
+def test_very_long_texts_encode_and_decode_in_bounded_memory():
+    """A text of 17 MB: several slices for encoding, many for decoding."""
+    rng = np.random.default_rng(7)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 9, 3000)]
+    long = " ".join(words[i] for i in rng.integers(0, 3000, 3_100_000))
+    assert len(long) > 16_000_000
+    texts = [long, "short é\n\n  end", ""]
+    enc = tiktoken_encoding()
+    codec = duckdb_bpe.BpeCodec(RANKS, public_tokenizers.PATTERN)
+    got = codec.encode(texts)
+    for t, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == enc.encode_ordinary(t)
+    assert codec.decode(got) == [t.encode() for t in texts]
+    assert codec.ids_sha256(got[0]) == hashlib.sha256(",".join(map(str, got[0].tolist())).encode()).hexdigest()
+
+
+def test_digest_in_task_equals_digest_of_results(docs):
+    full = duckdb_bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN).collect()
+    want = sorted(((r["doc_id"], len(r["ids"]), hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest(),
+                    hashlib.sha256(bytes(r["decoded"])).hexdigest()) for r in full), key=repr)
+    got = duckdb_bpe.encode_decode_digest(docs, RANKS, public_tokenizers.PATTERN)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want
