@@ -34,6 +34,8 @@ from quarry.llm.text_stats import text_stats
 
 TREES = 20
 DEPTH = 3
+#: Labels that ``drop_rejected`` learns from, about, at most.
+FIT_ROWS = 200_000
 LASSO = 0.0005
 ROUNDS = 60
 SEED = 17
@@ -129,9 +131,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _learn(stats: DataFrame, labels: DataFrame, label_col: str) -> RuleModel:
-    """Fit on the labelled rows that are not held out."""
-    known = labels.select("doc_id", F.col(label_col).alias("label")).where(~held_out()).where("label in (0, 1)")
+def _known(labels: DataFrame, label_col: str) -> DataFrame:
+    """doc_id, label of the labels that may be learnt."""
+    return labels.select("doc_id", F.col(label_col).alias("label")).where(~held_out()).where("label in (0, 1)")
+
+
+def _learn(stats: DataFrame, known: DataFrame) -> RuleModel:
     return fit(stats.join(known, "doc_id").select("label", *statistics()))
 
 
@@ -143,15 +148,21 @@ def _statistics_of(docs: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     stats = _statistics_of(docs)
-    model = _learn(stats, labels, label_col)
+    model = _learn(stats, _known(labels, label_col))
     scored = stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
-    """``docs`` without the rows predicted 0, all columns kept. The second pass
-    counts and scores each row in place, so no text is shuffled."""
-    model = _learn(_statistics_of(docs), labels, label_col)
+def drop_rejected(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` without the rows predicted 0, all columns kept. The fit counts
+    only texts that have a label, of about ``fit_rows`` labels at most (those of
+    least id hash): their ids are a bounded broadcast. Every text is then counted
+    and scored in place, so no text is shuffled."""
+    known = _known(labels, label_col)
+    share = min(1.0, fit_rows / max(1, known.count()))
+    known = materialise(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(share) * (1 << 30)))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = _learn(_statistics_of(labelled), known)
     names = [f"_q_{i}" for i in range(len(docs.columns))]  # the caller's names cannot clash with the counts
     own = docs.toDF(*names)
     counted = text_stats(own, text_col=names[docs.columns.index("text")], keep=tuple(names))
