@@ -182,25 +182,14 @@ def clean_mcq_with_counters(df: DataFrame) -> DataFrame:
     )
 
 
-def answer_reasons(df: DataFrame, answer: str = "answer") -> DataFrame:
-    """Rows per (normalised answer, reject reason)."""
-    return df.groupBy(T.normalize_answer(answer).alias("answer_clean"),
-                      T.reject_reason(answer).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def label_domain_violations(df: DataFrame, columns: Sequence[str],
                             domain: Sequence[str] = ("A", "B", "C", "D", "E")) -> DataFrame:
-    """Per column: rows whose value is outside ``domain`` (null included) and
-    the sorted distinct offending texts. Empty result = domain holds."""
-    parts = []
-    for c in columns:
-        bad = df.where(F.col(c).isNull() | ~F.col(c).isin(*domain))
-        parts.append(bad.agg(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n_bad"),
-                             F.array_join(F.sort_array(F.collect_set(F.col(c))), "|").alias("bad_values")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("n_bad") > 0)
+    """(column, bad_value, n_bad): the values outside ``domain`` (null included)
+    and their rows, counted by one aggregation; a row per value, so no cell or
+    task holds them all. Empty result = domain holds."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("bad_value")) for c in columns])
+    bad = df.select(F.inline(cells)).where(F.col("bad_value").isNull() | ~F.col("bad_value").isin(*domain))
+    return bad.groupBy("column", "bad_value").agg(F.count(F.lit(1)).alias("n_bad"))
 
 
 # --------------------------------------------------------------------------

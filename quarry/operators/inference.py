@@ -162,22 +162,29 @@ def bootstrap_ci(preds: DataFrame, n_boot: int = N_BOOT, seed: int = SEED, block
         "macro_f1", "f1_ci_lo", "f1_ci_hi", "n")
 
 
-def hash_value(key: Column, rep: Column) -> Column:
-    """First 32 bits of md5(key ':' rep) as a non-negative integer."""
-    m = F.md5(F.concat(key.cast("string"), F.lit(":"), rep.cast("string")))
+#: Replicates that share a hash: its 128 bits are four 32-bit numbers.
+PER_HASH = 4
+
+
+def hash_value(key: Column, salt: Column) -> Column:
+    """First 32 bits of md5(key ':' salt) as a non-negative integer."""
+    m = F.md5(F.concat(key.cast("string"), F.lit(":"), salt.cast("string")))
     return F.conv(F.substring(m, 1, 8), 16, 10).cast("bigint")
 
 
 def question_weights(key: str, first: int, size: int) -> np.ndarray:
     """Poisson(1) weights of a question in replicates first .. first + size - 1:
-    the thresholds not above the 32-bit hash of each."""
+    the thresholds not above the 32-bit number of each, which is the (rep mod 4)-th
+    of md5(question ':' rep div 4)."""
     start = hashlib.md5(f"{key}:".encode())
     drawn = bytearray()
-    for rep in range(first, first + size):
+    low = first // PER_HASH
+    for part in range(low, (first + size - 1) // PER_HASH + 1):
         h = start.copy()
-        h.update(str(rep).encode())
-        drawn += h.digest()[:4]
-    return np.searchsorted(POISSON_THRESHOLDS, np.frombuffer(drawn, ">u4").astype(np.int64), side="right")
+        h.update(str(part).encode())
+        drawn += h.digest()
+    at = first - low * PER_HASH
+    return np.searchsorted(POISSON_THRESHOLDS, np.frombuffer(drawn, ">u4")[at: at + size].astype(np.int64), side="right")
 
 
 COUNTS = ["n", "n_correct", *[M.cell(a, b) for a in LETTERS for b in LETTERS]]
@@ -186,13 +193,13 @@ COUNTS = ["n", "n_correct", *[M.cell(a, b) for a in LETTERS for b in LETTERS]]
 def _weighted_cells(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """Partial sums per (run, replicate) of rows sorted by (block, question)."""
     held: dict[str, np.ndarray] = {}
-    limit = max(1, HELD_BYTES // (8 * block * (K * K + 2)))
+    limit = max(1, HELD_BYTES // (8 * block * K * K))
     at = weights = None
 
     def flush(first: int) -> Iterator[pa.RecordBatch]:
         for run, sums in held.items():
             reps = np.arange(first, first + sums.shape[1])
-            correct = sums[: K * K: K + 1].sum(axis=0) + sums[-1]
+            correct = sums[: K * K: K + 1].sum(axis=0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([run] * len(reps), pa.string()), *map(pa.array, (reps, sums.sum(axis=0), correct, *sums[: K * K]))],
                 names=["run_name", "rep", *COUNTS])
@@ -206,7 +213,7 @@ def _weighted_cells(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[p
                     yield from flush(at[0] * block)
                 at, weights = (i, question), question_weights(question, i * block, size)
             if run not in held:
-                held[run] = np.zeros((K * K + 2, size), np.int64)
+                held[run] = np.zeros((K * K, size), np.int64)
             held[run][cell] += weights if n == 1 else n * weights
     if at is not None:
         yield from flush(at[0] * block)
@@ -220,8 +227,10 @@ def bootstrap_hash_replicates(preds: DataFrame, n_boot: int = N_BOOT, block: int
     blocks of replicates, and a task holds the sums of one block."""
     g, p = F.col("gold_label"), F.col("pred_label")
     letters = F.array(*map(F.lit, LETTERS))
-    cell = F.when(g.isin(*LETTERS) & p.isin(*LETTERS), (F.array_position(letters, g) - 1) * K + F.array_position(letters, p) - 1) \
-        .otherwise(F.when(g == p, K * K + 1).otherwise(K * K))  # other labels: only in the totals
+    bad = F.raise_error(F.concat(F.lit("labels outside "), F.lit("".join(LETTERS)), F.lit(" or null in run "),
+                                 F.coalesce("run_name", F.lit("null"))))
+    known = F.coalesce(g.isin(*LETTERS) & p.isin(*LETTERS), F.lit(False))
+    cell = F.when(known, (F.array_position(letters, g) - 1) * K + F.array_position(letters, p) - 1).otherwise(bad.cast("long"))
     counted = preds.where(F.col("question_id").isNotNull()).groupBy(
         F.col("question_id").cast("string").alias("question"), "run_name", cell.cast("int").alias("cell")).agg(
         F.count(F.lit(1)).alias("n"))
@@ -342,9 +351,18 @@ def mcnemar_columns(b: Column, c: Column, with_chi2_p: bool = True) -> list[Colu
 def joint_counts(paired: DataFrame) -> DataFrame:
     """(contrast, gold, pred_a, pred_b, n): the paired rows aggregated once;
     every paired statistic below is computed from these <= 125 rows per
-    contrast."""
-    return paired.groupBy("contrast", F.col("gold_a").alias("gold"), "pred_a", "pred_b").agg(
-        F.count(F.lit(1)).alias("n"))
+    contrast. Gold labels that disagree and labels that are null or no letter
+    are an error of the job: no statistic is computed from them."""
+    what = F.when(~F.col("gold_a").eqNullSafe(F.col("gold_b")), F.lit("gold labels disagree"))
+    for c in ("gold_a", "pred_a", "pred_b"):
+        what = what.when(~F.coalesce(F.col(c).isin(*LETTERS), F.lit(False)), F.lit("a label is outside the letters"))
+    # Tested per group, where the labels of a group are all alike.
+    cells = paired.groupBy("contrast", "gold_a", "gold_b", "pred_a", "pred_b").agg(F.count(F.lit(1)).alias("n"))
+    message = F.concat(F.col("contrast").cast("string"), F.lit(": "), what, F.lit(" ("),
+                       F.concat_ws(", ", *[F.coalesce(F.col(c), F.lit("null")) for c in ("gold_a", "gold_b", "pred_a", "pred_b")]),
+                       F.lit(")"))
+    n = F.when(what.isNotNull(), F.raise_error(message).cast("long")).otherwise(F.col("n"))
+    return cells.select("contrast", F.col("gold_a").alias("gold"), "pred_a", "pred_b", n.alias("n"))
 
 
 def mcnemar_from_joint(joint: DataFrame, with_chi2_p: bool = True) -> DataFrame:
@@ -402,17 +420,7 @@ def contrast_report(preds: DataFrame, models: DataFrame, n_boot: int = N_BOOT, s
     # The joint table (<= 125 rows per contrast) feeds several branches: it is
     # computed once and checkpointed into the shared checkpoint folder, so the
     # branches neither rescan the predictions nor depend on executor memory.
-    paired = paired_predictions(preds, contrasts).withColumn(
-        "contrast", F.struct("contrast", F.col("gold_a").eqNullSafe(F.col("gold_b")).alias("agree")))
-    split = cut_lineage(joint_counts(paired).select("contrast.*", "gold", "pred_a", "pred_b", "n"))
-    known = F.lit(True)
-    for c in ("gold", "pred_a", "pred_b"):
-        known = known & F.coalesce(F.col(c).isin(*LETTERS), F.lit(False))
-    wrong = [(r["contrast"], r["what"]) for r in split.where(~(F.col("agree") & known)).select(
-        "contrast", F.when(F.col("agree"), "label").otherwise("gold").alias("what")).distinct().limit(5).collect()]
-    if wrong:
-        raise ValueError(f"gold labels disagree or labels are outside the letters in contrasts such as {wrong}")
-    joint = split.drop("agree")
+    joint = cut_lineage(joint_counts(paired_predictions(preds, contrasts)))
     ca = F.col("pred_a") == F.col("gold")
     cb = F.col("pred_b") == F.col("gold")
     stats = joint.groupBy("contrast").agg(
@@ -438,10 +446,6 @@ def statistics_table(config: DataFrame, contrasts: DataFrame, seeds: DataFrame)
     return config.unionByName(contrasts, allowMissingColumns=True).unionByName(seeds, allowMissingColumns=True)
 
 
-def seed_config(config: DataFrame) -> DataFrame:
-    return config.select("run_name", "accuracy", "macro_f1")
-
-
 __all__: Sequence[str] = [
     "bootstrap_ci", "bootstrap_hash", "find_contrasts", "paired_predictions", "align_pair", "mcnemar",
     "paired_bootstrap_delta", "contrast_report", "statistics_table",

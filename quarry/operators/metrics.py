@@ -295,9 +295,3 @@ def token_length_profile(lengths: DataFrame, limit: int, keys: Sequence[str] = (
         F.count(F.lit(1)).alias("n"), *q,
         F.avg(F.when(L > limit, 1.0).otherwise(0.0)).alias("share_truncated"),
         F.max(L).alias("max_len"))
-
-
-def row_share(df: DataFrame, partition: Sequence[str], value: str = "n") -> DataFrame:
-    """value / sum(value) within ``partition`` (0 for an all-zero partition)."""
-    tot = F.sum(value).over(Window.partitionBy(*partition))
-    return df.withColumn("share", _safe_div(F.col(value), tot))

@@ -126,8 +126,8 @@ select count(*) as original, count(*) filter (where step = 'invalid_answer') as
   count(distinct case when step is null then question end) as final
 from steps""", "mcq_raw"),
     "label_domain_violations": X.with_fixtures(f"""with {_mcq_sql()}
-select 'answer' as "column", count(*) as n_bad, array_to_string(list_sort(list(distinct answer)), '|') as bad_values
-from mcq where answer is null or answer not in ('A', 'B', 'C', 'D', 'E') having count(*) > 0""", "mcq_raw"),
+select 'answer' as "column", answer as bad_value, count(*) as n_bad
+from mcq where answer is null or answer not in ('A', 'B', 'C', 'D', 'E') group by answer""", "mcq_raw"),
     "dedupe_run_log": X.with_fixtures("""
 select * from run_log
 qualify row_number() over (partition by run_name order by

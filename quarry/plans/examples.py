@@ -15,7 +15,7 @@ from quarry.plans import sqlgen as S
 from quarry.plans.cleaning import _CLEAN, _OPEN_QA, _mcq_sql, loaded_mcq, loaded_open_qa
 from quarry.session import cut_lineage
 from quarry.sources import fixtures as X
-from quarry.sources.tables import spread, table
+from quarry.sources.tables import table
 
 MAX_LEN = 512
 CAP = 100
@@ -58,7 +58,7 @@ def _export(spark, sf):
 
 
 def _vocab(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("text"))
+    docs = table(spark, sf, "documents").select("text")
     words = docs.select(F.explode(F.split("text", " ")).alias("token")).distinct()
     return words.select("token", I.hash_value(F.col("token"), F.lit("vocab")).alias("token_id"))
 

@@ -88,7 +88,7 @@ q as (select distinct question_id from predictions),
 w as (select question_id, rep, w from (
         select question_id, rep,
           (select count(*) from (values {th}) t(x)
-            where ('0x' || substr(md5(cast(question_id as varchar) || ':' || cast(rep as varchar)), 1, 8))::bigint >= x) as w
+            where ('0x' || substr(md5(cast(question_id as varchar) || ':' || cast(rep // 4 as varchar)), 8 * (rep % 4) + 1, 8))::bigint >= x) as w
         from q, range(0, {b}) r(rep)) where w > 0),
 j as (select p.run_name, w.rep, w.w, p.gold_label, p.pred_label from predictions p join w using (question_id))"""
 

@@ -261,12 +261,16 @@ def scan_checkpoint_metadata(spark: SparkSession, outputs: str, name_hints: Mapp
         F.max(F.when(F.col("file") == "training_args.json", True).otherwise(False)).alias("has_meta"))
     meta_path = os.path.join(glob, "training_args.json")
     try:
+        # ``_metadata.file_path`` is an encoded URI, the path of binaryFile is not.
+        plain = F.call_function("url_decode", F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
         meta = (spark.read.schema(META_SCHEMA).option("mode", "PERMISSIVE").option("multiLine", True)
-                .json(meta_path).select(F.regexp_extract(F.col("_metadata.file_path"), r"^(?:file:)?(.*)/stage1/[^/]+$", 1)
-                                        .alias("meta_dir"), "model_name", "method"))
-    except Exception:  # noqa: BLE001 - no metadata files at all
+                .json(meta_path).select(F.regexp_extract(plain, r"^(?:file:(?://)?)?(.*)/stage1/[^/]+$", 1).alias("meta_dir"),
+                                        "model_name", "method"))
+    except AnalysisException as e:  # no metadata files at all; any other failure is raised
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         meta = spark.createDataFrame([], "meta_dir string, model_name string, method string")
-    d = per_dir.withColumn("meta_dir", F.regexp_replace("run_dir", "^file:", ""))
+    d = per_dir.withColumn("meta_dir", F.regexp_replace("run_dir", "^file:(//)?", ""))
     j = d.join(meta, "meta_dir", "left")
     entry = F.regexp_extract("meta_dir", r"([^/]+)$", 1)
     hint = F.lit(None).cast("string")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.tables import spread, table
+from quarry.sources.tables import table
 
 # The prediction runs of the fixture (index, run name, percent
 # of questions answered with the gold letter).
@@ -62,7 +62,7 @@ def _str(c: Column) -> Column:
 
 
 def mcq_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     doc, n = F.col("doc_id"), F.col("n_chars")
     answer = F.lit(None).cast("string")
     for k in range(len(RAW_ANSWERS) - 1, -1, -1):
@@ -107,10 +107,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     row (a generator, no cross join); at scale the real table is read from
     parquet partitioned by ``run_name`` instead (``sources.files``)."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    # Each order fans out to 12 rows: spread an under-split scan first, since
-    # shuffling the narrow input is cheaper than running the 12x fan-out and
-    # everything downstream in a few tasks.
-    o = spread(o)
+    # Each order fans out to 12 rows. The given file is a single split: dealing
+    # its four narrow columns is cheaper than the fan-out in one task.
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     runs = F.array(*[
         F.struct(F.lit(i).alias("idx"), F.lit(name).alias("run_name"), F.lit(pct).alias("pct"))
         for i, name, pct in PREDICTION_RUNS

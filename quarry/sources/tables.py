@@ -21,9 +21,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Deal rows evenly over ``partitions`` (default: the session's shuffle
-    partitions) before heavy row-local work; one narrow exchange, at any size."""
-    return df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -234,3 +234,14 @@ def test_run_log_folder_by_address_and_errors(spark):
     _write(broken, "runs.json", json.dumps(runs[0]) + "\n")
     with pytest.raises(ValueError, match="apart"):
         FS.scan_run_log(spark, broken)
+
+
+def test_checkpoint_metadata_of_folders_with_odd_names(spark):
+    root = tempfile.mkdtemp(prefix="quarry-odd-")
+    names = ["my run2", "résumé %20 a+b", "plain"]
+    for i, name in enumerate(names):
+        os.makedirs(os.path.join(root, name, "stage1"))
+        with open(os.path.join(root, name, "stage1", "training_args.json"), "w") as f:
+            f.write('{"model_name": "org/m%d", "method": "lora"}' % i)
+    got = {r.model_name: (r.method, r.stage1_dir) for r in FS.scan_checkpoint_metadata(spark, root, {"run2": "hint"}).collect()}
+    assert got == {f"org/m{i}": ("lora", f"{root}/{name}/stage1") for i, name in enumerate(names)}

@@ -57,17 +57,17 @@ def test_hash_bootstrap_replicate0_golden(spark):
 
 
 def test_hash_bootstrap_brute_force(spark):
-    """Blocks, repeated rows, labels outside the domain, a null question and the whole Poisson tail."""
+    """Blocks, repeated rows, a null question and the whole Poisson tail; other labels are an error."""
     import hashlib
     from collections import Counter
 
     assert len(I.POISSON_THRESHOLDS) > 10 and I.POISSON_THRESHOLDS[:2] == (1580030168, 3160060337)
     rows = [(f"r{i % 3}", i // 3 % 40, "ABCDE"[i % 5], "ABCDE"[i * 7 % 5]) for i in range(150)]
-    rows += [("r0", 7, "A", "A")] * 30 + [("r1", 1, "?", "?"), ("r1", 2, "A", None), ("r2", None, "A", "A")]
+    rows += [("r0", 7, "A", "A")] * 30 + [("r2", None, "A", "A")]
     want = Counter()
     for run, q, gold, pred in rows:
         for rep in range(23 if q is not None else 0):
-            h = int(hashlib.md5(f"{q}:{rep}".encode()).hexdigest()[:8], 16)
+            h = int(hashlib.md5(f"{q}:{rep // 4}".encode()).hexdigest()[8 * (rep % 4):][:8], 16)
             w = sum(h >= t for t in I.POISSON_THRESHOLDS)
             want[run, rep, "n"] += w
             want[run, rep, "n_correct"] += w * (gold == pred)
@@ -79,6 +79,9 @@ def test_hash_bootstrap_brute_force(spark):
     for r in got:
         d = r.asDict()
         assert all(v == want[r.run_name, r.rep, k] for k, v in d.items() if k not in ("run_name", "rep"))
+    for bad in (("r1", 1, "?", "?"), ("r1", 2, "A", None)):
+        with pytest.raises(Exception, match="labels outside ABCDE or null in run r1"):
+            I.bootstrap_hash_replicates(spark.createDataFrame(rows + [bad], df.schema), 3).collect()
 
 
 def test_bootstrap_close_to_index_resampling(spark):
@@ -130,7 +133,7 @@ def test_registered_hash_bootstrap_runs_all_replicates(spark, monkeypatch):
     rows = [(f"r{i % 2}", i // 2, "ABCDE"[i % 5], "ABCDE"[i * i % 5 if i % 3 else i % 5]) for i in range(16)]
     df = spark.createDataFrame(rows, "run_name string, question_id long, gold_label string, pred_label string")
     monkeypatch.setattr(plans, "_preds", lambda spark, sf: df)
-    weights = np.array([[int(hashlib.md5(f"{q}:{rep}".encode()).hexdigest()[:8], 16) for q in range(8)] for rep in range(10_000)])
+    weights = np.array([[int(hashlib.md5(f"{q}:{rep // 4}".encode()).hexdigest()[8 * (rep % 4):][:8], 16) for q in range(8)] for rep in range(10_000)])
     weights = (weights[:, :, None] >= np.array(I.POISSON_THRESHOLDS)).sum(axis=2)
     got = {r.run_name: r for r in plans.QUERIES["bootstrap_hash"](spark, None).collect()}
     assert sorted(got) == ["r0", "r1"]
@@ -147,3 +150,16 @@ def test_registered_hash_bootstrap_runs_all_replicates(spark, monkeypatch):
         want = [*np.percentile(hits / total, [2.5, 97.5]), *np.percentile(f1, [2.5, 97.5])]
         assert r.n_boot == len(cm) > 9_900
         assert [r.acc_ci_lo, r.acc_ci_hi, r.f1_ci_lo, r.f1_ci_hi] == pytest.approx(want, abs=1e-8)
+
+
+@pytest.mark.parametrize("bad, what", [(("B", "B", "Z", "B"), "outside the letters"), (("B", "B", None, "B"), "outside the letters"),
+                                       (("A", "B", "A", "B"), "gold labels disagree"), ((None, None, "A", "B"), "outside the letters")])
+def test_paired_statistics_refuse_bad_labels(spark, bad, what):
+    schema = "contrast string, question_id long, gold_a string, gold_b string, pred_a string, pred_b string"
+    good = [("c", i, "B", "B", "B", "ABCDE"[i % 5]) for i in range(50)]
+    paired = spark.createDataFrame(good, schema)
+    assert I.mcnemar(paired).first().n == 50
+    broken = spark.createDataFrame(good + [("c", 99, *bad)], schema)
+    for statistic in (lambda: I.mcnemar(broken).collect(), lambda: I.paired_bootstrap_delta(broken, 10).collect()):
+        with pytest.raises(Exception, match=what):
+            statistic()
