@@ -17,6 +17,7 @@ from quarry.plans import cleaning as PC
 from quarry.plans import evaluation as PE
 from quarry.sources import files as FS
 from quarry.sources import fixtures as X
+from quarry.sources import ordered as O
 from quarry.sources.tables import table
 
 # Raw CSV headers of the multiple-choice corpus, mapped from the fixture.
@@ -66,7 +67,37 @@ def _statistics_csv(spark, sf):
     return back
 
 
+def _csv_quoted(spark, sf):
+    """Whole texts with line feeds, written as several files and read by file splits, with their input position."""
+    path = FS.scratch_path(spark, "quoted-csv")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.option("header", True).option("quote", '"').option(
+        "escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return O.read_csv_quoted(spark, path, "row_idx")
+
+
+def _first_rows(spark, sf):
+    """The first document of every source, in the order of the stored file."""
+    rows = O.read_parquet_ordered(spark, f"{sf.rstrip('/')}/documents.parquet").select("row_idx", "doc_id", "source")
+    return O.first_by_position(rows, "source")
+
+
+def _metric_log(spark, sf):
+    """Dataset sizes and losses logged, the losses twice as by a retried job, and read back."""
+    path = FS.scratch_path(spark, "metric-log")
+    losses = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("run-"), "l_returnflag").alias("run_name"), F.lit("stage1").alias("stage"),
+                                                  F.col("l_linenumber").alias("epoch")).agg(
+        (F.sum(F.col("l_quantity").cast("long")) / F.count(F.lit(1))).alias("val_loss"))
+    FS.append_metric_log(FS.dataset_size_rows(PC.QUERIES["dataset_overview"](spark, sf), "data-card"), path)
+    for _ in range(2):
+        FS.append_metric_log(FS.loss_rows(losses), path)
+    return FS.read_metric_log(spark, path)
+
+
 QUERIES = {
+    "csv_quoted_splits": _csv_quoted,
+    "first_rows_in_order": _first_rows,
+    "metric_log_round_trip": _metric_log,
     "csv_two_pass_counters": _csv_counters,
     "csv_two_pass_tolerant": _csv_stray_quotes,
     "scan_predictions": _predictions_roundtrip,
@@ -74,6 +105,19 @@ QUERIES = {
 }
 
 ORACLE = {
+    "csv_quoted_splits": """select cast(doc_id as varchar) as doc_id, lang, nullif(text, '') as text,
+  row_number() over (order by doc_id) - 1 as row_idx from documents""",
+    "first_rows_in_order": """with r as (select row_number() over () - 1 as row_idx, doc_id, source from documents)
+select row_idx, doc_id, source from r qualify row_number() over (partition by source order by row_idx) = 1""",
+    "metric_log_round_trip": f"""with o as ({PC.ORACLE["dataset_overview"]}),
+l as (select 'run-' || l_returnflag as run_name, l_linenumber as epoch,
+        sum(cast(l_quantity as bigint))::double / count(*) as val_loss from lineitem group by all)
+select 'data-card' as run_name, 'data' as stage, 'data/' || dataset || '/' || split || '/samples' as metric, 0::bigint as step,
+  samples::double as value from o
+union all select 'data-card', 'data', 'data/' || dataset || '/samples_removed', 0, removed from o where removed is not null
+union all select 'data-card', 'data', 'data/' || dataset || '/removal_pct', 0, removal_pct from o where removal_pct is not null
+union all select run_name, 'stage1', 'stage1/val_loss', epoch, round(val_loss, 4) from l
+union all select run_name, 'stage1', 'stage1/epoch', epoch, epoch from l""",
     "csv_two_pass_counters": PC.ORACLE["clean_mcq_with_counters"],
     "csv_two_pass_tolerant": """select cast(o_orderkey as varchar) as id, '"' || o_orderpriority as priority,
   o_orderstatus as status from orders where o_orderkey % 7 <> 0""",

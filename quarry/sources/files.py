@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import na_to_null
 from quarry.operators import metrics as M
-from quarry.session import checkpoint_dir
+from quarry.session import checkpoint_dir, cut_lineage
 
 PREDICTION_COLUMNS = ("question_id", "gold_label", "pred_label", "logit_A", "logit_B", "logit_C", "logit_D",
                       "logit_E", "specialty", "umbrella_specialty", "level")
@@ -317,9 +317,48 @@ METRIC_LOG_SCHEMA = "run_name string, stage string, metric string, step long, va
 
 
 def append_metric_log(rows: DataFrame, path: str) -> None:
-    """Append long metric rows (values rounded to 4 dp) to a parquet log."""
-    rows.select("run_name", "stage", "metric", F.col("step").cast("long"),
-                F.round(F.col("value").cast("double"), 4).alias("value")).write.mode("append").parquet(path)
+    """Add long metric rows (values rounded to 4 dp) to a parquet log partitioned
+    by run and stage. A row is known by (run, stage, metric, step): writing it
+    again replaces it, so a retried append changes nothing. Only the runs and
+    stages of ``rows`` are rewritten. One writer per run and stage at a time."""
+    key = ["run_name", "stage", "metric", "step"]
+    new = rows.select("run_name", "stage", "metric", F.col("step").cast("long"), F.round(F.col("value").cast("double"), 4).alias("value")
+                      ).groupBy(*key).agg(F.max("value").alias("value"))  # equal keys in one call: the largest
+    new = cut_lineage(new)
+    try:
+        old = read_metric_log(rows.sparkSession, path)
+        old = old.join(new.select("run_name", "stage").distinct(), ["run_name", "stage"], "left_semi")
+        new = cut_lineage(old.join(new, key, "left_anti").unionByName(new))
+    except AnalysisException as e:  # the first rows of a log
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    # One file per run and stage.
+    new.repartition("run_name", "stage").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "run_name", "stage").parquet(path)
+
+
+def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METRIC_LOG_SCHEMA).parquet(path).select("run_name", "stage", "metric", "step", "value")
+
+
+def dataset_size_rows(overview: DataFrame, run_name: str, stage: str = "data") -> DataFrame:
+    """Metric rows of a dataset overview: samples of every split, and removed
+    rows and their share where a split was cleaned."""
+    name = F.concat(F.lit("data/"), F.col("dataset"), F.lit("/"))
+    rows = F.array(*[F.struct(F.concat(name, *m).alias("metric"), F.col(v).cast("double").alias("value")) for m, v in (
+        ((F.col("split"), F.lit("/samples")), "samples"), ((F.lit("samples_removed"),), "removed"),
+        ((F.lit("removal_pct"),), "removal_pct"))])
+    return overview.select(F.inline(rows)).where("value is not null").select(
+        F.lit(run_name).alias("run_name"), F.lit(stage).alias("stage"), "metric", F.lit(0).cast("long").alias("step"), "value")
+
+
+def loss_rows(losses: DataFrame) -> DataFrame:
+    """Metric rows of (run_name, stage, epoch, val_loss), epochs from 1: the loss
+    and the epoch under the name of the stage, at the step of the epoch."""
+    pairs = F.array(F.struct(F.lit("val_loss").alias("k"), F.col("val_loss").cast("double").alias("value")),
+                    F.struct(F.lit("epoch").alias("k"), F.col("epoch").cast("double").alias("value")))
+    return losses.select("run_name", "stage", F.col("epoch").cast("long").alias("step"), F.inline(pairs)).select(
+        "run_name", "stage", F.concat_ws("/", "stage", "k").alias("metric"), "step", "value")
 
 
 def per_group_metric_rows(per_group: DataFrame, run_name: str, stage: str, group: str = "specialty") -> DataFrame:

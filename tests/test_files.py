@@ -161,8 +161,14 @@ def test_metric_log_append_and_perplexity_table(spark):
                                  "run_name string, stage string, metric string, step long, value double")
     FS.append_metric_log(rows, os.path.join(d, "log"))
     FS.append_metric_log(rows, os.path.join(d, "log"))
-    back = spark.read.parquet(os.path.join(d, "log"))
-    assert back.count() == 2 and back.first().value == 1.2346
+    back = FS.read_metric_log(spark, os.path.join(d, "log"))
+    assert [tuple(r) for r in back.collect()] == [("r", "stage1", "val_loss", 1, 1.2346)]  # a retry changes nothing
+    more = spark.createDataFrame([("r", "stage1", "val_loss", 2, 0.5), ("r", "stage1", "val_loss", 1, 0.75), ("s", "stage2", "x", 0, 1.0)],
+                                 rows.schema)
+    FS.append_metric_log(more, os.path.join(d, "log"))
+    FS.append_metric_log(rows.limit(0), os.path.join(d, "log"))
+    assert sorted(tuple(r) for r in FS.read_metric_log(spark, os.path.join(d, "log")).collect()) == [
+        ("r", "stage1", "val_loss", 1, 0.75), ("r", "stage1", "val_loss", 2, 0.5), ("s", "stage2", "x", 0, 1.0)]
     ppl = spark.createDataFrame([("m", "lora", 20.12, 9.6, "/x")], FS.PERPLEXITY_SCHEMA)
     FS.write_perplexity_table(ppl, os.path.join(d, "ppl"))
     assert FS.read_perplexity_table(spark, os.path.join(d, "ppl")).first().ppl_after == 9.6
