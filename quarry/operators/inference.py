@@ -26,6 +26,7 @@ import math
 import zlib
 from collections.abc import Iterator, Sequence
 from decimal import Decimal, localcontext
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -172,17 +173,19 @@ def hash_value(key: Column, salt: Column) -> Column:
     return F.conv(F.substring(m, 1, 8), 16, 10).cast("bigint")
 
 
+@lru_cache(maxsize=64)
+def _decimal(start: int, stop: int) -> list[bytes]:
+    return [b"%d" % i for i in range(start, stop)]
+
+
 def question_weights(key: str, first: int, size: int) -> np.ndarray:
     """Poisson(1) weights of a question in replicates first .. first + size - 1:
     the thresholds not above the 32-bit number of each, which is the (rep mod 4)-th
     of md5(question ':' rep div 4)."""
-    start = hashlib.md5(f"{key}:".encode())
-    drawn = bytearray()
     low = first // PER_HASH
-    for part in range(low, (first + size - 1) // PER_HASH + 1):
-        h = start.copy()
-        h.update(str(part).encode())
-        drawn += h.digest()
+    parts = _decimal(low, (first + size - 1) // PER_HASH + 1)
+    prefix, md5 = f"{key}:".encode(), hashlib.md5
+    drawn = b"".join([md5(prefix + part).digest() for part in parts])
     at = first - low * PER_HASH
     return np.searchsorted(POISSON_THRESHOLDS, np.frombuffer(drawn, ">u4")[at: at + size].astype(np.int64), side="right")
 
