@@ -38,40 +38,64 @@ PREFIX_HEX = 4  # histogram buckets = 16 ** PREFIX_HEX
 # --------------------------------------------------------------------------
 
 def split_key(id_col: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string")))
+    """md5('<seed>:<id>'); a null id counts as an empty one."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
 
 
-def split_exact(df: DataFrame, id_col: str, fraction: float, seed: int = 42,
-                name: str = "split") -> DataFrame:
+def split_exact(df: DataFrame, id_col: str, fraction: float, seed: int = 42, name: str = "split",
+                max_train: int | None = None, max_val: int | None = None) -> DataFrame:
     """Label every row 'val' or 'train'; exactly ceil(fraction * n) rows are
-    'val': those with the smallest md5('<seed>:<id>') (ties by id)."""
+    'val': those with the smallest md5('<seed>:<id>') (ties by id).
+
+    ``max_val`` and ``max_train`` cap each side after the split, in the order of
+    the split; rows beyond a cap are left out. A cap never moves a row to the
+    other side."""
+    if min(max_train or 0, max_val or 0) < 0:
+        raise ValueError("a cap is a number of rows, 0 or more")
     keyed = df.withColumn("_h", split_key(F.col(id_col), seed)).withColumn("_b", F.substring("_h", 1, PREFIX_HEX))
     # One pass builds the histogram (<= 65,536 rows); the windows below run on
-    # that small table only, and its one-row cut comes to the driver.
+    # that small table only, and its one row of cuts comes to the driver.
     hist = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     cum = hist.select("_b", "_c", F.sum("_c").over(Window.orderBy("_b")).alias("_cum"),
                       F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    # Ranks at which a label ends, each with the bucket that holds it.
     k = F.ceil(F.lit(fraction) * F.col("_n"))
-    cut = (cum.where(F.col("_cum") >= k)
-           .agg(F.min(F.struct("_b", (F.col("_cum") - F.col("_c")).alias("_before"), k.alias("_k"))).alias("c"))
-           .select("c.*").first())
-    if cut["_b"] is None:  # no rows
+    ranks = {"split": k}
+    if max_val is not None:
+        ranks["val"] = F.least(F.lit(max_val), k)
+    if max_train is not None:
+        ranks["train"] = F.least(k + max_train, F.col("_n"))
+    cuts = cum.agg(*[F.min(F.when(F.col("_cum") >= rank, F.struct(
+        "_b", (F.col("_cum") - F.col("_c")).alias("before"), F.col("_c").alias("size"), rank.alias("rank")))).alias(end)
+        for end, rank in ranks.items()]).first()
+    if cuts["split"] is None:  # no rows
         return keyed.withColumn(name, F.lit("train")).drop("_h", "_b")
-    boundary, remaining = F.lit(cut["_b"]), F.lit(cut["_k"] - cut["_before"])
-    # Rows of the boundary bucket only (about n / 65,536 of them, unless one
+    held = {c["_b"]: c for c in cuts}
+
+    def label(past: Callable[[str], Column]) -> Column:
+        """The label of a row by the ranks it lies at or past; null beyond a cap."""
+        val_end, train_end = "val" if "val" in ranks else "split", "train" if "train" in ranks else None
+        train = past("split") & ~past(train_end) if train_end else past("split")
+        return F.when(~past(val_end), "val").when(train, "train")
+
+    # Rows of the buckets that hold a cut only (about n / 65,536 each, unless one
     # id is repeated massively). They are ranked by a range-partitioned sort
     # whose key ends in a per-row tiebreaker, so even a hot id is split over
     # many tasks, then by the partition-offset ordinal -- no single-task window.
-    # The boundary rows (small) are checkpointed with their tiebreaker: the
+    # These rows (few) are checkpointed with their tiebreaker: the
     # ranking below reads them several times (range sampling, sort, ordinal
     # offsets) without rescanning the input, and the tiebreaker is fixed once.
-    inside = cut_lineage(keyed.where(F.col("_b") == boundary).withColumn("_tie", F.monotonically_increasing_id()))
+    inside = cut_lineage(keyed.where(F.col("_b").isin(*held)).withColumn("_tie", F.monotonically_increasing_id()))
     ranked = with_ordinal(inside.orderBy("_h", id_col, "_tie"), "_rk")
-    inside_lbl = ranked.withColumn(name, F.when(F.col("_rk") < remaining, "val").otherwise("train")).drop(
-        "_rk", "_tie")
-    outside = keyed.where(F.col("_b") != boundary).withColumn(
-        name, F.when(F.col("_b") < boundary, "val").otherwise("train"))
-    return outside.unionByName(inside_lbl).drop("_h", "_b")
+    earlier, rank = 0, F.lit(None)
+    for bucket in sorted(held):
+        rank = F.when(F.col("_b") == bucket, F.col("_rk") + (held[bucket]["before"] - earlier)).otherwise(rank)
+        earlier += held[bucket]["size"]
+    inside_lbl = ranked.withColumn("_rk", rank).withColumn(
+        name, label(lambda end: F.col("_rk") >= cuts[end]["rank"])).drop("_rk", "_tie")
+    outside = keyed.where(~F.col("_b").isin(*held)).withColumn(name, label(lambda end: F.col("_b") > cuts[end]["_b"]))
+    out = outside.unionByName(inside_lbl).drop("_h", "_b")
+    return out if len(ranks) == 1 else out.where(F.col(name).isNotNull())
 
 
 def cap_rows(df: DataFrame, n: int, order: str = "row_idx") -> DataFrame:

@@ -27,6 +27,7 @@ from quarry.session import cut_lineage
 
 LETTERS = M.LETTERS
 BATCH_SIZE = 16
+PROMPT_TOKENS = 2048
 
 
 class LinearScorer:
@@ -93,6 +94,60 @@ def score_choices(df: DataFrame, scorer_factory: Callable[[], Callable],
     return src.mapInPandas(run, schema)
 
 
+class TokenSumScorer:
+    """A deterministic scorer of token ids: the logit of letter j is the sum over
+    the tokens of (id * (2 j + 3)) mod 97. Padding has no part in it, as in a
+    model that is given an attention mask."""
+
+    def __call__(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return np.stack([((ids * (2 * j + 3)) % 97 * mask).sum(axis=1) for j in range(len(LETTERS))], axis=1).astype(float)
+
+
+def score_prompts(df: DataFrame, scorer_factory: Callable[[], Callable], tokenizer_factory: Callable[[], object],
+                  prompt: str, keep: Sequence[str], batch_size: int = BATCH_SIZE, max_len: int = PROMPT_TOKENS,
+                  pad_id: int = 0, by_length: bool = True) -> DataFrame:
+    """Append logit_A..logit_E from ``scorer(ids, attention_mask)`` over batches of
+    prompts that are cut to ``max_len`` tokens and padded on the left to the
+    longest of their batch. The rows of each Arrow batch are grouped by length
+    first, so that prompts of like length share a batch, and come back in their
+    order; such a batch also ends before a prompt over twice as long as its first,
+    so less than half of it is padding. ``by_length=False`` batches rows as they stand. Also appended:
+    n_tokens, and padded_to, the width of the row's batch. A null prompt counts
+    as an empty text. One tokenizer (``encode``) and one scorer per task; memory
+    is bounded by an Arrow batch of cut id lists and one padded batch."""
+    src = df.select(*keep, prompt)
+    fields = [f for f in src.schema.fields if f.name in keep]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
+                       + [f"logit_{L} double" for L in LETTERS] + ["n_tokens int", "padded_to int"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer, tokenizer = scorer_factory(), tokenizer_factory()
+        for pdf in batches:
+            ids = [tokenizer.encode("" if t is None else t)[:max_len] for t in pdf[prompt]]
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            order = np.argsort(length, kind="stable") if by_length else np.arange(len(ids))
+            logits, width = np.empty((len(ids), len(LETTERS))), np.zeros(len(ids), np.int32)
+            end = 0
+            while end < len(ids):
+                rows = order[end:end + batch_size]
+                if by_length:
+                    rows = rows[length[rows] <= 2 * max(length[rows[0]], 1)]
+                end += len(rows)
+                w = int(length[rows].max())
+                block = np.full((len(rows), w), pad_id, np.int64)
+                mask = np.zeros((len(rows), w), np.int64)
+                for at, row in enumerate(rows):
+                    block[at, w - length[row]:] = ids[row]
+                    mask[at, w - length[row]:] = 1
+                logits[rows], width[rows] = scorer(block, mask), w
+            out = pdf[list(keep)].copy()
+            for j, L in enumerate(LETTERS):
+                out[f"logit_{L}"] = logits[:, j]
+            yield out.assign(n_tokens=length.astype(np.int32), padded_to=width)
+
+    return src.mapInPandas(run, schema)
+
+
 def argmax_letter(logit_cols: Sequence[str] = tuple(f"logit_{L}" for L in LETTERS),
                   letters: Sequence[str] = LETTERS) -> Column:
     """Letter of the highest logit; the first on ties; NaN counts as largest."""
@@ -108,10 +163,11 @@ def active_letters(answers: DataFrame, token_map: DataFrame, answer: str = "answ
     return a.union(t).agg(F.array_sort(F.collect_set("letter")).alias("letters"))
 
 
-def assemble_predictions(scored: DataFrame, pred: Column, present: Sequence[str]) -> DataFrame:
+def assemble_predictions(scored: DataFrame, pred: Column, present: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """Prediction rows: reference = upper(strip(answer)), correct flag,
     specialty falling back by *column presence* to umbrella_specialty then
-    'Unknown', question_id falling back to row position, logits as columns."""
+    'Unknown', question_id falling back to row position, logits as columns,
+    then the columns ``extra`` as they are."""
     spec = (F.col("specialty") if "specialty" in present else
             F.col("umbrella_specialty") if "umbrella_specialty" in present else F.lit("Unknown"))
     qid = F.col("question_id") if "question_id" in present else F.col("row_idx").cast("string")
@@ -121,7 +177,7 @@ def assemble_predictions(scored: DataFrame, pred: Column, present: Sequence[str]
         (pred == ref).alias("correct"), spec.alias("specialty"),
         (F.col("umbrella_specialty") if "umbrella_specialty" in present else F.lit("Unknown")).alias("umbrella_specialty"),
         (F.col("level") if "level" in present else F.lit("Unknown")).alias("level"),
-        *[F.col(f"logit_{L}") for L in LETTERS])
+        *[F.col(f"logit_{L}") for L in LETTERS], *extra)
 
 
 def eval_results(preds: DataFrame, group: str = "specialty", keys: Sequence[str] = (),
@@ -129,7 +185,9 @@ def eval_results(preds: DataFrame, group: str = "specialty", keys: Sequence[str]
     """One row per key: accuracy, macro F1 (present-label rule), total, and a
     map group -> {accuracy, macro_f1, count} (one aggregation per level).
     With ``token_map`` (letter, token_id) the result also carries the map
-    letter -> answer token id used for scoring."""
+    letter -> answer token id used for scoring. A null group is the entry
+    ``None`` of the map, together with groups of that name."""
+    preds = preds.withColumn(group, F.coalesce(F.col(group).cast("string"), F.lit("None")))
     # The predictions are read (and scored) once: groups and overall both come from the groups' cells.
     cells = cut_lineage(M.confusion_wide(preds, [*keys, group]))
     g = cells.select(*keys, group, M.accuracy_col().alias("accuracy"), M.macro_f1_present_col().alias("macro_f1"),

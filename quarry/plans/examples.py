@@ -14,7 +14,10 @@ from quarry.operators.rows import with_ordinal
 from quarry.plans import sqlgen as S
 from quarry.plans.cleaning import _CLEAN, _OPEN_QA, _mcq_sql, loaded_mcq, loaded_open_qa
 from quarry.session import cut_lineage
+from quarry.sources import evaluation as V
+from quarry.sources import files as FS
 from quarry.sources import fixtures as X
+from quarry.sources import ordered as O
 from quarry.sources.tables import table
 
 MAX_LEN = 512
@@ -72,14 +75,48 @@ def _scored(spark, sf):
 EVAL_KEEP = ("question_id", "answer", "specialty", "umbrella_specialty", "level")
 
 
-def _mcq_predictions(spark, sf):
+def _mcq_predictions(spark, sf, extra=()):
     """Clean MCQ -> evaluation prompt -> batched text scorer -> argmax ->
     prediction rows (the evaluation path with a built-in scorer)."""
     clean = C.clean_mcq(loaded_mcq(spark, sf))
-    prompts = clean.select(*EVAL_KEEP, E.prompt_mcq(include_answer=False).alias("prompt"))
-    scored = R.score_choices(prompts, R.OptionLengthScorer, "prompt", keep=EVAL_KEEP)
+    prompts = clean.select(*EVAL_KEEP, *extra, E.prompt_mcq(include_answer=False).alias("prompt"))
+    scored = R.score_choices(prompts, R.OptionLengthScorer, "prompt", keep=(*EVAL_KEEP, *extra))
     return R.assemble_predictions(scored, R.argmax_letter(), ["question_id", "specialty", "umbrella_specialty",
-                                                              "level"])
+                                                              "level"], extra)
+
+
+def _prompt_scores(spark, sf):
+    """Evaluation prompts cut to 2,048 tokens, scored in batches of like length."""
+    prompts = C.clean_mcq(loaded_mcq(spark, sf)).select("question_id", E.prompt_mcq(include_answer=False).alias("prompt"))
+    return R.score_prompts(prompts, R.TokenSumScorer, E.CharTokenizer, "prompt", keep=("question_id",)).drop("padded_to")
+
+
+RUN = "stand-in_s1-none_s2-none"
+
+
+def _stored_evaluation(spark, sf):
+    """The evaluation of the multiple-choice corpus with all its sinks; returns the folder of its reports."""
+    out = FS.scratch_path(spark, "evaluation")
+    tokens = E.resolve_label_tokens(_vocab(spark, sf)).where("status = 'ok'").select("letter", "token_id")
+    V.evaluate_run(spark, RUN, lambda: _mcq_predictions(spark, sf, ("question",)), f"{out}/report", f"{out}/predictions", tokens)
+    return f"{out}/report"
+
+
+def _export_both(spark, sf):
+    """Both training corpora rendered, split, written as JSON lines with sizes
+    counted on the write, and read back with those sizes. A rendered corpus is
+    written as Parquet first: of its three reads by the split, the histogram
+    reads ids only."""
+    corpora = {"open_qa": (_oq_text(spark, sf), "row_idx", 0.02),
+               "mcq": (E.build_examples(C.clean_mcq(loaded_mcq(spark, sf)), "mcq", keep=("question_id",)), "question_id", 0.05)}
+    out = []
+    for corpus, (rendered, key, share) in corpora.items():
+        path = FS.scratch_path(spark, f"sft-{corpus}")
+        rendered.select(F.col(key).cast("string").alias("id"), "text").write.parquet(f"{path}/rendered")
+        examples = E.split_exact(spark.read.parquet(f"{path}/rendered"), "id", share, 42)
+        FS.write_sft_corpus(examples, path, facts={"corpus": corpus})
+        out.append(FS.read_sft_corpus(spark, path, "id string, text string, split string").select(F.lit(corpus).alias("corpus"), "*"))
+    return out[0].unionByName(out[1])
 
 
 def _evaluate(spark, sf):
@@ -112,6 +149,7 @@ QUERIES = {
     "pad_batches": _pad,
     "token_length_profile": _lengths,
     "export_sft_corpus": _export,
+    "export_both_corpora": _export_both,
     "resolve_label_tokens": lambda spark, sf: E.resolve_label_tokens(_vocab(spark, sf)),
     "argmax_letter": lambda spark, sf: X.choice_logits(spark, sf).select(
         "vec_id", "gold_label", R.argmax_letter().alias("pred_label")),
@@ -122,6 +160,9 @@ QUERIES = {
         E.resolve_label_tokens(_vocab(spark, sf)).where("status = 'ok'")).select(
         F.array_join("letters", ",").alias("letters")),
     "evaluate_run": _evaluate,
+    "evaluate_run_json": lambda spark, sf: V.result_rows(FS.read_eval_results(spark, f"{_stored_evaluation(spark, sf)}/results")),
+    "evaluate_run_csv": lambda spark, sf: O.read_csv_quoted(spark, f"{_stored_evaluation(spark, sf)}/predictions"),
+    "score_prompts": _prompt_scores,
     "evaluate_mcq_predictions": _mcq_predictions,
     "evaluate_mcq": lambda spark, sf: R.eval_results(_mcq_predictions(spark, sf)).select(
         "accuracy", "macro_f1", "total_samples"),
@@ -261,3 +302,27 @@ select {S.accuracy()} as accuracy, {S.macro_present()} as macro_f1, n as total_s
 ORACLE["evaluate_mcq_groups"] = X.with_fixtures(f"""with {_mcq_eval_sql()},
 {S.wide_cte('mcq_preds', ['specialty'])}
 select specialty, {S.accuracy()} as accuracy, {S.macro_present()} as macro_f1, n as count from cm""", "mcq_raw")
+ORACLE["evaluate_run_csv"] = X.with_fixtures(f"""with {_mcq_eval_sql()}
+select nullif(question, '') as question, gold_label as reference, pred_label as prediction,
+  case when correct then 'True' else 'False' end as correct, nullif(mcq_preds.specialty, '') as specialty
+from mcq_preds join clean using (question_id)""", "mcq_raw")
+ORACLE["evaluate_run_json"] = X.with_fixtures(f"""with {_mcq_eval_sql()},
+{S.wide_cte('mcq_preds', ['1'], 'overall')},
+groups as (select * replace (coalesce(specialty, 'None') as specialty) from mcq_preds),
+{S.wide_cte('groups', ['specialty'], 'per_group')},
+resolved as ({_RESOLVED})
+select '{RUN}' as run_name, o.accuracy, o.macro_f1, o.total_samples,
+  (select coalesce(string_agg(letter || '=' || token_id, ',' order by letter), '') from resolved where status = 'ok') as answer_tokens,
+  specialty, {S.accuracy()} as group_accuracy, {S.macro_present()} as group_macro_f1, n as group_count
+from per_group, (select {S.accuracy()} as accuracy, {S.macro_present()} as macro_f1, n as total_samples from overall) o""", "mcq_raw")
+ORACLE["score_prompts"] = X.with_fixtures(f"""with {_mcq_sql()}, {_CLEAN},
+ids as (select question_id, {_ids(_mcq_prompt(False))}[1:{R.PROMPT_TOKENS}] as ids from clean)
+select question_id, cast(len(ids) as integer) as n_tokens, """ + ", ".join(
+    f"cast(list_sum(list_transform(ids, lambda i: (i * {2 * j + 3}) % 97)) as double) as logit_{L}" for j, L in enumerate(M.LETTERS))
+    + " from ids", "mcq_raw")
+ORACLE["export_both_corpora"] = X.with_fixtures(f"""with {_OQ_TEXT}, {_mcq_sql()}, {_CLEAN},
+t as (select 'open_qa' as corpus, cast(row_idx as varchar) as id, text, 0.02 as share from oq_text
+  union all select 'mcq', cast(question_id as varchar), {_mcq_prompt(True)}, 0.05 from clean),
+s as (select corpus, id, text, case when row_number() over (partition by corpus order by md5('42:' || id), id)
+        <= ceil(share * count(*) over (partition by corpus)) then 'val' else 'train' end as split from t)
+select *, count(*) over (partition by corpus, split) as split_samples from s""", "open_qa_raw", "mcq_raw")

@@ -15,6 +15,8 @@ from quarry.operators import cleaning as C
 from quarry.operators import metrics as M
 from quarry.plans import cleaning as PC
 from quarry.plans import evaluation as PE
+from quarry.plans import sqlgen as S
+from quarry.plans import statistics as PS
 from quarry.sources import files as FS
 from quarry.sources import fixtures as X
 from quarry.sources import ordered as O
@@ -94,7 +96,26 @@ def _metric_log(spark, sf):
     return FS.read_metric_log(spark, path)
 
 
+# What the report holds besides resampled bounds and the chi-square tail.
+EXACT_STATISTICS = ("kind", "run_name", "n", "model", "stage1", "run_full", "run_lora", "mcnemar_b", "mcnemar_c", "mcnemar_kind",
+                    "seeds", "n_seeds")
+ROUNDED_STATISTICS = ("accuracy", "macro_f1", "mcnemar_stat", "f1_delta", "acc_delta", "acc_std", "f1_std")
+
+
+def _statistics_report(spark, sf):
+    """The report of all three kinds, written and read back: its exact columns and
+    whether every interval holds its point."""
+    path = FS.scratch_path(spark, "statistics")
+    FS.write_statistics(PS.QUERIES["statistics_table"](spark, sf), path)
+    inside = F.lit(True)
+    for point, ci in (("accuracy", "acc_ci"), ("macro_f1", "f1_ci"), ("f1_delta", "f1_delta_ci"), ("acc_delta", "acc_delta_ci")):
+        inside = inside & F.coalesce(F.col(point).between(F.col(f"{ci}_lo"), F.col(f"{ci}_hi")), F.lit(True))
+    return FS.read_statistics(spark, path).select(*EXACT_STATISTICS, *[F.round(c, 9).alias(c) for c in ROUNDED_STATISTICS],
+                                                  inside.alias("points_inside"))
+
+
 QUERIES = {
+    "statistics_round_trip": _statistics_report,
     "csv_quoted_splits": _csv_quoted,
     "first_rows_in_order": _first_rows,
     "metric_log_round_trip": _metric_log,
@@ -125,4 +146,19 @@ union all select run_name, 'stage1', 'stage1/epoch', epoch, epoch from l""",
     "write_statistics_csv": PE.ORACLE["confusion_matrix"],
 }
 
-
+_SIDE = "select contrast, gold_a as gold_label, pred_{s} as pred_label from paired"
+ORACLE["statistics_round_trip"] = X.with_fixtures(f"""with {PS.PAIRS.strip()},
+side_a as ({_SIDE.format(s='a')}), side_b as ({_SIDE.format(s='b')}),
+{S.wide_cte('side_a', ['contrast'], 'wide_a')}, {S.wide_cte('side_b', ['contrast'], 'wide_b')},
+a as (select contrast, {S.accuracy()} as acc, {S.macro_fixed()} as f1 from wide_a),
+b as (select contrast, {S.accuracy()} as acc, {S.macro_fixed()} as f1 from wide_b),
+tests as ({PS.ORACLE["mcnemar"]}), config as ({PE.ORACLE["run_metrics"]}), seeds as ({PE.ORACLE["seed_aggregates"]})
+select 'config' as kind, run_name, n, round(accuracy, 9) as accuracy, round(macro_f1, 9) as macro_f1, true as points_inside
+from config
+union all by name
+select 'contrast' as kind, contrast as run_name, tests.n, contrasts.model, contrasts.stage1, run_full, run_lora, mcnemar_b,
+  mcnemar_c, mcnemar_kind, round(mcnemar_stat, 9) as mcnemar_stat, round(a.f1 - b.f1, 9) as f1_delta,
+  round(a.acc - b.acc, 9) as acc_delta, true as points_inside
+from tests join contrasts using (contrast) join a using (contrast) join b using (contrast)
+union all by name
+select *, true as points_inside from seeds""", "predictions", "models")

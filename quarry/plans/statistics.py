@@ -59,7 +59,7 @@ QUERIES = {
     "statistics_table": _statistics,
 }
 
-_PAIRS = """
+PAIRS = """
 runs as (select distinct run_name from predictions),
 parsed as (select run_name, regexp_extract(run_name, '^(.+)_s1-(none|lora|full|full3ep)_s2-(full|lora)$', 1) as model,
              regexp_extract(run_name, '^(.+)_s1-(none|lora|full|full3ep)_s2-(full|lora)$', 2) as stage1,
@@ -107,7 +107,7 @@ def _weighted_wide(src: str) -> str:
 
 
 ORACLE = {
-    "find_contrasts": X.with_fixtures(f"with {_PAIRS} select * from contrasts", "predictions", "models"),
+    "find_contrasts": X.with_fixtures(f"with {PAIRS} select * from contrasts", "predictions", "models"),
     "align_pair": X.with_fixtures("""
 with a as (select * from predictions where run_name = 'alpha-8b_s1-none_s2-full'),
      b as (select * from predictions where run_name = 'alpha-8b_s1-none_s2-lora')
@@ -115,7 +115,7 @@ select 'alpha-8b_s1-none_s2-full' as run_a, 'alpha-8b_s1-none_s2-lora' as run_b,
   (select count(*) from a) as rows_a, (select count(*) from b) as rows_b, count(*) as aligned,
   count(*) filter (where a.gold_label is distinct from b.gold_label) as gold_disagreements
 from a join b using (question_id)""", "predictions"),
-    "mcnemar": X.with_fixtures(f"""with {_PAIRS},
+    "mcnemar": X.with_fixtures(f"""with {PAIRS},
 cnt as (select contrast, count(*) as n,
           count(*) filter (where pred_a = gold_a and pred_b <> gold_a) as b,
           count(*) filter (where pred_a <> gold_a and pred_b = gold_a) as c
@@ -127,7 +127,7 @@ select cnt.contrast, n, b as mcnemar_b, c as mcnemar_c,
   case when b + c = 0 then 1.0 when b + c < 25 then {_binom_sql('b', 'c')} end as mcnemar_p_exact,
   contrasts.model, contrasts.stage1
 from cnt join contrasts using (contrast)""", "predictions", "models"),
-    "joint_counts": X.with_fixtures(f"""with {_PAIRS}
+    "joint_counts": X.with_fixtures(f"""with {PAIRS}
 select contrast, gold_a as gold, pred_a, pred_b, count(*) as n from paired group by all""", "predictions", "models"),
     "bootstrap_hash_200": X.with_fixtures(f"""with {_hash_cte(HASH_REPLICATES)}, {_weighted_wide('j')},
 reps as (select run_name, rep, {S.accuracy()} as acc, {S.macro_fixed()} as f1 from cm)

@@ -24,8 +24,9 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from quarry.functions.text import na_to_null
 from quarry.operators import metrics as M
@@ -166,10 +167,10 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False, single_file: bo
 # Predictions
 # --------------------------------------------------------------------------
 
-def write_predictions(preds: DataFrame, path: str) -> None:
-    """Partitioned by run_name, fixed column order (columns present only);
-    dynamic overwrite replaces only the runs being written."""
-    cols = [c for c in PREDICTION_COLUMNS if c in preds.columns]
+def write_predictions(preds: DataFrame, path: str, extra: Sequence[str] = ()) -> None:
+    """Partitioned by run_name, fixed column order (columns present only), then
+    ``extra`` ones; dynamic overwrite replaces only the runs being written."""
+    cols = [*[c for c in PREDICTION_COLUMNS if c in preds.columns], *extra]
     (preds.select("run_name", *cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run_name").parquet(path))
 
@@ -197,13 +198,67 @@ def write_predictions_csv(preds: DataFrame, path: str) -> None:
 # Results, statistics, breakdowns, perplexity
 # --------------------------------------------------------------------------
 
+EVAL_RESULTS_SCHEMA = ("run_name string, accuracy double, macro_f1 double, total_samples long, per_specialty_scores "
+                       "map<string, struct<accuracy: double, macro_f1: double, count: long>>, answer_token_ids map<string, long>")
+
+
 def write_eval_results(results: DataFrame, path: str) -> None:
     """Summary rows with the nested per-group map as JSON (non-ASCII kept)."""
     results.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def read_eval_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EVAL_RESULTS_SCHEMA).json(path)
+
+
+# Stands for an empty text while a typed CSV file is read.
+_EMPTY = "\u0001"
+
+
+def write_typed_csv(df: DataFrame, path: str, schema: str) -> None:
+    """Rows of several kinds under one declared schema: columns a kind lacks are
+    null. Null is a bare empty cell, an empty text a quoted one, NaN is written
+    out, so all three come back from ``read_typed_csv``. A column outside the
+    schema is an error. Not kept: a text that is the one character U+0001."""
+    declared = _parsed(df.sparkSession, schema)
+    odd = set(df.columns) - set(declared.names)
+    if odd:
+        raise ValueError(f"columns outside the declared schema: {sorted(odd)}")
+    cells = [(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared]
+    (df.select(*cells).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+     .option("nullValue", "").option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
+def read_typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_typed_csv`` wrote; a header that differs from the schema is an error."""
+    declared = _parsed(spark, schema)
+    rows = (spark.read.schema(declared).option("header", True).option("enforceSchema", False).option("multiLine", True)
+            .option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", _EMPTY)
+            .option("mode", "FAILFAST").csv(path))
+    return rows.select(*[F.when(F.col(f"`{f.name}`") == _EMPTY, "").otherwise(F.col(f"`{f.name}`")).alias(f.name)
+                         if isinstance(f.dataType, StringType) else F.col(f"`{f.name}`") for f in declared])
+
+
+def _parsed(spark: SparkSession, schema: str) -> StructType:
+    return spark.createDataFrame([], schema).schema
+
+
+# The columns of the statistics report: configurations, then contrasts, then seeds.
+STATISTICS_SCHEMA = (
+    "kind string, run_name string, accuracy double, acc_ci_lo double, acc_ci_hi double, macro_f1 double, f1_ci_lo double, "
+    "f1_ci_hi double, n long, model string, stage1 string, run_full string, run_lora string, mcnemar_b long, mcnemar_c long, "
+    "mcnemar_stat double, mcnemar_p double, mcnemar_kind string, f1_delta double, f1_delta_ci_lo double, f1_delta_ci_hi double, "
+    "f1_delta_p double, acc_delta double, acc_delta_ci_lo double, acc_delta_ci_hi double, seeds string, n_seeds long, "
+    "acc_std double, f1_std double")
+
+
 def write_statistics(stats: DataFrame, path: str) -> None:
-    write_csv(stats, path, single_file=False)
+    write_typed_csv(stats, path, STATISTICS_SCHEMA)
+
+
+def read_statistics(spark: SparkSession, path: str) -> DataFrame:
+    return read_typed_csv(spark, path, STATISTICS_SCHEMA)
 
 
 def write_breakdowns(preds: DataFrame, path: str) -> None:
@@ -375,12 +430,32 @@ def per_group_metric_rows(per_group: DataFrame, run_name: str, stage: str, group
 # Training corpus export
 # --------------------------------------------------------------------------
 
-def write_sft_corpus(examples: DataFrame, path: str, split: str = "split") -> DataFrame:
+SFT_META = ("train_samples", "val_samples")
+
+
+def write_sft_corpus(examples: DataFrame, path: str, split: str = "split", facts: Mapping[str, object] | None = None) -> DataFrame:
     """Write rendered examples as JSON-lines shards per split
-    (``<path>/split=train|val``) plus one metadata row with the split sizes
-    (``<path>/_meta``). Returns the metadata row."""
-    examples.write.mode("overwrite").partitionBy(split).json(os.path.join(path, "data"))
-    meta = examples.agg(F.count_if(F.col(split) == "train").alias("train_samples"),
-                        F.count_if(F.col(split) == "val").alias("val_samples"))
+    (``<path>/data/split=train|val``) and one metadata row (``<path>/_meta``): the
+    split sizes, then ``facts`` (model, method, epochs ...). The sizes are observed
+    on the write itself, so the examples are worked out and read once. Returns
+    the metadata row."""
+    clash = set(SFT_META) & set(facts or ())
+    if clash:
+        raise ValueError(f"sizes are counted, not given: {sorted(clash)}")
+    sizes = Observation()
+    examples.observe(sizes, *[F.count_if(F.col(split) == side.removesuffix("_samples")).alias(side) for side in SFT_META]).write.mode(
+        "overwrite").partitionBy(split).json(os.path.join(path, "data"))
+    seen = sizes.get
+    known = [F.lit(None).cast("string").alias(k) if v is None else F.lit(v).alias(k) for k, v in (facts or {}).items()]
+    meta = examples.sparkSession.range(1).select(*[F.lit(seen[side]).cast("long").alias(side) for side in SFT_META], *known)
     meta.coalesce(1).write.mode("overwrite").json(os.path.join(path, "_meta"))
     return meta
+
+
+def read_sft_corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The examples of an export (``schema`` with the split column), with the size of
+    their split in the metadata as ``split_samples``."""
+    meta = spark.read.schema(", ".join(f"{side} long" for side in SFT_META)).json(os.path.join(path, "_meta"))
+    train, val = (meta.agg(F.max(side)).scalar() for side in SFT_META)
+    return spark.read.schema(schema).json(os.path.join(path, "data")).withColumn(
+        "split_samples", F.when(F.col("split") == "train", train).otherwise(val))
