@@ -31,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -423,7 +424,12 @@ def contrast_report(preds: DataFrame, models: DataFrame, n_boot: int = N_BOOT, s
     # The joint table (<= 125 rows per contrast) feeds several branches: it is
     # computed once and checkpointed into the shared checkpoint folder, so the
     # branches neither rescan the predictions nor depend on executor memory.
-    joint = cut_lineage(joint_counts(paired_predictions(preds, contrasts)))
+    try:
+        joint = cut_lineage(joint_counts(paired_predictions(preds, contrasts)))
+    except PySparkException as e:  # the error that joint_counts raises on bad labels, as in bootstrap_ci
+        if "USER_RAISED_EXCEPTION" not in str(e):
+            raise
+        raise ValueError(str(e)) from e
     ca = F.col("pred_a") == F.col("gold")
     cb = F.col("pred_b") == F.col("gold")
     stats = joint.groupBy("contrast").agg(
