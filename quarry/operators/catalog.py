@@ -9,10 +9,13 @@ exploding literal arrays (generators), not by cross joins.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Stage methods accepted in run names.
 STAGE1_METHODS = ("none", "lora", "full", "full3ep")
@@ -39,6 +42,9 @@ BASE_RANK = 16
 LEARNING_RATES = ("2e-4", "1e-4", "4e-4")
 DROPOUTS = ("0.05", "0.0", "0.1")
 FALLBACK = {"r": 16, "alpha": 32, "lr": "2e-4", "dropout": "0.05"}
+FALLBACK_NOTE = "NOTE: using fallback Table 2 values for unresolved factors"
+TRANSFER_FALLBACK_NOTE = "Task 3 sweep not finished -> fallback r=16/alpha=32/lr=2e-4/dropout=0.05 all-linear (noted)"
+ATTENTION_MODULES = "q_proj,k_proj,v_proj,o_proj"
 
 
 # --------------------------------------------------------------------------
@@ -142,10 +148,10 @@ def _explode_literal(df: DataFrame, values: Sequence, name: str) -> DataFrame:
 
 
 def build_run_matrix(models: DataFrame) -> DataFrame:
-    """Planned runs: seeds, rank / lr / dropout / attention-only sweep, QLoRA,
-    the existing 7 conditions, new models and the stage-1 diagnostic.
-    Columns: run_name, short_name, model_id, stage1_method, stage2_method,
-    phase, train."""
+    """Planned runs that depend on no result: seeds, rank / lr / dropout /
+    attention-only sweep, QLoRA and new models. ``run_plan`` adds arguments,
+    notes and the stage-1 diagnostic. Columns: run_name, short_name, model_id,
+    stage1_method, stage2_method, phase, train."""
     m = models.select("short_name", "model_id", "existing", "new")
     s = F.col("short_name")
     ex = m.where("existing")
@@ -239,6 +245,11 @@ def plan_summary(plan: DataFrame, status: str = "status") -> DataFrame:
 # Best configuration (H2-H4)
 # --------------------------------------------------------------------------
 
+@F.pandas_udf(StringType())
+def _four_places(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if v is None or v != v else f"{float(v):.4f}")
+
+
 def _pick(cands: DataFrame, acc: DataFrame, key: str, value: str, n_expected: int) -> DataFrame:
     """Per key: best candidate by accuracy (ties -> lowest ``ord``), whether all
     candidates have a finished accuracy, and the missing values in order."""
@@ -246,48 +257,56 @@ def _pick(cands: DataFrame, acc: DataFrame, key: str, value: str, n_expected: in
     best = F.min_by(F.col(value), F.struct(-F.col("accuracy"), F.col("ord")))
     missing = F.array_sort(F.collect_list(F.when(F.col("accuracy").isNull(), F.struct("ord", value))))
     return j.groupBy(key).agg(
-        best.alias("best"), F.count("accuracy").alias("n_found"),
+        best.alias("best"), F.max("accuracy").alias("best_accuracy"), F.count("accuracy").alias("n_found"),
         F.transform(missing, lambda x: x[value]).alias("missing"),
     ).withColumn("resolved", F.col("n_found") == n_expected)
 
 
 def best_rank(models: DataFrame, acc: DataFrame) -> DataFrame:
     """Rank in {8, 16, 32, 64} with the best accuracy; if any rank run is
-    unfinished: 16, unresolved, with the missing ranks listed; ties -> smaller."""
+    unfinished: 16, unresolved, with the missing ranks listed; ties -> smaller.
+    ``accuracy`` is that of the best run, null when unresolved."""
     r = _explode_literal(models.select("short_name"), list(RANKS), "r")
     cands = r.select("short_name", "r", F.col("r").alias("ord"),
                      rank_run_name(F.col("short_name"), F.col("r")).alias("run_name"))
     p = _pick(cands, acc, "short_name", "r", len(RANKS))
     rank = F.when(F.col("resolved"), F.col("best")).otherwise(F.lit(BASE_RANK))
-    note = F.when(F.col("resolved"), F.concat(F.lit("best rank r="), F.col("best").cast("string"))).otherwise(
+    note = F.when(F.col("resolved"), F.concat(F.lit("best rank r="), F.col("best").cast("string"), F.lit(" (acc="),
+                                              _four_places("best_accuracy"), F.lit(")"))).otherwise(
         F.concat(F.lit("rank sweep incomplete (missing r="),
                  F.array_join(F.transform("missing", lambda x: x.cast("string")), ","),
                  F.lit("); falling back to r=16")))
-    return p.select("short_name", rank.alias("r"), "resolved", note.alias("note"))
+    return p.select("short_name", rank.alias("r"), "resolved", note.alias("note"),
+                    F.when(F.col("resolved"), F.col("best_accuracy")).alias("accuracy"))
 
 
 def best_config(models: DataFrame, acc: DataFrame) -> DataFrame:
     """One factor at a time: rank, then learning rate and dropout, each against
     the best-rank run as the baseline candidate (listed first, so it wins
-    ties); any unfinished candidate -> that factor's fallback value."""
+    ties); any unfinished candidate -> that factor's fallback value. ``notes``
+    says how each factor was found."""
     br = best_rank(models, acc)
     base = br.select("short_name", "r", rank_run_name(F.col("short_name"), F.col("r")).alias("base_run"))
 
-    def factor(values, name_fn, col):
+    def factor(values, name_fn, col, sweep, label):
         arr = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(v).alias(col)) for i, v in enumerate(values)])
         c = base.select("short_name", "base_run", F.inline(arr))
         c = c.withColumn("run_name", F.when(F.col("ord") == 0, F.col("base_run"))
                          .otherwise(name_fn(F.col("short_name"), F.col(col))))
         p = _pick(c.select("short_name", "ord", col, "run_name"), acc, "short_name", col, len(values))
+        note = F.when(F.col("resolved"), F.concat(F.lit(f"best {label}="), F.col("best"))).otherwise(
+            F.lit(f"{sweep} sweep incomplete; falling back to {label}={values[0]}"))
         return p.select("short_name", F.when(F.col("resolved"), F.col("best")).otherwise(F.lit(values[0])).alias(col),
-                        F.col("resolved").alias(f"{col}_resolved"))
+                        F.col("resolved").alias(f"{col}_resolved"), note.alias(f"{col}_note"))
 
-    lr = factor(LEARNING_RATES, lr_run_name, "lr")
-    do = factor(DROPOUTS, dropout_run_name, "dropout")
+    lr = factor(LEARNING_RATES, lr_run_name, "lr", "LR", "lr")
+    do = factor(DROPOUTS, dropout_run_name, "dropout", "dropout", "dropout")
+    every = F.col("resolved") & F.col("lr_resolved") & F.col("dropout_resolved")
     out = br.join(lr, "short_name").join(do, "short_name")
-    return out.select("short_name", "r", (F.col("r") * 2).alias("alpha"), "lr", "dropout",
-                      (F.col("resolved") & F.col("lr_resolved") & F.col("dropout_resolved")).alias("resolved"),
-                      F.col("resolved").alias("rank_resolved"), "lr_resolved", "dropout_resolved")
+    return out.select("short_name", "r", (F.col("r") * 2).alias("alpha"), "lr", "dropout", every.alias("resolved"),
+                      F.col("resolved").alias("rank_resolved"), "lr_resolved", "dropout_resolved",
+                      F.concat_ws("; ", "note", "lr_note", "dropout_note", F.when(~every, F.lit(FALLBACK_NOTE))).alias("notes"),
+                      F.col("note").alias("rank_note"))
 
 
 def transfer_config(models: DataFrame, acc: DataFrame) -> DataFrame:
@@ -296,13 +315,92 @@ def transfer_config(models: DataFrame, acc: DataFrame) -> DataFrame:
     cfg = best_config(models.where("existing"), acc)
     cand = cfg.where("resolved").withColumn("run_name", rank_run_name(F.col("short_name"), F.col("r"))).join(
         acc, "run_name", "left")
-    best = cand.agg(F.min_by(F.struct("short_name", "r", "alpha", "lr", "dropout"),
+    best = cand.agg(F.min_by(F.struct("short_name", "r", "alpha", "lr", "dropout", "notes"),
                              F.struct(-F.coalesce(F.col("accuracy"), F.lit(0.0)), F.col("short_name"))).alias("b"))
     fb = F.struct(F.lit(None).cast("string").alias("short_name"), F.lit(FALLBACK["r"]).alias("r"),
                   F.lit(FALLBACK["alpha"]).alias("alpha"), F.lit(FALLBACK["lr"]).alias("lr"),
-                  F.lit(FALLBACK["dropout"]).alias("dropout"))
+                  F.lit(FALLBACK["dropout"]).alias("dropout"), F.lit(None).cast("string").alias("notes"))
+    taken = F.concat(F.lit("transferred from "), F.col("c.short_name"), F.lit(" sweep ("), F.col("c.notes"), F.lit(")"))
     return best.select(F.coalesce(F.col("b"), fb).alias("c"), F.col("b").isNotNull().alias("resolved")).select(
-        F.col("c.short_name").alias("source_model"), "c.r", "c.alpha", "c.lr", "c.dropout", "resolved")
+        F.col("c.short_name").alias("source_model"), "c.r", "c.alpha", "c.lr", "c.dropout", "resolved",
+        F.coalesce(taken, F.lit(TRANSFER_FALLBACK_NOTE)).alias("notes"))
+
+
+# --------------------------------------------------------------------------
+# The plan from results (J4 with H2-H4)
+# --------------------------------------------------------------------------
+
+def _texts(*parts: Column | str) -> Column:
+    return F.array(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _said(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _plain(rate: Column) -> Column:
+    """A rate as an argument: 2e-4 -> 0.0002, 0.0 as it is."""
+    return F.when(rate.contains("e"), rate.cast("decimal(10,4)").cast("string")).otherwise(rate)
+
+
+def _overrides(cfg: str) -> Column:
+    """The arguments of a resolved configuration."""
+    c = lambda f: F.col(f"{cfg}.{f}")
+    return _texts("--lora_r", c("r"), "--lora_alpha", c("alpha"), "--learning_rate", _plain(c("lr")), "--lora_dropout", c("dropout"))
+
+
+def run_plan(models: DataFrame, acc: DataFrame, diagnostic: str) -> DataFrame:
+    """The planned runs with what follows from the runs finished so far: each
+    model's best rank and configuration, and the configuration that new models
+    take over, are joined to the model and become arguments and notes of its
+    runs. ``acc``: (run_name, accuracy) of finished runs. ``diagnostic`` is the
+    short name of the model of the stage-1 diagnostic.
+
+    Columns: those of ``build_run_matrix`` (whose runs are planned, and the
+    diagnostic), extra_args array<string>, note."""
+    cfg = best_config(models.where("existing"), acc).select("short_name", F.struct("r", "alpha", "lr", "dropout", "notes", "rank_note").alias("best"))
+    taken = transfer_config(models, acc).select(F.struct("r", "alpha", "lr", "dropout", "notes").alias("taken"))
+    ranked = _texts("--lora_r", F.col("best.r"), "--lora_alpha", F.col("best.alpha"))
+    existing = models.where("existing").join(cfg, "short_name")
+    # The transferred configuration is one row.
+    new = models.where("new").withColumn("_one", F.lit(1)).join(F.broadcast(taken.withColumn("_one", F.lit(1))), "_one")
+
+    def specs(of: DataFrame, suffix: Column, stage2: Column | str, phase: str, args: Column, note: Column, stage1: str = "none",
+              train: Column | None = None) -> DataFrame:
+        return of.select(F.concat("short_name", suffix).alias("run_name"), "short_name", "model_id", F.lit(stage1).alias("stage1_method"),
+                         (F.lit(stage2) if isinstance(stage2, str) else stage2).alias("stage2_method"), F.lit(phase).alias("phase"),
+                         (F.lit(True) if train is None else train).alias("train"), args.alias("extra_args"), note.alias("note"))
+
+    def swept(values: Sequence, name: Callable[[Column, Column], Column], args: Callable[[Column], Column],
+              note: Callable[[Column], Column]) -> DataFrame:
+        v, none = F.col("_value"), F.lit("")
+        return specs(_explode_literal(existing, values, "_value"), name(none, v), "lora", "sweep", args(v), note(v))
+
+    seeds = _explode_literal(_explode_literal(existing, ["lora", "full"], "_method"), [1337, 2024], "_seed")
+    methods = _explode_literal(new, ["none", "lora", "full"], "_method")
+    method, seed, none = F.col("_method"), F.col("_seed"), F.array().cast("array<string>")
+    at_rank = F.col("best.rank_note")
+    parts = [
+        specs(seeds, _said("_s1-none_s2-", method, "_seed", seed), method, "seeds", _texts("--seed", seed),
+              _said("multi-seed rerun (seed ", seed, ")")),
+        swept([r for r in RANKS if r != BASE_RANK], rank_run_name, lambda r: _texts("--lora_r", r, "--lora_alpha", r * 2),
+              lambda r: _said("rank sweep r=", r, ", alpha=", r * 2)),
+        swept(LEARNING_RATES[1:], lr_run_name, lambda lr: F.concat(ranked, _texts("--learning_rate", _plain(lr))),
+              lambda _: _said("LR ablation at ", at_rank)),
+        swept(DROPOUTS[1:], dropout_run_name, lambda do: F.concat(ranked, _texts("--lora_dropout", do)),
+              lambda _: _said("dropout ablation at ", at_rank)),
+        specs(existing, F.lit("_s1-none_s2-lora" + ATTENTION_ONLY), "lora", "sweep",
+              F.concat(ranked, _texts("--lora_target_modules", ATTENTION_MODULES)), _said("attention-only ablation at ", at_rank)),
+        specs(existing, F.lit("_s1-none_s2-qlora"), "lora", "sweep", F.concat(_texts("--qlora"), _overrides("best")),
+              _said("QLoRA; ", F.col("best.notes"))),
+        specs(methods, _said("_s1-none_s2-", method), method, "newmodels",
+              F.when(method == "lora", _overrides("taken")).otherwise(none),
+              F.when(method == "none", "zero-shot baseline").when(method == "lora", _said("Stage-2 LoRA; ", F.col("taken.notes")))
+              .otherwise("Stage-2 full fine-tuning (Table 2 conventions)"), train=method != "none"),
+        specs(models.where(F.col("short_name") == diagnostic), F.lit("_s1-full3ep_s2-full"), "full", "stage1diag",
+              _texts("--stage1_epochs", "3"), F.lit("multi-epoch Stage 1 ablation (3 epochs vs existing 1)"), stage1="full"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sorted_report(config: DataFrame) -> DataFrame:

@@ -153,6 +153,20 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Finished runs of the sweep fixture. The first model has every candidate; the second lacks a dropout run.
+SWEEP_RUNS = [f"{m}_s1-none_s2-lora{v}" for m, values in (
+    ("alpha-8b", ("", "_r8", "_r32", "_r64", "_lr1e-4", "_lr4e-4", "_do0.0", "_do0.1")),
+    ("beta-8b", ("", "_r8", "_r32", "_r64", "_lr1e-4", "_lr4e-4", "_do0.0"))) for v in values]
+
+
+def sweep_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per answered question of a finished sweep run: (run_name, correct)."""
+    names = F.array(*[F.lit(n) for n in SWEEP_RUNS])
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(names[(F.col("l_orderkey") % len(SWEEP_RUNS)).cast("int")].alias("run_name"),
+                     ((F.col("l_partkey") + F.col("l_suppkey")) % 7 < 3).alias("correct"))
+
+
 def choice_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     cols = [F.element_at("embedding", i + 1).cast("double").alias(f"logit_{L}")
@@ -207,6 +221,10 @@ select event_id, 'run_' || cast(user_id as varchar) as run_name,
     when 'click' then 'crashed' else 'running' end as state,
   case when event_type = 'purchase' then value end as accuracy
 from events""",
+    "sweep_results": f"""
+select [{', '.join(f"'{n}'" for n in SWEEP_RUNS)}][1 + l_orderkey % {len(SWEEP_RUNS)}] as run_name,
+  (l_partkey + l_suppkey) % 7 < 3 as correct
+from lineitem""",
     "choice_logits": """
 select vec_id, cast(embedding[1] as double) as logit_A, cast(embedding[2] as double) as logit_B,
   cast(embedding[3] as double) as logit_C, cast(embedding[4] as double) as logit_D,

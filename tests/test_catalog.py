@@ -113,3 +113,62 @@ def test_sorted_report_order(spark):
     got = [r.run_name for r in K.sorted_report(cfg).collect()]
     assert got == ["a_s1-none_s2-none", "b_s1-none_s2-none", "z_s1-none_s2-full", "a_s1-lora_s2-lora",
                    "x_s1-none_s2-lora_seed7"]
+
+
+def _plan(spark, acc, models=None):
+    rows = K.run_plan(models or X.models(spark), acc, "beta-8b").collect()
+    assert len({r.run_name for r in rows}) == len(rows)
+    return {r.run_name: r for r in rows}
+
+
+FULL_SWEEP = {"": 0.5, "_r8": 0.5, "_r32": 0.71236, "_r64": 0.6, "_lr1e-4": 0.7, "_lr4e-4": 0.8, "_do0.0": 0.6, "_do0.1": 0.69}
+BEST = "best rank r=32 (acc=0.7124); best lr=4e-4; best dropout=0.05"
+
+
+def test_run_plan_follows_results(spark):
+    alpha = "alpha-8b_s1-none_s2-lora"
+    plan = _plan(spark, _acc(spark, [(alpha + v, a) for v, a in FULL_SWEEP.items()]))
+    got = lambda name: (list(plan[name].extra_args), plan[name].note)
+    rank = ["--lora_r", "32", "--lora_alpha", "64"]
+    assert got(alpha + "_r64") == (["--lora_r", "64", "--lora_alpha", "128"], "rank sweep r=64, alpha=128")
+    assert got(alpha + "_lr1e-4") == ([*rank, "--learning_rate", "0.0001"], "LR ablation at best rank r=32 (acc=0.7124)")
+    assert got(alpha + "_do0.0") == ([*rank, "--lora_dropout", "0.0"], "dropout ablation at best rank r=32 (acc=0.7124)")
+    assert got(alpha + "_attnonly")[0] == [*rank, "--lora_target_modules", "q_proj,k_proj,v_proj,o_proj"]
+    best = [*rank, "--learning_rate", "0.0004", "--lora_dropout", "0.05"]
+    assert got("alpha-8b_s1-none_s2-qlora") == (["--qlora", *best], f"QLoRA; {BEST}")
+    # The new model takes over the resolved configuration; its other runs have no arguments.
+    assert got("gamma-7b_s1-none_s2-lora") == (best, f"Stage-2 LoRA; transferred from alpha-8b sweep ({BEST})")
+    assert got("gamma-7b_s1-none_s2-none") == ([], "zero-shot baseline") and not plan["gamma-7b_s1-none_s2-none"].train
+    assert got("gamma-7b_s1-none_s2-full") == ([], "Stage-2 full fine-tuning (Table 2 conventions)")
+    assert got("alpha-8b_s1-none_s2-full_seed2024") == (["--seed", "2024"], "multi-seed rerun (seed 2024)")
+    # A model without results keeps its own fallback.
+    missing = "rank sweep incomplete (missing r=8,16,32,64); falling back to r=16"
+    assert got("beta-8b_s1-none_s2-lora_lr4e-4") == (["--lora_r", "16", "--lora_alpha", "32", "--learning_rate", "0.0004"],
+                                                     f"LR ablation at {missing}")
+    assert got("beta-8b_s1-none_s2-qlora")[1] == (
+        f"QLoRA; {missing}; LR sweep incomplete; falling back to lr=2e-4; dropout sweep incomplete; falling back to dropout=0.05; "
+        "NOTE: using fallback Table 2 values for unresolved factors")
+    diagnostic = plan["beta-8b_s1-full3ep_s2-full"]
+    assert (diagnostic.stage1_method, diagnostic.stage2_method, diagnostic.phase, list(diagnostic.extra_args)) == (
+        "full", "full", "stage1diag", ["--stage1_epochs", "3"])
+    # The runs are those of the matrix, and the diagnostic.
+    assert set(plan) - {diagnostic.run_name} == {r.run_name for r in K.build_run_matrix(X.models(spark)).collect()}
+
+
+def test_run_plan_without_results_or_models(spark):
+    none = _acc(spark, [])
+    plan = _plan(spark, none)
+    assert list(plan["gamma-7b_s1-none_s2-lora"].extra_args) == [
+        "--lora_r", "16", "--lora_alpha", "32", "--learning_rate", "0.0002", "--lora_dropout", "0.05"]
+    assert plan["gamma-7b_s1-none_s2-lora"].note == (
+        "Stage-2 LoRA; Task 3 sweep not finished -> fallback r=16/alpha=32/lr=2e-4/dropout=0.05 all-linear (noted)")
+    assert _plan(spark, none, X.models(spark).limit(0)) == {}
+
+
+def test_transfer_prefers_the_better_model_and_then_the_first(spark):
+    for better, source in ((0.9, "beta-8b"), (FULL_SWEEP["_r32"], "alpha-8b")):
+        rows = [(f"{m}_s1-none_s2-lora{v}", better if (m, v) == ("beta-8b", "_r32") else a)
+                for m in ("alpha-8b", "beta-8b") for v, a in FULL_SWEEP.items()]
+        assert K.transfer_config(X.models(spark), _acc(spark, rows)).first().source_model == source
+    r = K.best_rank(X.models(spark).where("existing"), _acc(spark, rows[:2])).first()
+    assert r.accuracy is None and not r.resolved
