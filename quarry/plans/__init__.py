@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["evaluation", "cleaning", "statistics", "examples", "catalog", "io"]
+AREAS = ["evaluation", "cleaning", "statistics", "examples", "catalog", "io", "profile"]
 
 
 def all_queries() -> dict:
