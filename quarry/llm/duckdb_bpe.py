@@ -16,8 +16,8 @@ rows, and taken up again from its last state, so its memory is bounded. A long
 text is encoded in slices, cut between a character that is no white space and
 one that is (no token of these word patterns crosses such a place).
 
-Decoding joins the (document, position, id) rows with the vocabulary and
-concatenates the pieces by ordered aggregation, a bounded number of ids at once.
+Decoding joins the (position, id) rows with the vocabulary, in order of position,
+and concatenates each document's pieces, a bounded number of ids at once.
 
 Defined cases: a null text counts as empty: no ids, no bytes; repeated rows give
 repeated results; an empty table gives an empty result.
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,10 +147,8 @@ class BpeCodec:
         self._load("merges", merge_table(self.ranks))
         if max(self.ranks.values()) > LARGEST_ID:
             raise ValueError(f"ids above {LARGEST_ID} do not fit a row")
-        # A piece as text with one character per byte.
-        self._load("vocab", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()),
-                                      "piece": pa.array([k.decode("latin-1") for k in self.ranks])}))
-        self.decimal = {r: str(r).encode() for r in self.ranks.values()}
+        self._load("vocab", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array(list(self.ranks), pa.binary())}))
+        self.decimal = pa.array([str(i) for i in range(max(self.ranks.values()) + 1)])
         self.table = ChunkTable(self._encode_chunks, TABLE_CHUNKS)
         self.words: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
 
@@ -223,13 +222,13 @@ class BpeCodec:
 
     def _decode_rows(self, ids: list[np.ndarray]) -> list[bytes]:
         size = np.array([len(x) for x in ids], np.int64)
-        table = pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), size),
-                          "pos": (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32),
-                          "id": np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)})
-        got = self._query("select doc, string_agg(piece, '' order by pos) as text from words join vocab using (id) "
-                          "group by doc", table)
-        found = dict(zip(got.column("doc").to_pylist(), got.column("text").to_pylist(), strict=True))
-        return [found.get(i, "").encode("latin-1") for i in range(len(ids))]
+        every = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
+        got = self._query("select piece from words join vocab using (id) order by pos",
+                          pa.table({"pos": np.arange(len(every), dtype=np.int32), "id": every}))
+        if len(got) != len(every):
+            raise ValueError("ids outside the vocabulary")
+        ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(ends, got.column("piece").combine_chunks()), b"").to_pylist()
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each id list; at most SLICE_IDS ids in one query."""
@@ -259,7 +258,8 @@ class BpeCodec:
         """Of the decimal ids, joined by commas."""
         total = hashlib.sha256()
         for lo in range(0, len(ids), SLICE_IDS):
-            total.update((b"," if lo else b"") + b",".join(map(self.decimal.__getitem__, ids[lo: lo + SLICE_IDS].tolist())))
+            words = self.decimal.take(pa.array(ids[lo: lo + SLICE_IDS]))
+            total.update((b"," if lo else b"") + pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), ",")[0].as_buffer())
         return total.hexdigest()
 
 
