@@ -135,13 +135,15 @@ def worker_table(path: str) -> ChunkTable:
             # U+0120 writes a space
             return "Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(signs))
 
+        marks = {m: [t.id for t in tokenize(m)] for m in ".,;:!?"}
+
         def ids_of(chunk: str) -> list[int]:
             rest = chunk[1:]
             if chunk[0] == " " and rest and (rest.isascii() or max(rest) < "\u0250"):
                 if rest.isalpha():  # one word
                     return [t.id for t in tokenize(signed(rest))]
-                if rest[-1] in ".,;:!?" and rest[:-1].isalpha():
-                    return [t.id for w in (signed(rest[:-1]), rest[-1]) for t in tokenize(w)]
+                if rest[-1] in marks and rest[:-1].isalpha():
+                    return [t.id for t in tokenize(signed(rest[:-1]))] + marks[rest[-1]]
             return [t.id for w, _ in before(chunk) for t in tokenize(w)]
 
         def encode_new(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -57,8 +57,15 @@ def _arrays(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, dtyp
     table = worker_table(tokenizer)
     for b in batches:
         for lo, hi, texts in steps(b.column(2)):
+            ids = table.encode_many(texts)
+            ends = np.cumsum([len(x) + 1 for x in ids])
+            flat = np.full(int(ends[-1]) if len(ends) else 0, end_id, dtype)
+            own = np.ones(len(flat), bool)
+            own[ends - 1] = False
+            flat[own] = np.concatenate(ids) if ids else []
+            raw, edges = flat.tobytes(), [0, *(ends * flat.itemsize).tolist()]
             yield (b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo),
-                   [np.append(ids, end_id).astype(dtype).tobytes() for ids in table.encode_many(texts)])
+                   [raw[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)])
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, dtype: str) -> bytes:
@@ -109,6 +116,15 @@ def block_image(frames: list[bytes], dtype: str, digest: bytes) -> bytes:
     return b"".join([MAGIC, bytes([1, int(dtype[-1])]), digest, struct.pack("<I", len(frames)), offsets.tobytes(), *frames])
 
 
+def read_frames(payload: bytes) -> tuple[str, bytes, list[bytes]]:
+    """dtype, dictionary hash and the frames of all documents of a block image."""
+    if payload[:4] != MAGIC or payload[4] != 1:
+        raise ValueError("not a block of token ids")
+    n = struct.unpack_from("<I", payload, 38)[0]
+    at = (np.frombuffer(payload, "<u8", n + 1, 42) + (42 + 8 * (n + 1))).tolist()
+    return f"<u{payload[5]}", payload[6:38], [payload[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
+
 def read_frame(payload: bytes, k: int) -> tuple[str, bytes, bytes]:
     """dtype, dictionary hash and frame of document k of a block image."""
     if payload[:4] != MAGIC or payload[4] != 1:
@@ -203,12 +219,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         d = _decompressor(dictionary)
         for b in batches:
             for base, payload, ids, starts, counts in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                raw = []
-                for k in range(len(ids)):
-                    dtype, digest, frame = read_frame(payload, k)
-                    if digest != expected:
-                        raise ValueError("a block was written with another dictionary")
-                    raw.append(np.frombuffer(d.decompress(frame), dtype).astype("<u4").tobytes())
+                dtype, digest, frames = read_frames(payload)
+                if digest != expected:
+                    raise ValueError("a block was written with another dictionary")
+                raw = [np.frombuffer(d.decompress(f), dtype).astype("<u4").tobytes() for f in frames]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array([base + s for s in starts], pa.int64()),
                      pa.array(counts, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
