@@ -1,7 +1,7 @@
 """Batch scoring and prediction assembly.
 
 ``score_choices`` runs a caller-supplied scorer over Arrow batches with
-``mapInPandas``: the factory builds one scorer per task (a model would be
+``mapInArrow``: the factory builds one scorer per task (a model would be
 loaded once per executor slot), rows are scored in fixed-size batches, and
 the five answer-letter logits come back as columns. The built-in
 ``LinearScorer`` scores a numeric feature array with a fixed weight matrix so
@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -27,6 +28,8 @@ from quarry.session import cut_lineage
 
 LETTERS = M.LETTERS
 BATCH_SIZE = 16
+#: Rows that a scoring task hands on at once, rounded to whole batches.
+STEP_ROWS = 512
 PROMPT_TOKENS = 2048
 
 
@@ -68,30 +71,33 @@ def score_choices(df: DataFrame, scorer_factory: Callable[[], Callable],
     """Append logit_A..logit_E from ``scorer(batch)``, ``batch_size`` rows at
     a time within each Arrow batch (one scorer per task, built by the
     factory). A string column is passed as a list of prompts, a numeric
-    array column as a (batch, dim) float matrix."""
+    array column as a (batch, dim) float matrix. Kept columns stay in Arrow, and
+    Python objects are made for one such batch at a time."""
     src = df.select(*keep, features)
-    fields = [f for f in src.schema.fields if f.name in keep]
+    fields = src.schema.fields[:-1]
     is_text = isinstance(src.schema[features].dataType, StringType)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
                        + [f"logit_{L} double" for L in LETTERS])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = scorer_factory()
-        for pdf in batches:
-            if is_text:
-                x = pdf[features].tolist()
-            else:
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[features]]) if len(pdf) \
-                    else np.zeros((0, 0))
-            out = np.empty((len(pdf), len(LETTERS)))
-            for s in range(0, len(pdf), batch_size):
-                out[s:s + batch_size] = scorer(x[s:s + batch_size])
-            res = pdf[list(keep)].copy()
-            for j, L in enumerate(LETTERS):
-                res[f"logit_{L}"] = out[:, j]
-            yield res
+    step = max(1, STEP_ROWS // batch_size) * batch_size
 
-    return src.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scorer_factory()
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                own = b.slice(lo, step)
+                out = np.empty((own.num_rows, len(LETTERS)))
+                for s in range(0, own.num_rows, batch_size):
+                    part = own.column(len(fields)).slice(s, batch_size)
+                    if is_text:
+                        x = part.to_pylist()
+                    else:
+                        x = np.stack([np.asarray(v, dtype=np.float64) for v in part.to_numpy(zero_copy_only=False)])
+                    out[s:s + batch_size] = scorer(x)
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], *[pa.array(out[:, j]) for j in range(len(LETTERS))]],
+                                                 names=[*[f.name for f in fields], *[f"logit_{L}" for L in LETTERS]])
+
+    return src.mapInArrow(run, schema)
 
 
 class TokenSumScorer:
