@@ -73,7 +73,9 @@ def _csv_quoted(spark, sf):
     """Whole texts with line feeds, written as several files and read by file splits, with their input position."""
     path = FS.scratch_path(spark, "quoted-csv")
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.option("header", True).option("quote", '"').option(
+    # At least four files; as many as the input has splits, so a task's share does not grow with the table.
+    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), docs.rdd.getNumPartitions())
+    docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").write.option("header", True).option("quote", '"').option(
         "escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return O.read_csv_quoted(spark, path, "row_idx")
 
