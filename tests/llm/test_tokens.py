@@ -1,4 +1,5 @@
 import hashlib
+import inspect
 import random
 import zlib
 from collections import defaultdict
@@ -187,3 +188,22 @@ def test_digest_in_task_equals_digest_of_results(docs):
                     hashlib.sha256(bytes(r["decoded"])).hexdigest()) for r in full), key=repr)
     got = duckdb_bpe.encode_decode_digest(docs, RANKS, public_tokenizers.PATTERN)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+
+
+def test_decoding_in_one_ordered_join():
+    """Pieces of several lists, empty ones between, by position; an id outside the vocabulary is an error."""
+    codec = duckdb_bpe.BpeCodec(RANKS, public_tokenizers.PATTERN)
+    texts = ["", "é🙂 ab", "", "the the cat\n\n\tsat", "x" * 200, ""]
+    ids = codec.encode(texts)
+    assert codec.decode(ids) == [t.encode() for t in texts] and codec.decode([]) == []
+    assert [codec.ids_sha256(i) for i in ids] == [hashlib.sha256(",".join(map(str, i.tolist())).encode()).hexdigest() for i in ids]
+    assert "string_agg" not in inspect.getsource(duckdb_bpe)
+    with pytest.raises(ValueError, match="outside the vocabulary"):
+        codec.decode([np.array([duckdb_bpe.LARGEST_ID], np.uint32)])
+
+
+def test_frames_of_a_block_at_once():
+    frames = [b"", b"abc", b"d" * 70_000]
+    image = zstd_ids.block_image(frames, "<u4", b"h" * 32)
+    assert zstd_ids.read_frames(image) == ("<u4", b"h" * 32, frames)
+    assert [zstd_ids.read_frame(image, k)[2] for k in range(3)] == frames
